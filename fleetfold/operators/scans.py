@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfold.session import broadcast_if_small
-
 BROADCAST_ROWS = 100_000
 BROADCAST_PER_KEY = 512
 
@@ -166,8 +164,12 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], time: str, text: str,
 
 
 def exact_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Left rows with their right row at exactly the same keys, and left rows without one."""
-    marked = left.join(broadcast_if_small(right.withColumn("_hit", F.lit(True))), list(keys), "left")
+    """Left rows with their right row at exactly the same keys, and left rows without one.
+
+    The join is left to adaptive execution, which measures the right side before
+    it chooses to broadcast it and splits hot keys of the left side otherwise.
+    """
+    marked = left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left")
     hits = marked.where(F.col("_hit")).drop("_hit")
     misses = marked.where(F.col("_hit").isNull()).select(*left.columns)
     return hits, misses
