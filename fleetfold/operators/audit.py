@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions.scalars import percent_error
 from fleetfold.operators.scans import exact_median, value_counts
+from fleetfold.session import cut_lineage
 
 # The texts by which log lines are told apart, in order of precedence.
 LINE_KINDS = (
@@ -55,28 +56,31 @@ def head_epochs(values: DataFrame, head_mark: str = "CLUSTERHEAD") -> DataFrame:
     return heads.join(values.select("epoch").distinct(), "epoch", "left_semi").select("epoch", "value")
 
 
-def incomplete_epochs(values: DataFrame, nodes: Column | int | None = None) -> DataFrame:
+def incomplete_epochs(values: DataFrame, nodes: int | None = None) -> DataFrame:
     """Epochs whose number of results differs from the number of nodes."""
     counts = values.groupBy("epoch").agg(F.count("*").alias("members"))
-    return counts.where(F.col("members") != _node_count(values, nodes))
+    return counts.where(F.col("members") != (node_count(values) if nodes is None else nodes))
 
 
-def _node_count(values: DataFrame, nodes: Column | int | None) -> Column:
-    if nodes is None:
-        return values.agg(F.count_distinct("path")).scalar()
-    return F.lit(nodes)
+def node_count(logs: DataFrame) -> int:
+    """Number of nodes that wrote a log."""
+    return logs.agg(F.count_distinct("path")).first()[0]
 
 
-def epoch_error_stats(values: DataFrame, nodes: Column | int | None = None) -> DataFrame:
+def epoch_error_stats(values: DataFrame, nodes: int | None = None) -> DataFrame:
     """Spread and error of each epoch's results against the mean of ids 0 .. N-1.
 
     N is the number of nodes that logged, unless given. Percent errors are null
-    for N = 1, where the expected value is 0. Everything comes from one table of
-    counted values, so the log is parsed and shuffled once.
+    for N = 1, where the expected value is 0. Equal values of an epoch are
+    counted and the counts written to the shared folder first, so the log is
+    parsed once for all eight columns.
     """
-    counts = value_counts(values, ["epoch"], "value").withColumn("_nodes", _node_count(values, nodes))
-    counts = counts.withColumn("_off", F.col("value") - (F.col("_nodes") - 1) / 2.0).withColumn(
-        "_error", percent_error("value", (F.col("_nodes") - 1) / 2.0))
+    if nodes is None:
+        nodes = node_count(values)
+    expected = F.lit((nodes - 1) / 2.0)
+    counts = cut_lineage(value_counts(values, ["epoch"], "value"), "epoch-values")
+    counts = counts.withColumn("_off", F.col("value") - expected).withColumn(
+        "_error", percent_error("value", expected))
     size = F.sum("n")
 
     def mean_of(column):
@@ -87,7 +91,7 @@ def epoch_error_stats(values: DataFrame, nodes: Column | int | None = None) -> D
         mean_of(F.col("value")).alias("mean"),
         F.greatest(mean_of(off * off) - F.pow(mean_of(off), F.lit(2.0)), F.lit(0.0)).alias("variance"),
         mean_of(F.col("_error")).alias("mean_error"),
-        (size * 100.0 / F.max("_nodes")).alias("participation"),
+        (size * F.lit(100.0) / F.lit(float(nodes))).alias("participation"),
         F.max("_error").alias("max_error"))
     middle = exact_median(counts, ["epoch"], "value", "median")
     middle_error = exact_median(counts, ["epoch"], "_error", "median_error")
@@ -115,7 +119,7 @@ def parse_messages(lines: DataFrame) -> DataFrame:
     """Log lines as (line, kind, uuids, epoch); the first matching kind counts, else null."""
     kind = None
     for name, pattern in LINE_KINDS:
-        hit = F.col("line").rlike(pattern)
+        hit = F.col("line").rlike(pattern) if "." in pattern else F.col("line").contains(pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     return lines.select(
         "line", kind.alias("kind"),

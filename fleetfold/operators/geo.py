@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfold.session import small_rows
+from fleetfold.session import cut_lineage, small_rows
 
 MAX_CASES = 64
 CELL_BOXES = 256
+CELL_STEP = 8
+SMALLEST_EXTENT = 1e-6
 
 
 @dataclass(frozen=True)
@@ -111,38 +113,39 @@ def active_queries(df: DataFrame, specs: DataFrame, lat: str = "lat", lon: str =
     return found.select(*df.columns, F.explode(F.concat(*lists)).alias("query_id"))
 
 
-def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, DataFrame]]:
+def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, float, DataFrame]]:
     """Boxes indexed by grid cell, as lookup tables with one row per cell.
 
-    A box lies on the grid whose cell side is the power of two at least as
-    large as the box, so it touches at most four cells. Boxes of one cell are
-    cut into lists of bounded length; each (side, list number) is one layer.
+    Per direction a box lies on the grid whose cell side is the greatest power
+    of eight not above its extent, so it touches at most nine cells and a cell
+    is never larger than its boxes. Boxes of one cell are cut into lists of
+    bounded length. Each (sides, list number) is one layer.
     """
-    extent = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
-    side = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-6)))))
+    def side(low, high):
+        extent = F.greatest(F.col(high) - F.col(low), F.lit(SMALLEST_EXTENT))
+        return F.pow(F.lit(float(CELL_STEP)), F.floor(F.log2(extent) / F.log2(F.lit(float(CELL_STEP)))))
 
-    def cells(low, high):
-        return F.explode(F.sequence(F.floor(F.col(low) / F.col("_side")), F.floor(F.col(high) / F.col("_side"))))
+    def cells(low, high, size):
+        return F.explode(F.sequence(F.floor(F.col(low) / F.col(size)), F.floor(F.col(high) / F.col(size))))
 
-    placed = (boxes.withColumn("_side", side)
-              .withColumn("_cy", cells("lat_min", "lat_max"))
-              .withColumn("_cx", cells("lon_min", "lon_max")))
-    order = extra[0]
-    in_cell = Window.partitionBy("_side", "_cy", "_cx").orderBy(order)
+    placed = (boxes.withColumn("_sy", side("lat_min", "lat_max")).withColumn("_sx", side("lon_min", "lon_max"))
+              .withColumn("_cy", cells("lat_min", "lat_max", "_sy"))
+              .withColumn("_cx", cells("lon_min", "lon_max", "_sx")))
+    in_cell = Window.partitionBy("_sy", "_sx", "_cy", "_cx").orderBy(extra[0])
     placed = placed.withColumn("_list", F.floor((F.row_number().over(in_cell) - 1) / CELL_BOXES))
     fields = ["lat_min", "lat_max", "lon_min", "lon_max", *extra]
-    table = placed.groupBy("_side", "_list", "_cy", "_cx").agg(
-        F.collect_list(F.struct(*fields)).alias("_boxes"))
-    layers = [(r["_side"], r["_list"]) for r in
-              table.select("_side", "_list").distinct().orderBy("_list", "_side").collect()]
-    return [(s, table.where((F.col("_side") == s) & (F.col("_list") == n)).select("_cy", "_cx", "_boxes"))
-            for s, n in layers]
+    table = cut_lineage(placed.groupBy("_sy", "_sx", "_list", "_cy", "_cx").agg(
+        F.collect_list(F.struct(*fields)).alias("_boxes")), "grid")
+    kinds = table.select("_sy", "_sx", "_list").distinct().orderBy("_list", "_sy", "_sx").collect()
+    return [(k["_sy"], k["_sx"], table.where(
+        (F.col("_sy") == k["_sy"]) & (F.col("_sx") == k["_sx"]) & (F.col("_list") == k["_list"])
+    ).select("_cy", "_cx", "_boxes")) for k in kinds]
 
 
-def _look_up(df: DataFrame, layer: tuple[float, DataFrame], number: int, lat: str, lon: str) -> DataFrame:
-    side, table = layer
+def _look_up(df: DataFrame, layer: tuple[float, float, DataFrame], number: int, lat: str, lon: str) -> DataFrame:
+    side_y, side_x, table = layer
     named = table.withColumnRenamed("_boxes", f"_boxes{number}")
-    keyed = df.withColumn("_cy", F.floor(F.col(lat) / side)).withColumn("_cx", F.floor(F.col(lon) / side))
+    keyed = df.withColumn("_cy", F.floor(F.col(lat) / side_y)).withColumn("_cx", F.floor(F.col(lon) / side_x))
     return keyed.join(named, ["_cy", "_cx"], "left").drop("_cy", "_cx")
 
 

@@ -68,53 +68,81 @@ def custom_reduce(df: DataFrame, key: str, value: str, fold: Callable, fan_in: i
     """Reduction by an opaque associative and commutative Python function.
 
     Each task folds its own rows and passes on one value per key. Those partial
-    values are folded in ``fan_in`` groups per key and then once more, so a
-    task never sees the raw rows of a key, however many there are.
+    values are folded in ``fan_in`` slots per key and then once more. The later
+    steps read their partials sorted by key, so a task holds one running value
+    at a time and never the rows of a key, however many there are.
     """
-    kind = df.schema[key].dataType
-    schema = T.StructType([
-        T.StructField(key, kind), T.StructField(value, df.schema[value].dataType),
-        T.StructField("slot", T.IntegerType()),
-    ])
-
-    def partials(batches: Iterator) -> Iterator:
-        import pandas as pd
+    plain = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (key, value)])
+    slotted = T.StructType([*plain, T.StructField("slot", T.IntegerType())])
+
+    partials = df.select(key, value).mapInArrow(_fold_tasks(fold, plain, fan_in), slotted)
+    slots = partials.repartition(key, "slot").sortWithinPartitions(key, "slot").select(key, value)
+    merged = slots.mapInArrow(_fold_runs(fold, plain), plain)
+    whole = merged.repartition(F.col(key)).sortWithinPartitions(key)
+    return whole.mapInArrow(_fold_runs(fold, plain), plain)
+
+
+def _arrow(schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def _pairs(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _fold_tasks(fold: Callable, plain: T.StructType, fan_in: int) -> Callable:
+    """One partial value per key of a task, labelled with the slot the task feeds."""
+    key, value = plain.names
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
         slot = TaskContext.get().partitionId() % fan_in
+        schema = _arrow(plain).append(pa.field("slot", pa.int32()))
         folded: dict = {}
 
         def flush():
-            return pd.DataFrame({
-                key: pd.Series(list(folded), dtype=object),
-                value: pd.Series(list(folded.values()), dtype=object),
-                "slot": pd.Series([slot] * len(folded), dtype="int32"),
-            })
-
-        for batch in batches:
-            for k, v in zip(batch[key].astype(object), batch[value].astype(object)):
-                k = None if k != k else k
-                folded[k] = fold(folded[k], v) if k in folded else v
+            columns = {key: list(folded), value: list(folded.values()), "slot": [slot] * len(folded)}
+            folded.clear()
+            return pa.RecordBatch.from_pydict(columns, schema=schema)
+
+        for k, v in _pairs(batches):
+            folded[k] = fold(folded[k], v) if k in folded else v
             if len(folded) >= FLUSH_KEYS:
                 yield flush()
-                folded.clear()
         if folded:
             yield flush()
 
-    def combine(group):
-        values = list(group[value])
-        acc = values[0]
-        for v in values[1:]:
-            acc = fold(acc, v)
-        out = group.iloc[:1].copy()
-        out[value] = out[value].astype(object)
-        out.at[out.index[0], value] = acc
-        return out
-
-    rows = df.select(key, value)
-    level = rows.mapInPandas(partials, schema)
-    level = level.groupBy(key, "slot").applyInPandas(combine, schema)
-    return level.groupBy(key).applyInPandas(combine, schema).select(key, value)
+    return run
+
+
+def _fold_runs(fold: Callable, plain: T.StructType) -> Callable:
+    """Folds neighbouring rows of equal key into one."""
+    key, value = plain.names
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = _arrow(plain)
+        keys: list = []
+        values: list = []
+        for k, v in _pairs(batches):
+            if keys and keys[-1] == k:
+                values[-1] = fold(values[-1], v)
+                continue
+            if len(keys) >= FLUSH_KEYS:
+                yield pa.RecordBatch.from_pydict({key: keys, value: values}, schema=schema)
+                keys, values = [], []
+            keys.append(k)
+            values.append(v)
+        if keys:
+            yield pa.RecordBatch.from_pydict({key: keys, value: values}, schema=schema)
+
+    return run
 
 
 def set_union(df: DataFrame, keys: Sequence[Column | str], value: str) -> DataFrame:

@@ -16,6 +16,10 @@ def _values(spark, sf_dir):
     return audit.averages(audit.parse_results(t.gossip_log(spark, sf_dir)))
 
 
+def _error_stats(spark, sf_dir):
+    return audit.epoch_error_stats(_values(spark, sf_dir), audit.node_count(t.gossip_log(spark, sf_dir)))
+
+
 @query("parse_gossip_log", check(f"SELECT {_PATH} AS path, epoch, value AS avg, total AS sum FROM log", "log"))
 def parse_gossip_log(spark, sf_dir):
     return audit.parse_results(t.gossip_log(spark, sf_dir))
@@ -43,7 +47,7 @@ _STATS = ("median", "mean", "variance", "mean_error", "participation", "max_erro
 @query("epoch_error_stats", check("SELECT epoch, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in _STATS)
                                   + " FROM stats", "log", more=_JUDGED))
 def epoch_error_stats(spark, sf_dir):
-    stats = audit.epoch_error_stats(_values(spark, sf_dir))
+    stats = _error_stats(spark, sf_dir)
     return stats.select("epoch", *[F.round(c, 6).alias(c) for c in _STATS])
 
 
@@ -54,7 +58,7 @@ def epoch_error_stats(spark, sf_dir):
      WHERE participation = 100) f
     WHERE rn >= first + 10 AND rn < first + 60""", "log", more=_JUDGED))
 def convergence_summary(spark, sf_dir):
-    summary = audit.convergence_summary(audit.epoch_error_stats(_values(spark, sf_dir)))
+    summary = audit.convergence_summary(_error_stats(spark, sf_dir))
     return summary.select("epochs", *[F.round(c, 6).alias(c) for c in ("median", "mean", "variance")])
 
 

@@ -160,7 +160,7 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sends(state: DataFrame) -> DataFrame:
     """Who sends to whom in each round: ring hops that double, some of them failing."""
-    size = state.agg(F.max("node") + 1).scalar()
+    size = F.lit(state.agg(F.max("node") + 1).first()[0])
     return state.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round")
                         ).withColumn("n", size).selectExpr(
         "round", "src", "(src + shiftleft(1L, round)) % n AS dst", "(src * 31 + round) % 11 <> 0 AS ok")
@@ -168,7 +168,7 @@ def sends(state: DataFrame) -> DataFrame:
 
 def pairs(state: DataFrame) -> DataFrame:
     """Who meets whom in each round: ids that differ in one bit, some meetings failing."""
-    size = state.agg(F.max("node") + 1).scalar()
+    size = F.lit(state.agg(F.max("node") + 1).first()[0])
     return state.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round")
                         ).withColumn("n", size).selectExpr(
         "round", "a", "a ^ shiftleft(1L, round) AS b", "n", "(a * 31 + round) % 11 <> 0 AS ok"
