@@ -19,6 +19,8 @@ LINE_KINDS = (
     ("start", "start new round"),
     ("queue", "queueing"),
 )
+SMALL_EPOCH = 100_000
+CARRY_IDS = ("send", "receive", "commit", "abort", "queue")
 NULL_ABORT = "Consensus abort null"
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 ROUND_EPOCH = ":[0-6][0-9]Z"
@@ -73,7 +75,9 @@ def epoch_error_stats(values: DataFrame, nodes: int | None = None) -> DataFrame:
     N is the number of nodes that logged, unless given. Percent errors are null
     for N = 1, where the expected value is 0. Equal values of an epoch are
     counted and the counts written to the shared folder first, so the log is
-    parsed once for all eight columns.
+    parsed once for all eight columns. Medians come from the same aggregation
+    when no epoch has more than ``SMALL_EPOCH`` distinct values, and otherwise
+    from ``exact_median``, which spreads an epoch over many tasks.
     """
     if nodes is None:
         nodes = node_count(values)
@@ -87,15 +91,22 @@ def epoch_error_stats(values: DataFrame, nodes: int | None = None) -> DataFrame:
         return F.sum(column * F.col("n")) / size
 
     off = F.col("_off")
-    main = counts.groupBy("epoch").agg(
+    stats = [
         mean_of(F.col("value")).alias("mean"),
         F.greatest(mean_of(off * off) - F.pow(mean_of(off), F.lit(2.0)), F.lit(0.0)).alias("variance"),
         mean_of(F.col("_error")).alias("mean_error"),
         (size * F.lit(100.0) / F.lit(float(nodes))).alias("participation"),
-        F.max("_error").alias("max_error"))
-    middle = exact_median(counts, ["epoch"], "value", "median")
-    middle_error = exact_median(counts, ["epoch"], "_error", "median_error")
-    return main.join(middle, "epoch", "left").join(middle_error, "epoch", "left").select(
+        F.max("_error").alias("max_error")]
+    medians = {"median": "value", "median_error": "_error"}
+    widest = counts.groupBy("epoch").count().agg(F.max("count")).first()[0] or 0
+    if widest <= SMALL_EPOCH:
+        stats += [F.percentile(column, 0.5, F.col("n")).alias(name) for name, column in medians.items()]
+        done = counts.groupBy("epoch").agg(*stats)
+    else:
+        done = counts.groupBy("epoch").agg(*stats)
+        for name, column in medians.items():
+            done = done.join(exact_median(counts, ["epoch"], column, name), "epoch", "left")
+    return done.select(
         "epoch", "median", "mean", "variance", "mean_error", "participation", "max_error", "median_error")
 
 
@@ -116,15 +127,19 @@ def convergence_summary(stats: DataFrame, skip: int = 10, length: int = 50) -> D
 
 
 def parse_messages(lines: DataFrame) -> DataFrame:
-    """Log lines as (line, kind, uuids, epoch); the first matching kind counts, else null."""
+    """Log lines as (line, kind, uuids, epoch); the first matching kind counts, else null.
+
+    Message ids and epochs are searched only in kinds of lines that carry them.
+    """
     kind = None
     for name, pattern in LINE_KINDS:
         hit = F.col("line").rlike(pattern) if "." in pattern else F.col("line").contains(pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    return lines.select(
-        "line", kind.alias("kind"),
-        F.regexp_extract_all("line", F.lit(UUID), F.lit(0)).alias("uuids"),
-        F.nullif(F.regexp_extract("line", ROUND_EPOCH, 0), F.lit("")).alias("epoch"))
+    ids = F.regexp_extract_all("line", F.lit(UUID), F.lit(0))
+    epoch = F.nullif(F.regexp_extract("line", ROUND_EPOCH, 0), F.lit(""))
+    return lines.withColumn("kind", kind).select(
+        "line", "kind", F.when(F.col("kind").isin(*CARRY_IDS), ids).otherwise(F.array()).alias("uuids"),
+        F.when(F.col("kind") == "start", epoch).alias("epoch"))
 
 
 def message_violations(parsed: DataFrame) -> DataFrame:

@@ -11,24 +11,46 @@ from fleetfold.functions.scalars import known_colour, triple
 from fleetfold.schema import STATUS_KEYS
 
 
+NUMBERS = tuple(k for k, kind in STATUS_KEYS.items() if kind == "double")
+
+
 def status_from_map(df: DataFrame, column: str = "fields") -> tuple[DataFrame, DataFrame]:
     """Typed status rows, and the rows that could not be read with the first bad field.
 
     All ten fields are required; a missing one, a bad number, an unknown colour
-    or an acceleration without exactly three parts rejects the row.
+    or an acceleration without exactly three parts rejects the row. All numbers
+    of a row are converted in one array, which keeps the generated code small;
+    which field was bad is worked out for rejected rows only.
     """
     rest = [c for c in df.columns if c != column]
-    parsed = df.select("*", *[_field(column, k, t).alias(f"_{k}") for k, t in STATUS_KEYS.items()])
-    bad = F.coalesce(*[F.when(F.col(f"_{k}").isNull(), F.lit(k)) for k in STATUS_KEYS])
-    judged = parsed.withColumn("bad_field", bad)
-    good = judged.where(F.col("bad_field").isNull()).select(
-        *rest, *[F.col(f"_{k}").alias(k) for k in STATUS_KEYS])
-    rejects = judged.where(F.col("bad_field").isNotNull()).select(*df.columns, "bad_field")
+    texts = F.concat(F.array(*[_text(column, k) for k in NUMBERS]), F.split(_text(column, "acceleration"), ","))
+    judged = df.withColumns({
+        "_id": _text(column, "id").try_cast("bigint"), "_color": _text(column, "color"),
+        "_numbers": texts.try_cast("array<double>")})
+    whole = (F.size("_numbers") == len(NUMBERS) + 3) & F.col("_id").isNotNull() & known_colour("_color")
+    for i in range(len(NUMBERS) + 3):
+        whole = whole & F.get("_numbers", F.lit(i)).isNotNull()
+    whole = F.coalesce(whole, F.lit(False))
+
+    typed = {k: F.get("_numbers", F.lit(i)) for i, k in enumerate(NUMBERS)}
+    axes = [F.get("_numbers", F.lit(len(NUMBERS) + i)).alias(axis) for i, axis in enumerate("xyz")]
+    typed |= {"id": F.col("_id"), "color": F.col("_color"), "acceleration": F.struct(*axes)}
+    row = F.struct(*[typed[k].alias(k) for k in STATUS_KEYS])
+    # As a generator the test stays above the conversion; as a filter it would be
+    # pushed below it and convert every number once more per mention.
+    good = judged.select(*rest, F.inline(F.when(whole, F.array(row))))
+    rejected = judged.select(*df.columns, F.inline(F.when(~whole, F.array(F.struct(F.lit(True).alias("_bad"))))))
+    bad = F.coalesce(*[F.when(_field(column, k, kind).isNull(), F.lit(k)) for k, kind in STATUS_KEYS.items()])
+    rejects = rejected.select(*df.columns, bad.alias("bad_field"))
     return good, rejects
 
 
+def _text(column: str, key: str) -> Column:
+    return F.try_element_at(F.col(column), F.lit(key))
+
+
 def _field(column: str, key: str, kind: str) -> Column:
-    text = F.try_element_at(F.col(column), F.lit(key))
+    text = _text(column, key)
     if key == "acceleration":
         return triple(text)
     if key == "color":
