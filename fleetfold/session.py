@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every query relies on; cluster sizing stays with the caller."""
+    """Settings every query relies on; cluster sizing stays with the caller.
+
+    Streaming state goes to RocksDB, so it is not bounded by the heap.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from fleetfold.operators.messages import concat_sources
 from fleetfold.plans.catalog import named_query
 from fleetfold.session import scratch_path
 from fleetfold.sources.readers import file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
+from fleetfold.streaming.release import release_by_epoch
 from fleetfold.workload import tables as t
 from fleetfold.workload.epochs import TAGGED, TAGGED_CHECK
 from fleetfold.workload.registry import query
@@ -17,8 +22,6 @@ DELAY = "1 hour"
 
 
 def _status_stream(spark, sf_dir):
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(EVENT_TYPE)
     return t.as_status(file_stream(spark, sf_dir, schema, name_pattern="events.parquet"))
 
@@ -72,10 +75,33 @@ def relay_copy(spark, sf_dir):
 
 @query("fan_out_copy", check("""SELECT sink, event_id, mph FROM status, (VALUES ('a'), ('b')) v(sink)"""))
 def fan_out_copy(spark, sf_dir):
-    from fleetfold.operators.messages import concat_sources
-
     out, checkpoint = _places(spark, "fan")
     stream = _status_stream(spark, sf_dir).select("event_id", "mph")
     sinks.fan_out(stream, [f"{out}/a", f"{out}/b"], checkpoint).awaitTermination()
     copies = {name: spark.read.parquet(f"{out}/{name}").drop("batch") for name in ("a", "b")}
     return concat_sources(copies, label="sink")
+
+
+# Each node holds from 23:00 and starts the epoch of the new day at 01:00. Fast
+# vehicles' messages are for the next day, slow ones' for the day before.
+@query("stream_epoch_release", check("""SELECT node, event_id, epoch, GREATEST(ts, epoch + INTERVAL '1 hour') AS released
+    FROM (SELECT node, event_id, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) + CASE WHEN mph > 100 THEN INTERVAL '1 day'
+        WHEN mph < 5 THEN INTERVAL '-1 day' ELSE INTERVAL '0 day' END AS epoch FROM status)
+    WHERE ts < epoch + INTERVAL '23 hours'"""))
+def stream_epoch_release(spark, sf_dir):
+    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(t.DAYS))))
+    control = days.selectExpr("node", f"unix_micros(TIMESTAMP'{t.FIRST_DAY}' + make_dt_interval(d)) AS day").selectExpr(
+        "node", """inline(array(
+            named_struct('at', day + 3600000000L, 'kind', 'set', 'epoch', day),
+            named_struct('at', day + 82800000000L, 'kind', 'hold', 'epoch', day)))""")
+    folder = scratch_path(spark, "control")
+    control.write.parquet(folder)
+    messages = _status_stream(spark, sf_dir).selectExpr(
+        "node", "unix_micros(CAST(ts AS TIMESTAMP)) AS at",
+        """unix_micros(date_trunc('day', ts)) + CASE WHEN mph > 100 THEN 86400000000L
+            WHEN mph < 5 THEN -86400000000L ELSE 0L END AS epoch""", "event_id AS item")
+    out, checkpoint = _places(spark, "release")
+    released = release_by_epoch(messages, file_stream(spark, folder, control.schema), slots=2)
+    sinks.append_rows(released, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).selectExpr(
+        "node", "item AS event_id", "timestamp_micros(epoch) AS epoch", "timestamp_micros(released) AS released")
