@@ -1,0 +1,81 @@
+"""Boxes, regions and scoped queries, with edge points and long region tables."""
+
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetfold.operators import geo
+from fleetfold.plans.catalog import named_query
+from fleetfold.schema import REGION
+
+
+def points(spark, rows):
+    return spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(rows)], "id long, lat double, lon double")
+
+
+def regions(spark, boxes):
+    return spark.createDataFrame(
+        [(i, b.rid, b.lat_min, b.lat_max, b.lon_min, b.lon_max) for i, b in enumerate(boxes)], REGION)
+
+
+def placed(df):
+    return {r["id"]: r["rid"] for r in df.collect()}
+
+
+def test_closed_and_open_boxes(spark):
+    box = geo.Box(0.0, 10.0, 0.0, 10.0)
+    df = points(spark, [(0, 0), (10, 10), (5, 5), (10.1, 5), (5, -0.1)])
+    assert {r["id"] for r in df.where(geo.inside(box)).collect()} == {0, 1, 2}
+    assert {r["id"] for r in df.where(geo.inside(box, closed=False)).collect()} == {2}
+
+
+def test_border_point_belongs_to_the_first_region(spark):
+    df = points(spark, [(50500, 105000), (50500.5, 105000), (1, 1)])
+    assert placed(geo.map_regions(df, regions(spark, geo.DENSE_REGIONS))) == {0: "d1", 1: "d2", 2: None}
+
+
+def test_no_regions(spark):
+    assert placed(geo.map_regions(points(spark, [(1, 1)]), regions(spark, []))) == {0: None}
+
+
+@pytest.mark.parametrize("cell_boxes", [1, 256])
+def test_long_region_table_equals_brute_force(spark, monkeypatch, cell_boxes):
+    monkeypatch.setattr(geo, "CELL_BOXES", cell_boxes)
+    rng = random.Random(4)
+    boxes = []
+    for i in range(geo.MAX_CASES + 20):
+        a, o = rng.uniform(-100, 100), rng.uniform(-100, 100)
+        boxes.append(geo.Box(a, a + rng.choice([0.0, 0.5, 30.0]), o, o + rng.choice([1.0, 9.0, 60.0]), f"r{i}"))
+    at = [(rng.uniform(-120, 120), rng.uniform(-120, 120)) for _ in range(200)] + [(b.lat_max, b.lon_max) for b in boxes]
+    df = points(spark, at)
+    want = {i: next((b.rid for b in boxes if b.lat_min <= a <= b.lat_max and b.lon_min <= o <= b.lon_max), None)
+            for i, (a, o) in enumerate(at)}
+    assert placed(geo.map_regions(df, regions(spark, boxes))) == want
+    assert None in want.values()
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_active_queries(spark, monkeypatch, limit):
+    monkeypatch.setattr(geo, "MAX_CASES", limit)
+    day = datetime(2024, 1, 1)
+    later = datetime(2024, 1, 2)
+    specs = spark.createDataFrame(
+        [("a", 0.0, 10.0, 0.0, 10.0, day, later), ("b", 5.0, 20.0, 5.0, 20.0, day, later),
+         ("c", 0.0, 10.0, 0.0, 10.0, later, datetime(2024, 1, 3))],
+        "query_id string, lat_min double, lat_max double, lon_min double, lon_max double, "
+        "from_ts timestamp_ntz, to_ts timestamp_ntz")
+    df = points(spark, [(1, 1), (7, 7), (30, 30)]).withColumn("ts", F.lit(day).cast("timestamp_ntz"))
+    got = {(r["id"], r["query_id"]) for r in geo.active_queries(df, specs).collect()}
+    assert got == {(0, "a"), (1, "a"), (1, "b")}
+    at_end = df.withColumn("ts", F.lit(later).cast("timestamp_ntz"))
+    assert {r["query_id"] for r in geo.active_queries(at_end, specs).collect()} == {"c"}
+
+
+def test_box_filter_reaches_the_scan(spark, tmp_path):
+    out = str(tmp_path / "status")
+    points(spark, [(1, 1)]).withColumn("mph", F.lit(1.0)).write.parquet(out)
+    plan = named_query("geo_filtered_dense").run(spark.read.parquet(out))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat,5000.0)" in plan
+    assert "ReadSchema: struct<lat:double,lon:double,mph:double>" in plan
