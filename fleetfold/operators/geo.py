@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.session import cut_lineage, small_rows
@@ -118,8 +118,9 @@ def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, fl
 
     Per direction a box lies on the grid whose cell side is the greatest power
     of eight not above its extent, so it touches at most nine cells and a cell
-    is never larger than its boxes. Boxes of one cell are cut into lists of
-    bounded length. Each (sides, list number) is one layer.
+    is never larger than its boxes. The fullest cell is counted first, and boxes
+    are hashed to as many lists per cell as keep a list near ``CELL_BOXES``. Each
+    (sides, list number) is one layer.
     """
     def side(low, high):
         extent = F.greatest(F.col(high) - F.col(low), F.lit(SMALLEST_EXTENT))
@@ -131,10 +132,12 @@ def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, fl
     placed = (boxes.withColumn("_sy", side("lat_min", "lat_max")).withColumn("_sx", side("lon_min", "lon_max"))
               .withColumn("_cy", cells("lat_min", "lat_max", "_sy"))
               .withColumn("_cx", cells("lon_min", "lon_max", "_sx")))
-    in_cell = Window.partitionBy("_sy", "_sx", "_cy", "_cx").orderBy(extra[0])
-    placed = placed.withColumn("_list", F.floor((F.row_number().over(in_cell) - 1) / CELL_BOXES))
+    cell = ("_sy", "_sx", "_cy", "_cx")
+    fullest = placed.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+    lists = -(-fullest // CELL_BOXES) or 1
+    placed = placed.withColumn("_list", F.pmod(F.xxhash64(extra[0]), F.lit(lists)))
     fields = ["lat_min", "lat_max", "lon_min", "lon_max", *extra]
-    table = cut_lineage(placed.groupBy("_sy", "_sx", "_list", "_cy", "_cx").agg(
+    table = cut_lineage(placed.groupBy(*cell, "_list").agg(
         F.collect_list(F.struct(*fields)).alias("_boxes")), "grid")
     kinds = table.select("_sy", "_sx", "_list").distinct().orderBy("_list", "_sy", "_sx").collect()
     return [(k["_sy"], k["_sx"], table.where(

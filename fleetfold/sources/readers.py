@@ -44,6 +44,14 @@ def kafka_stream(spark: SparkSession, servers: str, topics: Sequence[str],
     return spark.readStream.format("kafka").options(**options).load().select("topic", "key", "value", "timestamp")
 
 
+def topics_by_broker(topics: Sequence[tuple[str, str]]) -> dict[str, list[str]]:
+    """(servers, topic) pairs as the topics to read from each set of servers."""
+    grouped: dict[str, set[str]] = {}
+    for servers, topic in topics:
+        grouped.setdefault(servers, set()).add(topic)
+    return {servers: sorted(names) for servers, names in grouped.items()}
+
+
 def kafka_clusters(spark: SparkSession, clusters: Mapping[str, Sequence[str]],
                    starting: str = "latest") -> DataFrame:
     """Topics of several Kafka clusters as one stream, marked with the cluster."""

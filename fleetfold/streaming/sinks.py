@@ -35,9 +35,11 @@ def fan_out(stream: DataFrame, outs: Sequence[str], checkpoint: str, every: str
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for out in outs:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            for out in outs:
+                batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return trigger(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), every).start()
 

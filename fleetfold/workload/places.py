@@ -137,9 +137,9 @@ def active_home_queries(spark, sf_dir):
 
 @query("node_queries", check("""SELECT s.event_id, a.query_id FROM status s JOIN (
     SELECT DISTINCT node, 'speed' AS query_id FROM status
-    UNION ALL SELECT DISTINCT node, 'color' FROM status WHERE node % 2 = 0) a ON s.node = a.node"""))
+    UNION ALL SELECT DISTINCT node, 'fast' FROM status WHERE mph > 200) a ON s.node = a.node"""))
 def node_queries(spark, sf_dir):
-    nodes = t.nodes(spark, sf_dir)
-    assignments = concat_sources(
-        {"speed": nodes, "color": nodes.where("node % 2 = 0")}, label="query_id")
-    return t.status(spark, sf_dir).select("event_id", "node").join(assignments, "node").select("event_id", "query_id")
+    rows = t.status(spark, sf_dir)
+    every, fast = (d.select("node").distinct() for d in (rows, rows.where("mph > 200")))
+    assignments = concat_sources({"speed": every, "fast": fast}, label="query_id")
+    return rows.select("event_id", "node").join(assignments, "node").select("event_id", "query_id")

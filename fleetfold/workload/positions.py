@@ -94,10 +94,9 @@ def position_lookup_misses(spark, sf_dir):
 
 
 @query("cluster_head_or_self", check("""SELECT s.event_id, s.node, COALESCE(m.head, s.node) AS head
-    FROM status s LEFT JOIN membership m ON s.node = m.node AND date_trunc('day', s.ts) = m.ts""", "membership"))
+    FROM status s LEFT JOIN membership m ON s.node = m.node AND s.ts = m.ts""", "membership"))
 def cluster_head_or_self(spark, sf_dir):
-    rows = t.status(spark, sf_dir).select(
-        "event_id", "node", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+    rows = t.status(spark, sf_dir).select("event_id", "node", "ts")
     return ts.head_or_self(rows, t.membership(spark, sf_dir), "ts").select("event_id", "node", "head")
 
 

@@ -99,10 +99,8 @@ def readings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster heads that change at some midnights."""
-    days = nodes(spark, sf_dir).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
-    return days.where("(node + d) % 3 = 0").selectExpr(
-        "node", f"TIMESTAMP_NTZ'{FIRST_DAY}' + make_dt_interval(d) AS ts", "(node + d) % 8 AS head")
+    """Cluster heads: each white row names the head its node has from then on."""
+    return status(spark, sf_dir).where("color = 'white'").selectExpr("node", "ts", "event_id % 8 AS head")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +193,7 @@ TWINS = {
     "positions": """SELECT x.node, x.timestamp, x.reading AS x, y.reading AS y, s.reading AS speed
         FROM posx x JOIN posy y ON x.node = y.node AND x.timestamp = y.timestamp
         JOIN speed s ON x.node = s.node AND x.timestamp = s.timestamp""",
-    "membership": f"""SELECT node, TIMESTAMP '{FIRST_DAY}' + to_days(CAST(d AS INTEGER)) AS ts, (node + d) % 8 AS head
-        FROM (SELECT DISTINCT node FROM status) n, range({DAYS}) r(d) WHERE (node + d) % 3 = 0""",
+    "membership": "SELECT node, ts, event_id % 8 AS head FROM status WHERE color = 'white'",
     "headed": """SELECT s.*, COALESCE(m.head, s.node) AS head
         FROM status s ASOF LEFT JOIN membership m ON s.node = m.node AND s.ts >= m.ts""",
     "log": f"""SELECT node, d, CASE WHEN node < 8 THEN 'CLUSTERHEAD' ELSE 'node' END AS kind,

@@ -104,6 +104,8 @@ def test_worker_code_needs_no_installed_package(tmp_path):
 def test_reader_options():
     kafka = readers.kafka_options("a:1,b:2", ["t1", "t2"])
     assert (kafka["subscribe"], kafka["startingOffsets"]) == ("t1,t2", "latest")
+    topics = [("a:1", "t2"), ("b:1", "t1"), ("a:1", "t1"), ("a:1", "t2")]
+    assert readers.topics_by_broker(topics) == {"a:1": ["t1", "t2"], "b:1": ["t1"]}
     jdbc = readers.jdbc_options("jdbc:x", "posx", 0, 1000, 8)
     assert (jdbc["partitionColumn"], jdbc["numPartitions"], jdbc["upperBound"]) == ("node", "8", "1000")
 
