@@ -118,9 +118,9 @@ def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, fl
 
     Per direction a box lies on the grid whose cell side is the greatest power
     of eight not above its extent, so it touches at most nine cells and a cell
-    is never larger than its boxes. The fullest cell is counted first, and boxes
-    are hashed to as many lists per cell as keep a list near ``CELL_BOXES``. Each
-    (sides, list number) is one layer.
+    is never larger than its boxes. The fullest cell of each grid is counted
+    first, and boxes are hashed to as many lists per cell as keep a list near
+    ``CELL_BOXES``. Each (grid, list number) is one layer.
     """
     def side(low, high):
         extent = F.greatest(F.col(high) - F.col(low), F.lit(SMALLEST_EXTENT))
@@ -133,16 +133,19 @@ def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, fl
               .withColumn("_cy", cells("lat_min", "lat_max", "_sy"))
               .withColumn("_cx", cells("lon_min", "lon_max", "_sx")))
     cell = ("_sy", "_sx", "_cy", "_cx")
-    fullest = placed.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
-    lists = -(-fullest // CELL_BOXES) or 1
-    placed = placed.withColumn("_list", F.pmod(F.xxhash64(extra[0]), F.lit(lists)))
+    sides = [(r["_sy"], r["_sx"], -(-r["fullest"] // CELL_BOXES)) for r in
+             placed.groupBy(*cell).count().groupBy("_sy", "_sx").agg(F.max("count").alias("fullest"))
+             .orderBy("_sy", "_sx").collect()]
+    lists = F.lit(1)
+    for sy, sx, n in sides:
+        if n > 1:
+            lists = F.when((F.col("_sy") == sy) & (F.col("_sx") == sx), n).otherwise(lists)
     fields = ["lat_min", "lat_max", "lon_min", "lon_max", *extra]
-    table = cut_lineage(placed.groupBy(*cell, "_list").agg(
-        F.collect_list(F.struct(*fields)).alias("_boxes")), "grid")
-    kinds = table.select("_sy", "_sx", "_list").distinct().orderBy("_list", "_sy", "_sx").collect()
-    return [(k["_sy"], k["_sx"], table.where(
-        (F.col("_sy") == k["_sy"]) & (F.col("_sx") == k["_sx"]) & (F.col("_list") == k["_list"])
-    ).select("_cy", "_cx", "_boxes")) for k in kinds]
+    table = cut_lineage(
+        placed.withColumn("_list", F.pmod(F.xxhash64(extra[0]), lists)).groupBy(*cell, "_list").agg(
+            F.collect_list(F.struct(*fields)).alias("_boxes")), "grid")
+    return [(sy, sx, table.where((F.col("_sy") == sy) & (F.col("_sx") == sx) & (F.col("_list") == i))
+             .select("_cy", "_cx", "_boxes")) for sy, sx, n in sides for i in range(n)]
 
 
 def _look_up(df: DataFrame, layer: tuple[float, float, DataFrame], number: int, lat: str, lon: str) -> DataFrame:
