@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetfold.functions.scalars import epoch_start, fixed_sum
+from fleetfold.functions.scalars import epoch_start, fixed_units
 from fleetfold.operators import audit, diffusion, epoch
 from fleetfold.plans.catalog import named_query
 from fleetfold.plans.spec import MapReduceQuery, run_tagged
@@ -85,22 +85,18 @@ def multi_query_reduce(spark, sf_dir):
     return run_tagged(TAGGED, t.status(spark, sf_dir), "1 hour")
 
 
+# Speeds enter as whole units, so halving stays exact and both engines agree to the last bit.
 def _state(spark, sf_dir, value, weight):
-    sums = t.status(spark, sf_dir).groupBy("node").agg(fixed_sum("mph").alias("total"))
+    sums = t.status(spark, sf_dir).groupBy("node").agg(F.sum(fixed_units("mph")).cast("double").alias("total"))
     return cut_lineage(sums.select("node", F.expr(value).alias("value"), F.expr(weight).alias("weight")), "state")
 
 
 ROOT_ONLY = "CASE WHEN node = 0 THEN 1.0D ELSE 0.0D END"
 
 
-def _rounded(state):
-    digits = {"value": 9, "weight": 9, "estimate": 6}
-    return state.select("node", *[F.round(c, n).alias(c) for c, n in digits.items()])
-
-
 def _start(value, weight):
     return f"""n AS (SELECT MAX(node) + 1 AS n FROM status), s0 AS (SELECT node, {value} AS value, {weight} AS weight
-        FROM (SELECT node, {TOTAL} AS total FROM status GROUP BY node))"""
+        FROM (SELECT node, CAST(SUM(units) AS DOUBLE) AS total FROM status GROUP BY node))"""
 
 
 def _sums_check(value, weight):
@@ -111,8 +107,8 @@ def _sums_check(value, weight):
                 CASE WHEN (node * 31 + {r}) % 11 <> 0 THEN weight / 2 ELSE weight END AS weight FROM s{r}
             UNION ALL SELECT (node + {2**r}) % n, value / 2, weight / 2 FROM s{r}, n
             WHERE (node * 31 + {r}) % 11 <> 0) GROUP BY node)""")
-    return check(f"""SELECT node, ROUND(value, 9) AS value, ROUND(weight, 9) AS weight,
-        ROUND(value / NULLIF(weight, 0), 6) AS estimate FROM s{ROUNDS}""", more=", ".join(steps))
+    return check(f"SELECT node, value, weight, value / NULLIF(weight, 0) AS estimate FROM s{ROUNDS}",
+                 more=", ".join(steps))
 
 
 def _consensus_check(value, weight):
@@ -124,9 +120,8 @@ def _consensus_check(value, weight):
             CASE WHEN b.node IS NOT NULL AND (LEAST(a.node, b.node) * 31 + {r}) % 11 <> 0
                 THEN (a.weight + b.weight) / 2 ELSE a.weight END AS weight
             FROM s{r} a LEFT JOIN s{r} b ON b.node = xor(a.node, {2**r}))""")
-    return check(f"""SELECT node, ROUND(value, 9) AS value, ROUND(weight, 9) AS weight,
-        ROUND(CASE WHEN weight > 0 THEN value / weight ELSE 0.0 END, 6) AS estimate FROM s{ROUNDS}""",
-                 more=", ".join(steps))
+    return check(f"""SELECT node, value, weight, CASE WHEN weight > 0 THEN value / weight ELSE 0.0 END AS estimate
+        FROM s{ROUNDS}""", more=", ".join(steps))
 
 
 _ROOT_SQL = "CASE WHEN node = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
@@ -135,22 +130,22 @@ _ROOT_SQL = "CASE WHEN node = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 @query("push_sum_rounds", _sums_check("total", "1.0::DOUBLE"))
 def push_sum_rounds(spark, sf_dir):
     state = _state(spark, sf_dir, "total", "1.0D")
-    return _rounded(diffusion.push_sum(state, t.sends(state), ROUNDS))
+    return diffusion.push_sum(state, t.sends(state), ROUNDS)
 
 
 @query("push_sum_total", _sums_check("total", _ROOT_SQL))
 def push_sum_total(spark, sf_dir):
     state = _state(spark, sf_dir, "total", ROOT_ONLY)
-    return _rounded(diffusion.push_sum(state, t.sends(state), ROUNDS))
+    return diffusion.push_sum(state, t.sends(state), ROUNDS)
 
 
 @query("consensus_rounds", _consensus_check("total", "1.0::DOUBLE"))
 def consensus_rounds(spark, sf_dir):
     state = _state(spark, sf_dir, "total", "1.0D")
-    return _rounded(diffusion.consensus(state, t.pairs(state), ROUNDS))
+    return diffusion.consensus(state, t.pairs(state), ROUNDS)
 
 
 @query("consensus_count", _consensus_check("1.0::DOUBLE", _ROOT_SQL))
 def consensus_count(spark, sf_dir):
     state = _state(spark, sf_dir, "1.0D", ROOT_ONLY)
-    return _rounded(diffusion.consensus(state, t.pairs(state), ROUNDS))
+    return diffusion.consensus(state, t.pairs(state), ROUNDS)
