@@ -31,25 +31,38 @@ RESULT_EPOCH = r"EPOCH: (\S+)"
 
 
 def parse_results(lines: DataFrame) -> DataFrame:
-    """Final-result lines (path, line) as (path, epoch, avg, sum); a missing number is null."""
+    """Final-result lines (path, line) as (path, epoch, avg, sum); a missing number is null.
+
+    A column ``position``, which orders the lines of a file, is passed on.
+    """
     def number(pattern):
         return F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")).try_cast("double")
 
+    place = [c for c in lines.columns if c == "position"]
     return lines.where(F.col("line").contains(FINAL_RESULT)).select(
-        "path", F.regexp_extract("line", RESULT_EPOCH, 1).alias("epoch"),
+        "path", *place, F.regexp_extract("line", RESULT_EPOCH, 1).alias("epoch"),
         number(AVERAGE_OF_IDS).alias("avg"), number(SUM_OF_IDS).alias("sum"))
 
 
+def _last_lines(parsed: DataFrame) -> DataFrame:
+    """The last line of each file and epoch, where lines have a position."""
+    if "position" not in parsed.columns:
+        return parsed
+    return parsed.groupBy("path", "epoch").agg(
+        F.max_by("avg", "position").alias("avg"), F.max_by("sum", "position").alias("sum"))
+
+
 def averages(parsed: DataFrame) -> DataFrame:
-    """(path, epoch, value) of every line that reports an average."""
-    return parsed.where(F.col("avg").isNotNull()).select("path", "epoch", F.col("avg").alias("value"))
+    """(path, epoch, value): the last average each file reports for an epoch."""
+    reported = _last_lines(parsed.where(F.col("avg").isNotNull()))
+    return reported.select("path", "epoch", F.col("avg").alias("value"))
 
 
 def results_by_op(parsed: DataFrame) -> DataFrame:
-    """(path, epoch, op, value), one row per number on a line."""
+    """(path, epoch, op, value), one row per number on a file's last line for an epoch."""
     pairs = F.array(F.struct(F.lit("avg").alias("op"), F.col("avg").alias("value")),
                     F.struct(F.lit("sum").alias("op"), F.col("sum").alias("value")))
-    return parsed.select("path", "epoch", F.inline(pairs)).where(F.col("value").isNotNull())
+    return _last_lines(parsed).select("path", "epoch", F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def head_epochs(values: DataFrame, head_mark: str = "CLUSTERHEAD") -> DataFrame:

@@ -61,6 +61,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     scan is used. At equal times of one key the greatest value holds.
     """
     changes = right.select(F.col(key), F.col(right_time).alias("_from"), F.col(value).alias("_new"))
+    changes = changes.where(F.col(key).isNotNull() & F.col("_from").isNotNull())
     changes = changes.groupBy(key, "_from").agg(F.max("_new").alias("_new"))
     if strategy == "auto":
         size = changes.groupBy(key).count().agg(

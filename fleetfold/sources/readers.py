@@ -88,11 +88,16 @@ def jdbc_readings(spark: SparkSession, url: str, table: str, low: int, high: int
 
 
 def node_logs(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all log files under ``root`` as (path, node, line); the node is the directory name."""
+    """Lines of all log files under ``root`` as (path, node, position, line).
+
+    The node is the directory name. ``position`` orders the lines of a file:
+    by the start of the split they were read from, then as read.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(root)
     path = F.col("_metadata.file_path")
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     return lines.select(path.alias("path"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("node"),
-                        F.col("value").alias("line"))
+                        place.alias("position"), F.col("value").alias("line"))
 
 
 def message_log(spark: SparkSession, path: str) -> DataFrame:

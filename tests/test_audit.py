@@ -79,14 +79,14 @@ def result(avg, epoch, total=None):
 def test_node_logs(spark, tmp_path):
     write_logs(tmp_path / "logs", {
         "0-CLUSTERHEAD": [result(1.0, "e1", 10.0), "noise", result("1.5E1", "e2")],
-        "1": [result(2.0, "e1"), "FINAL RESULT: {} EPOCH: e2"],
+        "1": [result(7.0, "e1"), "noise", result(9.0, "e1"), result(2.0, "e1"), "FINAL RESULT: {} EPOCH: e2"],
     })
     lines = node_logs(spark, str(tmp_path / "logs"))
     assert {r["node"] for r in lines.collect()} == {"0-CLUSTERHEAD", "1"}
     parsed = audit.parse_results(lines)
     values = audit.averages(parsed)
     assert {(r["epoch"], r["value"]) for r in values.collect()} == {("e1", 1.0), ("e2", 15.0), ("e1", 2.0)}
-    assert parsed.count() == 4
+    assert parsed.count() == 6
     assert {(r["epoch"], r["value"]) for r in audit.head_epochs(values).collect()} == {("e1", 1.0), ("e2", 15.0)}
     assert [tuple(r) for r in audit.incomplete_epochs(values).collect()] == [("e2", 1)]
     assert {(r["op"], r["value"]) for r in audit.results_by_op(parsed).collect()} == {

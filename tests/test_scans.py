@@ -124,3 +124,11 @@ def test_exact_lookup_parts_rows(spark):
     hits, misses = scans.exact_lookup(left, right, ["node", "timestamp"])
     assert [r["x"] for r in hits.collect()] == [9.0]
     assert {r["node"] for r in misses.collect()} == {2, None}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "scan"])
+def test_as_of_never_matches_nulls(spark, strategy):
+    left = spark.createDataFrame([(None, START), (1, None), (1, START)], "k long, ts timestamp_ntz")
+    right = spark.createDataFrame([(None, START, 5), (1, None, 6)], "k long, at timestamp_ntz, head long")
+    got = scans.as_of(left, right, "k", "ts", "at", "head", strategy).collect()
+    assert [r["head"] for r in got] == [None] * 3

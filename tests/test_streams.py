@@ -123,3 +123,24 @@ def test_files_and_reports(spark, folder):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class _Session:
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.master = master
+        self.conf = self
+        self.folder = folder
+
+    def get(self, name, default=None):
+        return self.folder or default
+
+    def getConf(self):
+        return self
+
+
+def test_shared_folder_is_local_only_in_local_mode():
+    assert shared_dir(_Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert "fleetfold-" in shared_dir(_Session("local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(_Session("yarn"))
