@@ -4,7 +4,7 @@ Each works in two levels. Rows are split by (key, time bucket); one small
 summary row per bucket is scanned in key order, and its outcome enters every
 bucket as a carried row. A key that holds a third of the table is thereby
 spread over as many tasks as it has buckets. ``bucket`` is a ``date_trunc``
-unit or a column that never decreases along the order.
+unit, or a width for times that are numbers.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ BROADCAST_ROWS = 100_000
 BROADCAST_PER_KEY = 512
 
 
-def bucket_of(bucket: Column | str, time: str) -> Column:
-    return F.date_trunc(bucket, time) if isinstance(bucket, str) else bucket
+def bucket_of(bucket: str | float, time: str) -> Column:
+    return F.date_trunc(bucket, time) if isinstance(bucket, str) else F.floor(F.col(time) / F.lit(bucket))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], time: str, value: Column | str,
-                  name: str, ties: Sequence[str] = (), bucket: Column | str = "hour") -> DataFrame:
+                  name: str, ties: Sequence[str] = (), bucket: str | float = "hour") -> DataFrame:
     """Cumulative sum of ``value`` per key in (time, ties) order."""
     amount = F.col(value) if isinstance(value, str) else value
     rows = df.withColumn("_bucket", bucket_of(bucket, time)).withColumn("_amount", amount)
@@ -40,7 +40,7 @@ def running_total(df: DataFrame, keys: Sequence[str], time: str, value: Column |
 
 
 def row_position(df: DataFrame, keys: Sequence[str], time: str, name: str,
-                 ties: Sequence[str] = (), bucket: Column | str = "hour") -> DataFrame:
+                 ties: Sequence[str] = (), bucket: str | float = "hour") -> DataFrame:
     """1-based position of each row within its key."""
     return running_total(df, keys, time, F.lit(1), name, ties, bucket)
 
@@ -52,7 +52,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-          value: str, strategy: str = "auto", bucket: Column | str = "hour") -> DataFrame:
+          value: str, strategy: str = "auto", bucket: str | float = "hour") -> DataFrame:
     """Adds the right value with the greatest time not after the left row's time.
 
     Null where there is no earlier right row. ``auto`` counts the right side
@@ -150,7 +150,7 @@ def exact_median(counts: DataFrame, keys: Sequence[str], value: str, name: str,
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], time: str, text: str,
-                 ties: Sequence[str] = (), piece: int = 1000, bucket: Column | str = "hour",
+                 ties: Sequence[str] = (), piece: int = 1000, bucket: str | float = "hour",
                  name: str = "text") -> DataFrame:
     """Concatenation of texts in (time, ties) order, in pieces of bounded size.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
+SHUFFLE_BYTES = 128 * 1024 * 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,6 +25,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, target: int = SHUFFLE_BYTES) -> int:
+    """Sets enough shuffle partitions for each to hold about ``target`` bytes.
+
+    Adaptive execution merges the ones that turn out small. Streams keep the
+    number their checkpoint began with.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(cores, -(-shuffled_bytes // target))
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the one named in ``spark.checkpoint.dir``.
 

@@ -132,3 +132,12 @@ def test_as_of_never_matches_nulls(spark, strategy):
     right = spark.createDataFrame([(None, START, 5), (1, None, 6)], "k long, at timestamp_ntz, head long")
     got = scans.as_of(left, right, "k", "ts", "at", "head", strategy).collect()
     assert [r["head"] for r in got] == [None] * 3
+
+
+def test_number_times(spark):
+    df = spark.createDataFrame([(1, 0.25 * i, i) for i in range(40)], "k long, at double, v long")
+    got = {r["v"]: r["t"] for r in scans.running_total(df, ["k"], "at", "v", "t", bucket=1.5).collect()}
+    assert got == {i: sum(range(i + 1)) for i in range(40)}
+    right = spark.createDataFrame([(1, 3.0, 7), (1, 5.0, 8)], "k long, since double, head long")
+    heads = {r["v"]: r["head"] for r in scans.as_of(df, right, "k", "at", "since", "head", "scan", 1.0).collect()}
+    assert heads == {i: None if i < 12 else 7 if i < 20 else 8 for i in range(40)}

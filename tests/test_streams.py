@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from fleetfold import MapReduceQuery
 from fleetfold.operators.reduce import _fold_tasks
 from fleetfold.schema import READING, STATUS
-from fleetfold.session import shared_dir
+from fleetfold.session import shared_dir, size_shuffles
 from fleetfold.sources import readers
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
@@ -144,3 +144,12 @@ def test_shared_folder_is_local_only_in_local_mode():
     assert "fleetfold-" in shared_dir(_Session("local[2]"))
     with pytest.raises(ValueError):
         shared_dir(_Session("yarn"))
+
+
+def test_shuffle_size(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10**12) == 7451
+        assert size_shuffles(spark, 0) == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
