@@ -44,11 +44,16 @@ def running_bytes(records: DataFrame, relay: str, time: str, ties: Sequence[str]
     return running_total(sized, [relay], time, "bytes", "total_bytes", ties, bucket)
 
 
-def traffic_savings(sent_all: DataFrame, reduced: DataFrame, by: str = "head") -> DataFrame:
-    """Bytes with everything sent on against bytes after reducing at the head."""
-    raw = sent_all.select(by, octets("key", "value").alias("raw"), F.lit(0).cast("bigint").alias("cut"))
-    cut = reduced.select(by, F.lit(0).cast("bigint").alias("raw"), octets("key", "value").alias("cut"))
-    both = raw.unionByName(cut).groupBy(by).agg(
-        F.sum("raw").alias("raw_bytes"), F.sum("cut").alias("reduced_bytes"))
+def traffic_savings(mapped: DataFrame, op: str, sent: Column, result: Column,
+                    by: Sequence[Column | str] = (), digits: int | None = None) -> DataFrame:
+    """Bytes per head with everything sent on, against bytes after reducing at the head.
+
+    ``mapped`` has (head, key, value) and what ``sent``, the bytes of a row sent
+    as it is, reads. ``result`` is the text of a reduced value. Both sides come
+    from one pass over the rows.
+    """
+    reduced = mapped.groupBy("head", *by, "key").agg(*aggregates(op, digits=digits), F.sum(sent).alias("_sent"))
+    both = reduced.groupBy("head").agg(
+        F.sum("_sent").alias("raw_bytes"), F.sum(octets("key", result)).alias("reduced_bytes"))
     return both.withColumn("saved_percent", F.round(F.try_divide(
-        (F.col("raw_bytes") - F.col("reduced_bytes")) * 100.0, F.col("raw_bytes").cast("double")), 6))
+        (F.col("raw_bytes") - F.col("reduced_bytes")) * F.lit(100.0), F.col("raw_bytes").cast("double")), 6))

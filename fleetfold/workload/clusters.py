@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetfold.functions.scalars import octets
 from fleetfold.operators import cluster
 from fleetfold.plans.catalog import named_query
 from fleetfold.workload import tables as t
@@ -65,10 +66,10 @@ def running_bytes(spark, sf_dir):
         SELECT head, 0, 13 + octet_length(encode(concat_ws(',', CAST(SUM(units) AS BIGINT), COUNT(*))))
         FROM headed GROUP BY head, date_trunc('day', ts)) GROUP BY head""", "headed"))
 def traffic_savings(spark, sf_dir):
-    rows = _headed(spark, sf_dir)
-    everything = rows.selectExpr("head", "CAST(node AS STRING) AS key", f"""concat_ws(',', event_id,
-        CAST(lat AS BIGINT), CAST(lon AS BIGINT), {MPH_UNITS}, color, CAST(temperature AS BIGINT)) AS value""")
-    mapped = named_query("speed_and_count").mapped(rows, keep=["head", "ts"])
-    reduced = cluster.per_cluster_reduce(mapped, "average", [F.date_trunc("day", "ts").alias("day")], digits=4)
-    texts = reduced.selectExpr("head", "key", "concat_ws(',', CAST(rint(total * 10000) AS BIGINT), n) AS value")
-    return cluster.traffic_savings(everything, texts)
+    whole_row = f"""concat_ws(',', event_id, CAST(lat AS BIGINT), CAST(lon AS BIGINT), {MPH_UNITS}, color,
+        CAST(temperature AS BIGINT))"""
+    rows = _headed(spark, sf_dir).withColumn("sent", octets(F.col("node").cast("string"), F.expr(whole_row)))
+    mapped = named_query("speed_and_count").mapped(rows, keep=["head", "ts", "sent"])
+    pair = F.expr("concat_ws(',', CAST(rint(total * 10000) AS BIGINT), n)")
+    return cluster.traffic_savings(
+        mapped, "average", F.col("sent"), pair, [F.date_trunc("day", "ts").alias("day")], digits=4)

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fleetfold.functions.scalars import octets
 from fleetfold.operators import cluster
 from fleetfold.operators import timeseries as ts
 from fleetfold.operators.status import assemble_status, positions_as_status, status_from_map
@@ -112,10 +113,10 @@ def test_two_levels_equal_one(spark):
 
 
 def test_traffic(spark):
-    sent = spark.createDataFrame([(1, "kk", "vvvv"), (1, "kk", None), (2, "k", "é")], "head long, key string, value string")
-    cut = spark.createDataFrame([(1, "k", "v")], "head long, key string, value string")
-    got = {r["head"]: (r["raw_bytes"], r["reduced_bytes"], r["saved_percent"])
-           for r in cluster.traffic_savings(sent, cut).collect()}
-    assert got == {1: (8, 2, 75.0), 2: (3, 0, 100.0)}
-    sizes = cluster.relay_bytes(sent, "head").collect()
+    rows = [(1, "kk", 1.0, "vvvv"), (1, "kk", 2.0, None), (2, "k", 3.0, "é")]
+    sent = spark.createDataFrame(rows, "head long, key string, value double, text string")
+    got = {r["head"]: (r["raw_bytes"], r["reduced_bytes"], r["saved_percent"]) for r in cluster.traffic_savings(
+        sent, "sum", octets("key", "text"), F.col("value").cast("int").cast("string")).collect()}
+    assert got == {1: (8, 3, 62.5), 2: (3, 2, 33.333333)}
+    sizes = cluster.relay_bytes(sent, "head", value="text").collect()
     assert {(r["head"], r["messages"], r["bytes"]) for r in sizes} == {(1, 2, 8), (2, 1, 3)}
