@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +64,7 @@ def first_region(regions: Sequence[Box], lat: str = "lat", lon: str = "lon") ->
 def map_regions(df: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds ``rid``: the region of lowest ``ord`` containing the point, else null.
 
-    A few regions become a CASE expression. A longer table is looked up by grid
+    ``ord`` must be unique. A few regions become a CASE expression. A longer table is looked up by grid
     cell; see ``_grid_layers``. Either way a row stays one row.
     """
     rows = small_rows(regions.orderBy("ord"), MAX_CASES)
@@ -82,6 +81,8 @@ def map_regions(df: DataFrame, regions: DataFrame, lat: str = "lat", lon: str =
         found = _look_up(found, layer, number, lat, lon)
         hits = F.filter(F.col(f"_boxes{number}"), contains)
         best.append(F.array_min(F.transform(hits, lambda b: F.struct(b["ord"].alias("ord"), b["rid"].alias("rid")))))
+    if not best:
+        return df.withColumn("rid", F.lit(None).cast("string"))
     winner = best[0] if len(best) == 1 else F.least(*best)
     return found.withColumn("rid", winner["rid"]).select(*df.columns, "rid")
 
@@ -110,7 +111,8 @@ def active_queries(df: DataFrame, specs: DataFrame, lat: str = "lat", lon: str =
         found = _look_up(found, layer, number, lat, lon)
         hits = F.filter(F.coalesce(F.col(f"_boxes{number}"), F.array()), applies)
         lists.append(F.transform(hits, lambda b: b["query_id"]))
-    return found.select(*df.columns, F.explode(F.concat(*lists)).alias("query_id"))
+    ids = F.concat(*lists) if lists else F.array().cast("array<string>")
+    return found.select(*df.columns, F.explode(ids).alias("query_id"))
 
 
 def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, float, DataFrame]]:
@@ -129,7 +131,9 @@ def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, fl
     def cells(low, high, size):
         return F.explode(F.sequence(F.floor(F.col(low) / F.col(size)), F.floor(F.col(high) / F.col(size))))
 
-    placed = (boxes.withColumn("_sy", side("lat_min", "lat_max")).withColumn("_sx", side("lon_min", "lon_max"))
+    possible = (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max"))
+    placed = (boxes.where(possible)
+              .withColumn("_sy", side("lat_min", "lat_max")).withColumn("_sx", side("lon_min", "lon_max"))
               .withColumn("_cy", cells("lat_min", "lat_max", "_sy"))
               .withColumn("_cx", cells("lon_min", "lon_max", "_sx")))
     cell = ("_sy", "_sx", "_cy", "_cx")
@@ -153,7 +157,3 @@ def _look_up(df: DataFrame, layer: tuple[float, float, DataFrame], number: int,
     named = table.withColumnRenamed("_boxes", f"_boxes{number}")
     keyed = df.withColumn("_cy", F.floor(F.col(lat) / side_y)).withColumn("_cx", F.floor(F.col(lon) / side_x))
     return keyed.join(named, ["_cy", "_cx"], "left").drop("_cy", "_cx")
-
-
-def any_box(boxes: Sequence[Box], lat: str = "lat", lon: str = "lon") -> Column:
-    return reduce(lambda a, b: a | b, [inside(b, lat, lon) for b in boxes])

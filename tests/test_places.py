@@ -56,6 +56,14 @@ def test_long_region_table_equals_brute_force(spark, monkeypatch, cell_boxes):
     assert None in want.values()
 
 
+def test_boxes_without_an_inside_match_nothing(spark, monkeypatch):
+    monkeypatch.setattr(geo, "MAX_CASES", 1)
+    empty = [geo.Box(5.0, 4.0, 0.0, 9.0, f"r{i}") for i in range(3)]
+    df = points(spark, [(4.5, 5)])
+    assert placed(geo.map_regions(df, regions(spark, empty))) == {0: None}
+    assert placed(geo.map_regions(df, regions(spark, [*empty, geo.Box(4.0, 5.0, 5.0, 5.0, "line")]))) == {0: "line"}
+
+
 @pytest.mark.parametrize("limit", [64, 2])
 def test_active_queries(spark, monkeypatch, limit):
     monkeypatch.setattr(geo, "MAX_CASES", limit)
