@@ -88,23 +88,24 @@ def _as_of_intervals(left, changes, key, left_time, value):
 
 def _as_of_scan(left, changes, key, left_time, value, bucket):
     rows = left.withColumn("_at", F.col(left_time)).withColumn("_kind", F.lit(2))
-    news = changes.withColumnRenamed("_from", "_at").withColumn("_kind", F.lit(1)).withColumn(
-        "_new", F.struct("_new"))
+    news = changes.withColumnRenamed("_from", "_at").withColumn("_kind", F.lit(1)).withColumn("_has", F.lit(True))
     rows, news = (d.withColumn("_bucket", bucket_of(bucket, "_at")) for d in (rows, news))
+    # Inside a struct a change to null counts as a change.
+    change = F.when(F.col("_has"), F.struct("_new"))
+    in_bucket = news.groupBy(key, "_bucket").agg(F.max_by("_new", "_at").alias("_new"), F.max("_has").alias("_has"))
     spine = (
-        rows.select(key, "_bucket").distinct()
-        .unionByName(news.groupBy(key, "_bucket").agg(F.max_by("_new", "_at").alias("_new")),
-                     allowMissingColumns=True)
-        .groupBy(key, "_bucket").agg(F.max("_new").alias("_new"))
+        rows.select(key, "_bucket").distinct().unionByName(in_bucket, allowMissingColumns=True)
+        .groupBy(key, "_bucket").agg(F.max("_new").alias("_new"), F.max("_has").alias("_has"))
     )
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spine.select(key, "_bucket", F.last("_new", ignorenulls=True).over(earlier).alias("_new"),
-                           F.lit(0).alias("_kind"))
+    carried = spine.select(key, "_bucket", F.last(change, ignorenulls=True).over(earlier).alias("_held")).select(
+        key, "_bucket", F.col("_held._new").alias("_new"), F.col("_held").isNotNull().alias("_has"),
+        F.lit(0).alias("_kind"))
     both = (rows.unionByName(news, allowMissingColumns=True)
             .unionByName(carried, allowMissingColumns=True))
     so_far = Window.partitionBy(key, "_bucket").orderBy(
         F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = both.withColumn("_held", F.last("_new", ignorenulls=True).over(so_far))
+    held = both.withColumn("_held", F.last(change, ignorenulls=True).over(so_far))
     return held.where(F.col("_kind") == 2).select(
         *left.columns, F.col("_held._new").alias(value))
 
