@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetfold import workload
 from tools.check_oracles import compare, connect
 
 
@@ -11,7 +12,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(workload.queries()))
 def test_query_equals_its_sql(spark, con, sf_dir, name):
     assert name in entry.oracle_sql()
     assert compare(spark, con, name, sf_dir, may_be_empty=True) == []
