@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm import decontaminate, jaccard_join, kd_shards, license_scan, line_dedup, packing, toxicity
+from fleetfold.llm import (
+    decontaminate,
+    jaccard_join,
+    kd_shards,
+    lattice_dedup,
+    license_scan,
+    line_dedup,
+    packing,
+    token_counts,
+    toxicity,
+    warc,
+)
+from fleetfold.llm.words import scratch_path
 from fleetfold.session import prepare
 
 
@@ -40,6 +52,13 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "start", "matched", "of")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -52,6 +71,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_classes(_table(spark, sf_dir, "documents"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -164,16 +165,19 @@ def _epoch(state: dict[int, tuple[float, float]], rates: Rates) -> Callable:
 
 
 def _scorer(model: Model) -> Callable:
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
         places = _features()
         weights = np.zeros(1 << BITS)
         weights[model.index] = model.weight
-        out = []
-        for text in texts:
+
+        def margin(text: bytes) -> float:
             i = places(text)
-            out.append(weights[np.unique(i[weights[i] != 0])].sum() + model.bias)
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))))
+            return weights[np.unique(i[weights[i] != 0])].sum() + model.bias
+
+        for texts in batches:
+            out = np.array([margin(t) for t in texts], float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return run
