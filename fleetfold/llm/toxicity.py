@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 #: At most about so many labelled rows are learned from, those with the smallest hashes of their ids.
 MAX_ROWS = 20_000
 BITS = 20
-SHARDS = 8
-ROWS_PER_SHARD = 1_500
-EPOCHS = 3
+SHARDS = 5
+ROWS_PER_SHARD = 4_000
+EPOCHS = 4
 STATE = "shard int, i int, z double, n double"
 
 
 @dataclass(frozen=True)
 class Rates:
     """FTRL-proximal: learning rates alpha and beta, penalties l1 and l2."""
-    alpha: float = 0.3
+    alpha: float = 1.5
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.5
+    l1: float = 3.0
+    l2: float = 0.1
 
 
 @dataclass(frozen=True)
