@@ -58,7 +58,7 @@ def epoch_start(ts: Column | str, period: int) -> Column:
     tumbling windows only when the period divides 60.
     """
     seconds = unix_seconds(ts)
-    return F.timestamp_seconds(seconds - (seconds % 60) % period)
+    return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(60)) % period)
 
 
 def triple(text: Column | str) -> Column:

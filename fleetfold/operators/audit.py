@@ -117,8 +117,9 @@ def epoch_error_stats(values: DataFrame, nodes: int | None = None) -> DataFrame:
         done = counts.groupBy("epoch").agg(*stats)
     else:
         done = counts.groupBy("epoch").agg(*stats)
+        done, counts = (d.withColumn("_key", F.struct("epoch")) for d in (done, counts))  # a null epoch is an epoch
         for name, column in medians.items():
-            done = done.join(exact_median(counts, ["epoch"], column, name), "epoch", "left")
+            done = done.join(exact_median(counts, ["_key"], column, name), "_key", "left")
     return done.select(
         "epoch", "median", "mean", "variance", "mean_error", "participation", "max_error", "median_error")
 

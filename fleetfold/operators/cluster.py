@@ -13,7 +13,7 @@ from fleetfold.operators.scans import as_of, running_total
 
 
 def assign_heads(status: DataFrame, membership: DataFrame, time: str = "ts",
-                 strategy: str = "auto", bucket: str | float = "hour") -> DataFrame:
+                 strategy: str = "auto", bucket: str | float | None = None) -> DataFrame:
     """Adds ``head``: the node's latest known cluster head, else the node itself."""
     routed = as_of(status, membership, "node", time, time, "head", strategy, bucket)
     return routed.withColumn("head", F.coalesce("head", "node"))
@@ -38,7 +38,7 @@ def relay_bytes(records: DataFrame, relay: str = "relay", key: str = "key", valu
 
 
 def running_bytes(records: DataFrame, relay: str, time: str, ties: Sequence[str] = (),
-                  key: str = "key", value: str = "value", bucket: str | float = "hour") -> DataFrame:
+                  key: str = "key", value: str = "value", bucket: str | float | None = None) -> DataFrame:
     """Bytes of each record and the total through its relay up to and including it."""
     sized = records.withColumn("bytes", octets(key, value))
     return running_total(sized, [relay], time, "bytes", "total_bytes", ties, bucket)

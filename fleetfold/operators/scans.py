@@ -13,19 +13,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BROADCAST_ROWS = 100_000
 BROADCAST_PER_KEY = 512
 
 
+def bucket_for(df: DataFrame, time: str, bucket: str | float | None) -> str | float:
+    """The bucket to use for a time column: an hour, as a unit or in seconds, unless one is given that fits its type."""
+    number = isinstance(df.schema[time].dataType, NumericType)
+    if bucket is None:
+        return 3600.0 if number else "hour"
+    if number == isinstance(bucket, str):
+        raise ValueError(f"bucket {bucket!r} does not fit the type of {time!r}")
+    return bucket
+
+
 def bucket_of(bucket: str | float, time: str) -> Column:
     return F.date_trunc(bucket, time) if isinstance(bucket, str) else F.floor(F.col(time) / F.lit(bucket))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], time: str, value: Column | str,
-                  name: str, ties: Sequence[str] = (), bucket: str | float = "hour") -> DataFrame:
+                  name: str, ties: Sequence[str] = (), bucket: str | float | None = None) -> DataFrame:
     """Cumulative sum of ``value`` per key in (time, ties) order."""
     amount = F.col(value) if isinstance(value, str) else value
+    bucket = bucket_for(df, time, bucket)
     rows = df.withColumn("_bucket", bucket_of(bucket, time)).withColumn("_amount", amount)
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
@@ -40,7 +52,7 @@ def running_total(df: DataFrame, keys: Sequence[str], time: str, value: Column |
 
 
 def row_position(df: DataFrame, keys: Sequence[str], time: str, name: str,
-                 ties: Sequence[str] = (), bucket: str | float = "hour") -> DataFrame:
+                 ties: Sequence[str] = (), bucket: str | float | None = None) -> DataFrame:
     """1-based position of each row within its key."""
     return running_total(df, keys, time, F.lit(1), name, ties, bucket)
 
@@ -52,7 +64,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-          value: str, strategy: str = "auto", bucket: str | float = "hour") -> DataFrame:
+          value: str, strategy: str = "auto", bucket: str | float | None = None) -> DataFrame:
     """Adds the right value with the greatest time not after the left row's time.
 
     Null where there is no earlier right row. ``auto`` counts the right side
@@ -60,6 +72,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     broadcast and the left side is not shuffled at all; otherwise the two-level
     scan is used. At equal times of one key the greatest value holds.
     """
+    bucket = bucket_for(left, left_time, bucket)
     changes = right.select(F.col(key), F.col(right_time).alias("_from"), F.col(value).alias("_new"))
     changes = changes.where(F.col(key).isNotNull() & F.col("_from").isNotNull())
     changes = changes.groupBy(key, "_from").agg(F.max("_new").alias("_new"))
@@ -151,7 +164,7 @@ def exact_median(counts: DataFrame, keys: Sequence[str], value: str, name: str,
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], time: str, text: str,
-                 ties: Sequence[str] = (), piece: int = 1000, bucket: str | float = "hour",
+                 ties: Sequence[str] = (), piece: int = 1000, bucket: str | float | None = None,
                  name: str = "text") -> DataFrame:
     """Concatenation of texts in (time, ties) order, in pieces of bounded size.
 
@@ -171,7 +184,4 @@ def exact_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tupl
     The join is left to adaptive execution, which measures the right side before
     it chooses to broadcast it and splits hot keys of the left side otherwise.
     """
-    marked = left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left")
-    hits = marked.where(F.col("_hit")).drop("_hit")
-    misses = marked.where(F.col("_hit").isNull()).select(*left.columns)
-    return hits, misses
+    return left.join(right, list(keys)), left.join(right, list(keys), "left_anti").select(*left.columns)

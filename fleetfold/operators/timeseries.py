@@ -32,8 +32,9 @@ def for_node(df: DataFrame, node: int, other: bool = False) -> DataFrame:
 
 def concurrent_nodes(positions: DataFrame, node: int) -> DataFrame:
     """Other nodes with a complete reading no later than this node's first one."""
-    first = for_node(positions, node).agg(F.min("timestamp")).scalar()
-    return for_node(positions, node, other=True).where(F.col("timestamp") <= first).select("node").distinct()
+    starts = positions.groupBy("node").agg(F.min("timestamp").alias("first"))
+    own = for_node(starts, node).agg(F.min("first")).scalar()
+    return for_node(starts, node, other=True).where(F.col("first") <= own).select("node")
 
 
 def node_ids(df: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from fleetfold.operators.geo import DENSE_BOX, DENSE_REGIONS, SPARSE_BOX, SPARSE_REGIONS, Box
 from fleetfold.plans.spec import MapReduceQuery
 
-DIGITS = 4
-
 
 def _within(box: Box) -> str:
     return (f"lat BETWEEN {box.lat_min}D AND {box.lat_max}D "
@@ -24,18 +22,18 @@ def _any(regions: Sequence[Box]) -> str:
 
 
 _QUERIES = (
-    MapReduceQuery("speed_and_count", "'speedAndCount'", "mph", "average", digits=DIGITS),
-    MapReduceQuery("speed_sum", "'allNodes'", "mph", "sum", digits=DIGITS),
-    MapReduceQuery("dual_speed", "concat('getSpeed-', node)", "mph", "sum", digits=DIGITS),
+    MapReduceQuery("speed_and_count", "'speedAndCount'", "mph", "average"),
+    MapReduceQuery("speed_sum", "'allNodes'", "mph", "sum"),
+    MapReduceQuery("dual_speed", "concat('getSpeed-', node)", "mph", "sum"),
     MapReduceQuery("dual_colors", "concat('getColor-', node)", "color", "union"),
     MapReduceQuery("send_all", "node", "struct(*)", "first", order=("ts", "event_id")),
-    MapReduceQuery("speed_by_color", "color", "mph", "sum", digits=DIGITS),
-    MapReduceQuery("geo_filtered_dense", "'dense'", "mph", "average", _within(DENSE_BOX), digits=DIGITS),
-    MapReduceQuery("geo_filtered_sparse", "'sparse'", "mph", "average", _within(SPARSE_BOX), digits=DIGITS),
+    MapReduceQuery("speed_by_color", "color", "mph", "sum"),
+    MapReduceQuery("geo_filtered_dense", "'dense'", "mph", "average", _within(DENSE_BOX)),
+    MapReduceQuery("geo_filtered_sparse", "'sparse'", "mph", "average", _within(SPARSE_BOX)),
     MapReduceQuery("geo_mapped_dense", _region_key(DENSE_REGIONS), "mph", "average",
-                   _any(DENSE_REGIONS), digits=DIGITS),
+                   _any(DENSE_REGIONS)),
     MapReduceQuery("geo_mapped_sparse", _region_key(SPARSE_REGIONS), "mph", "average",
-                   _any(SPARSE_REGIONS), digits=DIGITS),
+                   _any(SPARSE_REGIONS)),
     MapReduceQuery("pos_and_accel", "'posAndAccel'", "struct(mph, acceleration)"),
 )
 _BY_NAME = {q.id: q for q in _QUERIES}

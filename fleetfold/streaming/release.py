@@ -30,7 +30,7 @@ def release_by_epoch(messages: DataFrame, control: DataFrame, slots: int = SLOTS
         "epoch", "item")
     everywhere = control.select(
         "node", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "at", "kind", "epoch",
-        F.lit(None).cast("bigint").alias("item"))
+        F.lit(0).cast("bigint").alias("item"))
     return spread.unionByName(everywhere).groupBy("node", "slot").transformWithStateInPandas(
         statefulProcessor=EpochGate(), outputStructType=RELEASED, outputMode="append", timeMode="none")
 
@@ -49,7 +49,7 @@ class EpochGate(StatefulProcessor):
         node, slot = key
         frames = list(rows)
         columns = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in ("at", "kind", "epoch")}
-        items = np.concatenate([f["item"].fillna(-1).to_numpy(dtype="int64") for f in frames])
+        items = np.concatenate([f["item"].to_numpy(dtype="int64") for f in frames])
         is_message = columns["kind"] == "message"
         # At one moment control comes first.
         order = np.lexsort((is_message, columns["at"]))

@@ -78,7 +78,7 @@ def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str,
     """Enveloped messages to one topic, acknowledged by all replicas; needs the Kafka connector."""
     writer = (messages.select(F.col("key").cast("binary"), F.col("value").cast("binary")).writeStream
               .format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
-              .option("kafka.acks", "all").option("kafka.retries", "0")
+              .option("kafka.acks", "all")
               .option("checkpointLocation", checkpoint))
     return trigger(writer, every).start()
 
@@ -89,5 +89,6 @@ def write_csv(df: DataFrame, out: str) -> None:
 
 
 def save_results(df: DataFrame, out: str, run: str) -> None:
-    """Epoch results as JSON lines, kept apart by run."""
-    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(out)
+    """Epoch results as JSON lines, kept apart by run; a run saved again replaces itself."""
+    writer = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run").json(out)

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.scalars import octets
 from fleetfold.operators import cluster
-from fleetfold.plans.catalog import named_query
 from fleetfold.workload import tables as t
-from fleetfold.workload.registry import query
+from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, MPH_UNITS, check
 
 
@@ -17,7 +16,7 @@ def _headed(spark, sf_dir):
 
 
 def _mapped(spark, sf_dir, keep=()):
-    return named_query("speed_and_count").mapped(_headed(spark, sf_dir), keep=["head", *keep])
+    return stock("speed_and_count").mapped(_headed(spark, sf_dir), keep=["head", *keep])
 
 
 @query("per_cluster_reduce", check(f"""SELECT head, 'speedAndCount' AS key, {AVERAGE} FROM headed
@@ -69,7 +68,7 @@ def traffic_savings(spark, sf_dir):
     whole_row = f"""concat_ws(',', event_id, CAST(lat AS BIGINT), CAST(lon AS BIGINT), {MPH_UNITS}, color,
         CAST(temperature AS BIGINT))"""
     rows = _headed(spark, sf_dir).withColumn("sent", octets(F.col("node").cast("string"), F.expr(whole_row)))
-    mapped = named_query("speed_and_count").mapped(rows, keep=["head", "ts", "sent"])
+    mapped = stock("speed_and_count").mapped(rows, keep=["head", "ts", "sent"])
     pair = F.expr("concat_ws(',', CAST(rint(total * 10000) AS BIGINT), n)")
     return cluster.traffic_savings(
         mapped, "average", F.col("sent"), pair, [F.date_trunc("day", "ts").alias("day")], digits=4)

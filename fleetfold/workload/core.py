@@ -8,16 +8,15 @@ from fleetfold.functions import scalars as S
 from fleetfold.operators import messages as M
 from fleetfold.operators import opaque, reduce
 from fleetfold.operators.status import assemble_status, status_from_map
-from fleetfold.plans.catalog import named_query
 from fleetfold.plans.spec import MapReduceQuery
 from fleetfold.workload import tables as t
-from fleetfold.workload.registry import query
+from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, TOTAL, check
 
 
 @query("global_speed_avg", check(f"SELECT 'speedAndCount' AS key, {AVERAGE} FROM status"))
 def global_speed_avg(spark, sf_dir):
-    return named_query("speed_and_count").run(t.status(spark, sf_dir))
+    return stock("speed_and_count").run(t.status(spark, sf_dir))
 
 
 @query("filter_map", check("SELECT event_id, color AS key, mph AS value FROM status WHERE mph > 50"))
@@ -78,7 +77,7 @@ def assembled_rejects(spark, sf_dir):
 
 @query("pos_and_accel", check("SELECT event_id, 'posAndAccel' AS key, mph, ax, ay, az FROM status"))
 def pos_and_accel(spark, sf_dir):
-    mapped = named_query("pos_and_accel").mapped(t.status(spark, sf_dir), keep=["event_id"])
+    mapped = stock("pos_and_accel").mapped(t.status(spark, sf_dir), keep=["event_id"])
     return mapped.select("event_id", "key", "value.mph", *[
         F.col(f"value.acceleration.{a}").alias(f"a{a}") for a in "xyz"])
 
@@ -156,18 +155,18 @@ def message_status(spark, sf_dir):
 
 @query("speed_sum", check(f"SELECT 'allNodes' AS key, {TOTAL} AS value FROM status"))
 def speed_sum(spark, sf_dir):
-    return named_query("speed_sum").run(t.status(spark, sf_dir))
+    return stock("speed_sum").run(t.status(spark, sf_dir))
 
 
 @query("dual_speed", check(f"SELECT concat('getSpeed-', node) AS key, {TOTAL} AS value FROM status GROUP BY node"))
 def dual_speed(spark, sf_dir):
-    return named_query("dual_speed").run(t.status(spark, sf_dir))
+    return stock("dual_speed").run(t.status(spark, sf_dir))
 
 
 @query("dual_colors", check("""SELECT concat('getColor-', node) AS key,
     string_agg(DISTINCT color, ',' ORDER BY color) AS colors FROM status GROUP BY node"""))
 def dual_colors(spark, sf_dir):
-    sets = named_query("dual_colors").run(t.status(spark, sf_dir))
+    sets = stock("dual_colors").run(t.status(spark, sf_dir))
     return sets.select("key", F.array_join("value", ",").alias("colors"))
 
 
@@ -181,12 +180,12 @@ def speed_min_max(spark, sf_dir):
 
 @query("speed_by_color", check(f"SELECT color AS key, {TOTAL} AS value FROM status GROUP BY color"))
 def speed_by_color(spark, sf_dir):
-    return named_query("speed_by_color").run(t.status(spark, sf_dir))
+    return stock("speed_by_color").run(t.status(spark, sf_dir))
 
 
 @query("full_reduce", check(f"SELECT {AVERAGE} FROM status"))
 def full_reduce(spark, sf_dir):
-    return named_query("speed_and_count").run_all(t.status(spark, sf_dir))
+    return stock("speed_and_count").run_all(t.status(spark, sf_dir))
 
 
 @query("send_all_first", check("""SELECT node AS key, arg_min(event_id, (ts, event_id)) AS event_id,
@@ -194,7 +193,7 @@ def full_reduce(spark, sf_dir):
     FROM status GROUP BY node"""))
 def send_all_first(spark, sf_dir):
     rows = t.status(spark, sf_dir).select("event_id", "ts", "node", "mph", "color")
-    return named_query("send_all").run(rows).select(
+    return stock("send_all").run(rows).select(
         "key", "value.event_id", "value.ts", "value.mph", "value.color")
 
 

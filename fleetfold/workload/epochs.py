@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.scalars import epoch_start, fixed_units
 from fleetfold.operators import audit, diffusion, epoch
-from fleetfold.plans.catalog import named_query
 from fleetfold.plans.spec import MapReduceQuery, run_tagged
 from fleetfold.session import cut_lineage
 from fleetfold.workload import tables as t
-from fleetfold.workload.registry import query
+from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, ROUNDS, TOTAL, check
 
 PERIODS = (2, 7, 15)
@@ -64,7 +63,7 @@ def epoch_result_pivot(spark, sf_dir):
     time_bucket(INTERVAL '10 seconds', ts) + INTERVAL '10 seconds' AS window_end,
     'speedAndCount' AS key, {AVERAGE} FROM status GROUP BY 1, 2"""))
 def windowed_speed_avg(spark, sf_dir):
-    return named_query("speed_and_count").run_windowed(t.status(spark, sf_dir), "10 seconds")
+    return stock("speed_and_count").run_windowed(t.status(spark, sf_dir), "10 seconds")
 
 
 TAGGED = (

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from fleetfold.operators import geo
 from fleetfold.operators.messages import concat_sources
 from fleetfold.operators.reduce import reduce_by_key
-from fleetfold.plans.catalog import named_query
 from fleetfold.schema import REGION
 from fleetfold.workload import tables as t
-from fleetfold.workload.registry import query
+from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, check
 
 
@@ -23,12 +22,12 @@ def _filtered(name, box):
 
 @query("geo_filtered_dense", _filtered("dense", geo.DENSE_BOX))
 def geo_filtered_dense(spark, sf_dir):
-    return named_query("geo_filtered_dense").run(t.status(spark, sf_dir))
+    return stock("geo_filtered_dense").run(t.status(spark, sf_dir))
 
 
 @query("geo_filtered_sparse", _filtered("sparse", geo.SPARSE_BOX))
 def geo_filtered_sparse(spark, sf_dir):
-    return named_query("geo_filtered_sparse").run(t.status(spark, sf_dir))
+    return stock("geo_filtered_sparse").run(t.status(spark, sf_dir))
 
 
 def _region_rows(boxes):
@@ -67,7 +66,7 @@ def geo_mapped_dense(spark, sf_dir):
 
 @query("geo_mapped_sparse", _mapped(geo.SPARSE_REGIONS))
 def geo_mapped_sparse(spark, sf_dir):
-    return named_query("geo_mapped_sparse").run(t.status(spark, sf_dir))
+    return stock("geo_mapped_sparse").run(t.status(spark, sf_dir))
 
 
 @query("geo_unmatched_dense", check("SELECT event_id FROM placed WHERE rid IS NULL",

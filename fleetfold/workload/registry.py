@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from fleetfold.plans.catalog import named_query
+from fleetfold.plans.spec import MapReduceQuery
 from fleetfold.session import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +26,11 @@ def plain_times(df: DataFrame) -> DataFrame:
     return df.withColumns(zoned) if zoned else df
 
 
+def stock(name: str) -> MapReduceQuery:
+    """A stock query with sums exact to four decimals, so that they can be compared with the SQL check."""
+    return replace(named_query(name), digits=4)
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
     if name in _QUERIES:
         raise ValueError(f"query {name!r} is registered twice")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetfold.operators.messages import concat_sources
-from fleetfold.plans.catalog import named_query
 from fleetfold.session import scratch_path
 from fleetfold.sources.readers import file_stream
 from fleetfold.streaming import queries as running
@@ -14,7 +13,7 @@ from fleetfold.streaming import sinks
 from fleetfold.streaming.release import release_by_epoch
 from fleetfold.workload import tables as t
 from fleetfold.workload.epochs import TAGGED, TAGGED_CHECK
-from fleetfold.workload.registry import query
+from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, check
 
 EVENT_TYPE = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
@@ -23,7 +22,8 @@ DELAY = "1 hour"
 
 def _status_stream(spark, sf_dir):
     schema = StructType.fromDDL(EVENT_TYPE)
-    return t.as_status(file_stream(spark, sf_dir, schema, name_pattern="events.parquet"))
+    # As a pattern the path names the table whether it is one file or a folder of files.
+    return t.as_status(file_stream(spark, f"{sf_dir}/events.parque[t]", schema))
 
 
 def _places(spark, label):
@@ -68,7 +68,7 @@ def stream_multi_query_reduce(spark, sf_dir):
 @query("relay_copy", check("SELECT event_id, 'speedAndCount' AS key, mph AS value FROM status"))
 def relay_copy(spark, sf_dir):
     out, checkpoint = _places(spark, "relay")
-    mapped = named_query("speed_and_count").mapped(_status_stream(spark, sf_dir), keep=["event_id"])
+    mapped = stock("speed_and_count").mapped(_status_stream(spark, sf_dir), keep=["event_id"])
     sinks.relay(mapped, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
@@ -89,8 +89,10 @@ def fan_out_copy(spark, sf_dir):
         WHEN mph < 5 THEN INTERVAL '-1 day' ELSE INTERVAL '0 day' END AS epoch FROM status)
     WHERE ts < epoch + INTERVAL '23 hours'"""))
 def stream_epoch_release(spark, sf_dir):
-    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(t.DAYS))))
-    control = days.selectExpr("node", f"unix_micros(TIMESTAMP'{t.FIRST_DAY}' + make_dt_interval(d)) AS day").selectExpr(
+    span = t.status(spark, sf_dir).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    every = F.sequence(F.to_date(F.lit(span.lo)), F.date_add(F.to_date(F.lit(span.hi)), 1))
+    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(every))
+    control = days.selectExpr("node", "unix_micros(CAST(d AS TIMESTAMP)) AS day").selectExpr(
         "node", """inline(array(
             named_struct('at', day + 3600000000L, 'kind', 'set', 'epoch', day),
             named_struct('at', day + 82800000000L, 'kind', 'hold', 'epoch', day)))""")

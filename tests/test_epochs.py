@@ -105,3 +105,8 @@ def test_scalars(spark):
     assert [r["n"] for r in rows] == [4, 1, 3, 4]
     assert [r["o"] for r in rows] == [8, 3, 10, 8]
     assert df.select(F.max(S.seconds_to_ms("w")).alias("m")).first()["m"] == 2000
+
+
+def test_epochs_before_1970_start_on_their_minute(spark):
+    row = spark.sql("SELECT TIMESTAMP'1969-12-31 23:59:47' AS ts").select(S.epoch_start("ts", 10).cast("string")).first()
+    assert row[0] == "1969-12-31 23:59:40"

@@ -169,3 +169,10 @@ def test_routing_by_query(spark):
 def test_event_time_needs_a_stream_or_batch_column(spark, sf_dir):
     df = event_time(t.status(spark, sf_dir))
     assert dict(df.dtypes)["ts"] == "timestamp"
+
+
+def test_stock_sums_are_plain_sums(spark):
+    rows = spark.createDataFrame([(0.00004,)] * 10, "mph double")
+    assert named_query("speed_sum").run(rows).first()["value"] == pytest.approx(0.0004)
+    odd = spark.createDataFrame([(1.0,), (float("nan"),)], "mph double")
+    assert named_query("speed_sum").run(odd).first()["value"] != 1.0

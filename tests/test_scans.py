@@ -141,3 +141,17 @@ def test_number_times(spark):
     right = spark.createDataFrame([(1, 3.0, 7), (1, 5.0, 8)], "k long, since double, head long")
     heads = {r["v"]: r["head"] for r in scans.as_of(df, right, "k", "at", "since", "head", "scan", 1.0).collect()}
     assert heads == {i: None if i < 12 else 7 if i < 20 else 8 for i in range(40)}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "scan"])
+def test_as_of_on_times_in_seconds_without_a_bucket(spark, strategy):
+    left = spark.createDataFrame([(1, 10.0), (1, 99_999.5), (2, 5.0)], "node long, at double")
+    right = spark.createDataFrame([(1, 9.5, 7), (1, 99_999.0, 8)], "node long, since double, head int")
+    rows = scans.as_of(left, right, "node", "at", "since", "head", strategy)
+    assert {tuple(r) for r in rows.collect()} == {(1, 10.0, 7), (1, 99_999.5, 8), (2, 5.0, None)}
+
+
+def test_a_bucket_must_fit_the_type_of_the_time(spark):
+    left = spark.createDataFrame([(1, 10.0)], "node long, at double")
+    with pytest.raises(ValueError, match="does not fit"):
+        scans.as_of(left, left.selectExpr("node", "at AS since", "1 AS head"), "node", "at", "since", "head", bucket="hour")

@@ -153,3 +153,28 @@ def test_shuffle_size(spark):
         assert size_shuffles(spark, 0) == spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ids_beyond_the_exact_range_of_doubles_are_released_unchanged(spark, folder):
+    big = 2**53 + 1
+    spark.createDataFrame([(1, 5, 100, big)], "node long, at long, epoch long, item long").write.parquet(folder("messages"))
+    spark.createDataFrame([(1, 1, "set", 100)], "node long, at long, kind string, epoch long").write.parquet(folder("control"))
+    streams = [readers.file_stream(spark, folder(n), spark.read.parquet(folder(n)).schema) for n in ("messages", "control")]
+    sinks.append_rows(release_by_epoch(*streams), folder("out"), folder("check")).awaitTermination()
+    assert [r.item for r in spark.read.parquet(folder("out")).collect()] == [big]
+
+
+def test_a_run_saved_twice_is_kept_once(spark, folder):
+    for run in ("first", "second", "first"):
+        sinks.save_results(spark.range(2), folder("runs"), run)
+    counts = spark.read.json(folder("runs")).groupBy("run").count().collect()
+    assert {(r["run"], r["count"]) for r in counts} == {("first", 2), ("second", 2)}
+
+
+def test_stream_queries_read_a_table_that_is_a_folder(spark, sf_dir, folder):
+    import __spark_entry__ as entry
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(folder("table") + "/events.parquet")
+    for name in ("relay_copy", "stream_windowed_speed_avg"):
+        whole, parts = (entry.queries()[name](spark, d) for d in (sf_dir, folder("table")))
+        assert whole.count() == parts.count() > 0 and whole.exceptAll(parts.select(*whole.columns)).count() == 0
