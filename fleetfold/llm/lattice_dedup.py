@@ -54,8 +54,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     keyed = cut_lineage(unique.mapInArrow(_cells(tables, probes), KEYED), "cells")
 
     found = _links(keyed, classes.select("cls", "weight"), cosine, tables)
-    labels = connected(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
-    others = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+    labels = connected(found.select("a", "b")).withColumnRenamed("node", "cls")
+    others = found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     whole = classes.join(labels, "cls", "left").join(others, "cls", "left").select(
         "cls", "rep", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "cls").alias("label"))
     whole = cut_lineage(whole, "class-links")
@@ -69,7 +69,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
 
 def _links(keyed: DataFrame, classes: DataFrame, cosine: float, tables: int) -> DataFrame:
-    """Rows (a, b) that span the linked pairs, and rows (a, null, n) with numbers of linked rows."""
+    """Rows (a, b) that span the linked pairs, and rows (a, a, n) with numbers of linked rows."""
     step = F.size("cells") / tables
     entries = keyed.select("cls", F.posexplode("cells").alias("i", "cell"), step.alias("step"))
     entries = entries.select("cls", "cell", (F.col("i") % F.col("step") == 0).alias("home"))
@@ -145,7 +145,7 @@ def _cells(tables: int, probes: int) -> Callable:
                     home = nearest_e8(y)
                     near = np.argsort(-((y - home) @ roots.T), axis=1, kind="stable")[:, :probes]
                     points = np.concatenate([home[:, None], home[:, None] + roots[near]], 1)
-                    h = (np.rint(points * 2).astype(np.int64) * odd[:8]).sum(2) + t * odd[8] + width * odd[9]
+                    h = (np.rint(points * 2).astype(np.int64) * odd[:8]).sum(2) + (np.array([t, width]) * odd[8:]).sum()
                     h ^= h >> 29
                     keys.append(h * odd[8])
                 keys = np.concatenate(keys, 1)
@@ -180,6 +180,13 @@ def _block(cosine: float, tables: int) -> Callable:
         i, j = np.nonzero(similar)
         cells = np.stack(pdf.cells.tolist()).reshape(len(cls), tables, -1)
         count, root, links = np.zeros(len(cls), np.int64), list(range(len(cls))), []
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
         for lo in range(0, len(i), 20_000):
             a, b = i[lo:lo + 20_000], j[lo:lo + 20_000]
             same = cells[a][:, :, :, None] == cells[b][:, :, None, :]
@@ -190,15 +197,11 @@ def _block(cosine: float, tables: int) -> Callable:
             np.add.at(count, a[mine], weight[b[mine]])
             np.add.at(count, b[mine], weight[a[mine]])
             for x, y in zip(a[mine], b[mine]):
-                p, q = int(x), int(y)
-                while root[p] != p:
-                    p = root[p] = root[root[p]]
-                while root[q] != q:
-                    q = root[q] = root[root[q]]
+                p, q = top(int(x)), top(int(y))
                 if p != q:
                     root[p] = q
                     links.append((cls[x], cls[y], 0))
-        links += [(c, None, n) for c, n in zip(cls, count) if n]
-        return pd.DataFrame(links, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
+        links += [(c, c, n) for c, n in zip(cls, count) if n]
+        return pd.DataFrame(links, columns=["a", "b", "n"], dtype="int64")
 
     return run

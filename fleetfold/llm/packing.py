@@ -17,7 +17,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Pieces a partition packs at a time.
 PART_PIECES = 50_000
 ROUNDS = 4
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Ids go through Python as text: beside a null, pandas would hold them as floating-point numbers.
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, seq int, offset long, open boolean"
 
 
@@ -38,7 +39,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     give pieces of their own. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_pieces(vocabulary, capacity, end), PIECES)
+    cut = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(_pieces(vocabulary, capacity, end), PIECES)
     pieces = cut_lineage(cut, "pieces")
     total = pieces.count()
     done, parts = [], _parts(spark, total, part_pieces)
@@ -59,7 +60,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
         whole = whole.unionByName(more)
     # turn, partition and place in it make the number: 4, 30 and 29 bits
     number = F.shiftleft(F.col("turn").cast("long"), 59) + F.shiftleft("part", 29) + F.col("seq")
-    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
 
 
 def lower_bound(lengths: dict[int, int], capacity: int) -> int:
@@ -107,8 +108,7 @@ def _pieces(vocabulary: str, capacity: int, end: int) -> Callable:
                 while start < count:
                     rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
                     start, length, piece = start + length, capacity, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"}) if rows else out.iloc[:0]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

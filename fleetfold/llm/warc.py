@@ -47,10 +47,12 @@ def write_archives(pages: DataFrame, path: str, range_bytes: int = RANGE_BYTES,
         "refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     bounds = _bounds(pages, range_bytes)
     spark = pages.sparkSession
-    ranged = typed.withColumn("range", F.pandas_udf(_range(bounds), "int")("page_id"))
-    ranged = ranged.select("range", "page_id", "url", "payload", "refers_to")
+    of = F.pandas_udf(_range(bounds), "int")(F.coalesce("page_id", F.lit(-(2**63))))
+    ranged = typed.select(of.alias("range"), "page_id", "url", "payload", "refers_to")
     dealt = ranged.repartitionByRange(max(1, min(len(bounds) + 1, max(partitions(spark), len(bounds) + 1))), "range")
     sorted_rows = dealt.sortWithinPartitions("range", "page_id", "url", "payload", "refers_to")
+    # As text, ids stay exact beside nulls in pandas.
+    sorted_rows = sorted_rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     sorted_rows.mapInPandas(_writer(path, roll_bytes, date), MANIFEST).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
@@ -83,8 +85,7 @@ def _range(bounds: list[int]) -> Callable:
     def run(ids: pd.Series) -> pd.Series:
         import numpy as np
 
-        known = ids.fillna(np.iinfo("int64").min).astype("int64")
-        return pd.Series(np.searchsorted(bounds, known, side="left").astype("int32"))
+        return pd.Series(np.searchsorted(np.array(bounds, "int64"), ids.to_numpy("int64"), side="left").astype("int32"))
 
     return run
 
@@ -144,7 +145,7 @@ def _writer(path: str, roll_bytes: int, date: str) -> Callable:
 
         for batch in batches:
             for of, page, url, payload, refers in batch.itertuples(index=False):
-                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
+                page, refers = (None if x is None else int(x) for x in (page, refers))
                 if state.get("out") and (state["range"] != of or state["bytes"] >= roll_bytes):
                     close()
                 if not state.get("out"):
@@ -160,8 +161,7 @@ def _writer(path: str, roll_bytes: int, date: str) -> Callable:
                     state["last"] = page
         if state.get("out"):
             close()
-        out = pd.DataFrame(done, columns=["file", "range", "roll", "records", "bytes", "sha256", "first_page", "last_page"])
-        yield out.astype({"first_page": "Int64", "last_page": "Int64"})
+        yield _exact(done, ["file", "range", "roll", "records", "bytes", "sha256", "first_page", "last_page"])
 
     return run
 
@@ -191,8 +191,14 @@ def _reader(path: str) -> Callable:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file"]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    return _exact(rows, ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file"])
+
+
+def _exact(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame whose ids may be null and stay whole numbers."""
+    columns = dict(zip(names, zip(*rows) if rows else [()] * len(names)))
+    ids = {"page_id", "refers_to", "first_page", "last_page"}
+    return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in ids else pd.Series(list(c), dtype=object) for n, c in columns.items()})
 
 
 def _records(raw) -> Iterator[tuple]:

@@ -100,8 +100,8 @@ def best(items, capacity):
 
 
 def test_repeats_nulls_and_empty_table(spark, documents):
-    df = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2), (None, "c", 3)], "doc_id long, text string, part int")
+    df = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2), (None, "c", 3), (2**53 + 1, "d", 4)], "doc_id long, text string, part int")
     rows = packing.pack(df, PATH).collect()
-    assert sorted(((r.doc_id, r.length) for r in rows), key=str) == sorted([(1, 3), (1, 3), (None, 2)], key=str)
-    assert len({(r.sequence_id, r.offset) for r in rows}) == 3
+    assert sorted(((r.doc_id, r.length) for r in rows), key=str) == sorted([(1, 3), (1, 3), (None, 2), (2**53 + 1, 2)], key=str)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4
     assert packing.pack(documents(), PATH).count() == 0

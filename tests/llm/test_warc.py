@@ -36,12 +36,12 @@ def read(spark, path):
 
 ROWS = [(i, f"http://h/{i}", f"<p>é {i % 40}</p>" * (i % 9 + 1), "x") for i in range(300)]
 ODD = [(900, None, None, None), (901, "http://a\r\nWARC-Type: x", "", "x"), (None, "http://n", "", "x"), (5, "http://again", ROWS[5][2], "x"),
-       (902, "u", "WARC/1.1\r\n\r\n\r\nx" * 3, "x"), (903, "u", "é" * 300_000, "x"), (7, "u", "other", "x")]
+       (2**53 + 1, "u", ROWS[0][2], "x"), (2**53 + 3, "u", ROWS[0][2], "x"), (902, "u", "WARC/1.1\r\n\r\n\r\nx" * 3, "x"), (903, "u", "é" * 300_000, "x"), (7, "u", "other", "x")]
 
 
 def test_round_trip(spark):
     path = scratch_path(spark, "warc")
-    listed = warc.write_archives(spark.createDataFrame(ROWS + ODD, PAGES), path, range_bytes=2_000, roll_bytes=600)
+    listed = warc.write_archives(spark.createDataFrame(ROWS + ODD, PAGES), path, range_bytes=200_000, roll_bytes=600)
     assert read(spark, path) == expected(ROWS + ODD)
     files = listed.collect()
     assert sum(f.records for f in files) == len(ROWS + ODD) and max(f.roll for f in files) > 0
@@ -57,7 +57,7 @@ def test_round_trip(spark):
 def test_same_rows_give_the_same_files(spark):
     def sums(df):
         path = scratch_path(spark, "warc")
-        return {(f.file, f.sha256) for f in warc.write_archives(df, path, range_bytes=3_000, roll_bytes=900).collect()}
+        return {(f.file, f.sha256) for f in warc.write_archives(df, path, range_bytes=100_000, roll_bytes=900).collect()}
 
     df = spark.createDataFrame(ROWS + ODD, PAGES)
     assert sums(df) == sums(df.repartition(9, "html"))
