@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm.words import cut_lineage, partitions
+from fleetfold.llm.words import cut_lineage, partitions, small_batches
 
 CAPACITY = 1024
 END = 2
@@ -38,7 +38,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     A null text is empty, which is the one id ``end``. Repeated rows and null ids
     give pieces of their own. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(_pieces(vocabulary, capacity, end), PIECES)
     pieces = cut_lineage(cut, "pieces")
     total = pieces.count()
@@ -141,7 +141,7 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     class Chunks(dict):
         def __missing__(self, chunk: str) -> bytes:
             ids = fresh(chunk)
-            if len(self) >= 1_000_000:
+            if len(self) >= 250_000:
                 self.clear()
             self[chunk] = ids
             return ids

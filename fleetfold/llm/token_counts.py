@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetfold.llm.words import small_batches
+
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -26,6 +28,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str
     A null or empty text has no tokens. Rows repeat as they are, all other columns
     stay, and a column already named ``out`` is replaced.
     """
+    small_batches(docs.sparkSession)
     counted = F.pandas_udf(_counter(vocabulary), "long")(F.coalesce(F.col(text), F.lit("")))
     return docs.withColumn(out, counted)
 
@@ -86,7 +89,7 @@ def _counter(path: str) -> Callable:
         class Words(dict):
             def __missing__(self, word: str) -> int:
                 found = count(word.replace(" ", BLANK))
-                if len(self) >= 1_000_000:
+                if len(self) >= 250_000:
                     self.clear()
                 self[word] = found
                 return found

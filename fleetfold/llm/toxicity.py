@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetfold.llm.words import small_batches
+
 #: At most about so many labelled rows are learned from, those with the smallest hashes of their ids.
 MAX_ROWS = 20_000
 BITS = 20
@@ -76,11 +78,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     The weights travel with the tasks: the L1 penalty and the bounded sample bound their number.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, _score(model, text))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that a model learned from ``labels`` scores below ``threshold``, all columns as they are."""
+    small_batches(docs.sparkSession)
     return docs.where(_score(train(docs, labels), "text") < threshold)
 
 
@@ -105,7 +109,7 @@ def _features(bits: int = BITS) -> Callable[[bytes], object]:
     class Hashes(dict):
         def __missing__(self, word: bytes) -> int:
             value = xxhash.xxh64_intdigest(word)
-            if len(self) < 500_000:
+            if len(self) < 150_000:
                 self[word] = value
             return value
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm.words import broadcast_below, cut_lineage, partitions
+from fleetfold.llm.words import broadcast_below, cut_lineage, partitions, small_batches
 
 RANGE_BYTES = 256 * 1024 * 1024
 ROLL_BYTES = 64 * 1024 * 1024
@@ -37,6 +37,7 @@ def write_archives(pages: DataFrame, path: str, range_bytes: int = RANGE_BYTES,
     are responses too. A null ``html`` is an empty payload, a null ``url`` leaves its header out,
     a row without ``page_id`` is a response nobody refers to. Other columns are ignored; an empty table gives an empty manifest.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"), F.sha1(payload).alias("sha"))

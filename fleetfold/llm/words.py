@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.session import cut_lineage, scratch_path
 
-__all__ = ["ascii_lower", "ascii_words", "broadcast_below", "cut_lineage", "fresh_name", "partitions", "scratch_path"]
+__all__ = ["ascii_lower", "ascii_words", "broadcast_below", "cut_lineage", "fresh_name", "partitions", "scratch_path", "small_batches"]
 
 #: Runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +24,12 @@ def ascii_words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> SparkSession:
+    """Sends texts to Python in batches that stay small even where all of them are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
