@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetfold.llm import (
+    checks,
     decontaminate,
     jaccard_join,
     kd_shards,
@@ -89,4 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_benchmark_decontamination": checks.BENCHMARK_DECONTAMINATION,
+        "op7_line_dedup": checks.LINE_DEDUP,
+        "op10_ngram_jaccard_join": checks.NGRAM_JACCARD_JOIN,
+    }
