@@ -17,7 +17,9 @@ SCALE = 1.0
 SEED = 8
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000
-KEYED = "cls long, vector array<double>, cells array<long>"
+CELLS = "cls long, cells array<long>"
+#: Rows that a task compares at a time, at the least a cell's block or two.
+CHUNK = 8_192
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -38,7 +40,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     nothing; vectors of different lengths do not link. A repeated ``vec_id`` is one node whose rows count
     one by one; a null one takes no part and has a null component. Other columns are ignored; an empty table gives an empty result.
     """
-    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    e = F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
     sound = F.coalesce(F.size("e") > 0, F.lit(False)) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(sound, F.lit(False)) & F.exists("e", lambda x: x != 0) & F.col("vec_id").isNotNull()
@@ -51,9 +54,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         raise RuntimeError("two different vectors have one 64-bit fingerprint")
     first = classes.select("cls", F.col("rep").alias("vec_id"))
     unique = rows.where("e is not null").join(broadcast_below(first, BROADCAST_ROWS), ["cls", "vec_id"]).select("cls", "e")
-    keyed = cut_lineage(unique.mapInArrow(_cells(tables, probes), KEYED), "cells")
+    unique = cut_lineage(unique.join(broadcast_below(classes.select("cls", "weight"), BROADCAST_ROWS), "cls"), "unique-vectors")
+    keyed = cut_lineage(unique.select("cls", "e").mapInArrow(_cells(tables, probes), CELLS), "cells")
 
-    found = _links(keyed, classes.select("cls", "weight"), cosine, tables)
+    found = _links(unique, keyed, cosine, tables, probes)
     labels = connected(found.select("a", "b")).withColumnRenamed("node", "cls")
     others = found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     whole = classes.join(labels, "cls", "left").join(others, "cls", "left").select(
@@ -68,11 +72,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(keyed: DataFrame, classes: DataFrame, cosine: float, tables: int) -> DataFrame:
+def _links(unique: DataFrame, keyed: DataFrame, cosine: float, tables: int, probes: int) -> DataFrame:
     """Rows (a, b) that span the linked pairs, and rows (a, a, n) with numbers of linked rows."""
-    step = F.size("cells") / tables
-    entries = keyed.select("cls", F.posexplode("cells").alias("i", "cell"), step.alias("step"))
-    entries = entries.select("cls", "cell", (F.col("i") % F.col("step") == 0).alias("home"))
+    entries = keyed.select("cls", F.posexplode("cells").alias("i", "cell"))
+    entries = entries.select("cls", "cell", (F.col("i") % (1 + probes) == 0).alias("home"))
     full = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("home").alias("home")).where("c > 1 and home")
     full = cut_lineage(full.select("cell", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")), "full-cells")
     met = entries.select("cls", "cell").join(broadcast_below(full, BROADCAST_ROWS), "cell")
@@ -83,9 +86,9 @@ def _links(keyed: DataFrame, classes: DataFrame, cosine: float, tables: int) ->
                         F.when(F.col("s") == t, 0).when(F.col("s") < t, 1).otherwise(2).alias("side"))
 
     placed = met.withColumn("s", s).select("cls", "cell", F.explode(F.transform(F.sequence(F.lit(0), k - 1), meets)).alias("p"))
-    sent = placed.select("cls", "cell", "p.*").join(keyed, "cls").join(broadcast_below(classes, BROADCAST_ROWS), "cls")
-    found = sent.groupBy("cell", "u", "v").applyInPandas(_block(cosine, tables), "a long, b long, n long")
-    return cut_lineage(found, "vector-links")
+    sent = placed.select("cls", "cell", "p.*").join(unique, "cls").select("cell", "u", "v", "side", "cls", "weight", "e")
+    dealt = sent.repartition("cell", "u", "v").sortWithinPartitions("cell", "u", "v", "cls")
+    return cut_lineage(dealt.mapInArrow(_blocks(cosine, tables, probes), "a long, b long, n long"), "vector-links")
 
 
 def nearest_e8(points):
@@ -120,88 +123,154 @@ def e8_roots():
     return np.array(roots)
 
 
+def _unit(vectors):
+    """Rows as unit vectors in double precision."""
+    import numpy as np
+
+    out = np.asarray(vectors, float)
+    out = out / np.abs(out).max(1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _lattice_keys(tables: int, probes: int) -> Callable:
+    """Makes the function from unit vectors to their cells: per table the nearest lattice point and its neighbours, nearest first."""
+    import numpy as np
+
+    roots, known = e8_roots(), {}
+    odd = np.random.default_rng(SEED).integers(1, 2**62, 10, dtype=np.int64) * 2 + 1
+
+    def keys(unit):
+        width = unit.shape[1]
+        if width not in known:
+            known[width] = np.random.default_rng([SEED, width]).normal(size=(tables, width, 8)) * SCALE
+        found = []
+        for t, project in enumerate(known[width]):
+            y = unit @ project
+            home = nearest_e8(y)
+            near = np.argsort(-((y - home) @ roots.T), axis=1, kind="stable")[:, :probes]
+            points = np.concatenate([home[:, None], home[:, None] + roots[near]], 1)
+            h = (np.rint(points * 2).astype(np.int64) * odd[:8]).sum(2) + (np.array([t, width]) * odd[8:]).sum()
+            h ^= h >> 29
+            found.append(h * odd[8])
+        return np.concatenate(found, 1)
+
+    return keys
+
+
 def _cells(tables: int, probes: int) -> Callable:
-    """Unit vectors with their cells: per table the nearest lattice point and its neighbours, nearest first."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        roots, known = e8_roots(), {}
-        rng = np.random.default_rng(SEED)
-        odd = rng.integers(1, 2**62, 10, dtype=np.int64) * 2 + 1
+        keys = _lattice_keys(tables, probes)
         for batch in batches:
-            vectors = [np.array(v, float) for v in batch.column("e").to_pylist()]
+            vectors = batch.column("e").to_pylist()
             cells = [None] * len(vectors)
             for width in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == width]
-                unit = np.array([vectors[i] for i in at])
-                unit /= np.abs(unit).max(1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                if width not in known:
-                    known[width] = np.random.default_rng([SEED, width]).normal(size=(tables, width, 8)) * SCALE
-                keys = []
-                for t, project in enumerate(known[width]):
-                    y = unit @ project
-                    home = nearest_e8(y)
-                    near = np.argsort(-((y - home) @ roots.T), axis=1, kind="stable")[:, :probes]
-                    points = np.concatenate([home[:, None], home[:, None] + roots[near]], 1)
-                    h = (np.rint(points * 2).astype(np.int64) * odd[:8]).sum(2) + (np.array([t, width]) * odd[8:]).sum()
-                    h ^= h >> 29
-                    keys.append(h * odd[8])
-                keys = np.concatenate(keys, 1)
-                for n, i in enumerate(at):
-                    vectors[i], cells[i] = unit[n], keys[n]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.array(vectors, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))],
-                names=["cls", "vector", "cells"])
+                for i, row in zip(at, keys(_unit(np.array([vectors[i] for i in at])))):
+                    cells[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(cells, pa.list_(pa.int64()))], names=["cls", "cells"])
 
     return run
 
 
-def _block(cosine: float, tables: int) -> Callable:
-    """Links of one block with itself or with another, in one cell."""
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("cls").sort_values("cls", ignore_index=True)
-        cell, cls, side, weight = pdf.cell.iat[0], pdf.cls.to_numpy(), pdf.side.to_numpy(), pdf.weight.to_numpy()
-        length = np.array([len(v) for v in pdf.vector])
-        if len(set(length)) > 1:  # other lengths in one cell: a collision of keys
-            similar = np.zeros((len(cls), len(cls)), bool)
-            for w in set(length):
-                at = np.flatnonzero(length == w)
-                part = np.stack(pdf.vector.iloc[at].tolist())
-                similar[np.ix_(at, at)] = part @ part.T >= cosine
-        else:
-            unit = np.stack(pdf.vector.tolist())
-            similar = unit @ unit.T >= cosine
-        similar = np.triu(similar, 1) & ((side[:, None] == 0) | (side[:, None] != side[None, :]))
-        i, j = np.nonzero(similar)
-        cells = np.stack(pdf.cells.tolist()).reshape(len(cls), tables, -1)
-        count, root, links = np.zeros(len(cls), np.int64), list(range(len(cls))), []
+def _blocks(cosine: float, tables: int, probes: int) -> Callable:
+    """Links inside blocks and between two, from rows sorted by cell; many small cells are compared at a time."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        compare = _compare(cosine, tables, probes)
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = _same_as_last(table)
+                if last < rows:
+                    yield compare(table.slice(0, rows - last))
+                    held, rows = table.slice(rows - last).to_batches(), last
+        if rows:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def _same_as_last(table) -> int:
+    """Rows at the end that belong to the last cell and blocks."""
+    import numpy as np
+
+    same = np.ones(table.num_rows, bool)
+    for name in ("cell", "u", "v"):
+        column = table.column(name).to_numpy()
+        same &= column == column[-1]
+    return int(same.sum())
+
+
+def _compare(cosine: float, tables: int, probes: int) -> Callable:
+    import numpy as np
+    import pyarrow as pa
+
+    keys = _lattice_keys(tables, probes)
+
+    def pairs(starts, sizes):
+        """All pairs of rows of each group, a bounded number at a time."""
+        first = np.concatenate([np.arange(s, s + m - 1) for s, m in zip(starts, sizes)] or [np.empty(0, int)])
+        ends = np.repeat(starts + sizes, np.maximum(sizes - 1, 0))
+        many = ends - first - 1
+        done, upto = 0, np.cumsum(many)
+        while done < len(first):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + 50_000, side="right")))
+            i = np.repeat(first[done:stop], many[done:stop])
+            within = np.arange(len(i)) - np.repeat(np.cumsum(many[done:stop]) - many[done:stop], many[done:stop])
+            yield i, i + 1 + within
+            done = stop
+
+    def compare(table):
+        table = table.combine_chunks()
+        cell, u, v, side, cls, weight = (table.column(c).to_numpy() for c in ("cell", "u", "v", "side", "cls", "weight"))
+        lists = table.column("e").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends = np.asarray(lists.offsets)
+        flat, width = np.asarray(lists.values), np.diff(ends)
+        count, root, links = np.zeros(len(cls), np.int64), {}, []
 
         def top(p: int) -> int:
-            while root[p] != p:
+            while root.setdefault(p, p) != p:
                 root[p] = root[root[p]]
                 p = root[p]
             return p
 
-        for lo in range(0, len(i), 20_000):
-            a, b = i[lo:lo + 20_000], j[lo:lo + 20_000]
-            same = cells[a][:, :, :, None] == cells[b][:, :, None, :]
-            same[:, :, 1:, 1:] = False  # a neighbour of both is nobody's own cell
-            shared = np.where(same.any(3), cells[a], np.iinfo(np.int64).max).reshape(len(a), -1)
-            first = shared.min(1)
-            mine = first == cell
-            np.add.at(count, a[mine], weight[b[mine]])
-            np.add.at(count, b[mine], weight[a[mine]])
-            for x, y in zip(a[mine], b[mine]):
-                p, q = top(int(x)), top(int(y))
-                if p != q:
-                    root[p] = q
-                    links.append((cls[x], cls[y], 0))
-        links += [(c, c, n) for c, n in zip(cls, count) if n]
-        return pd.DataFrame(links, columns=["a", "b", "n"], dtype="int64")
-
-    return run
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            unit = _unit(flat[ends[at][:, None] + np.arange(w)])
+            border = np.flatnonzero(np.concatenate([[True], (np.diff(cell[at]) != 0) | (np.diff(u[at]) != 0) | (np.diff(v[at]) != 0)]))
+            for i, j in pairs(border, np.diff(np.append(border, len(at)))):
+                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+                i, j = i[near], j[near]
+                x, y = at[i], at[j]
+                fits = (cls[x] != cls[y]) & ((side[x] == 0) | (side[x] != side[y]))
+                i, j, x, y = i[fits], j[fits], x[fits], y[fits]
+                if not len(i):
+                    continue
+                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                of = keys(unit[used]).reshape(len(used), tables, 1 + probes)
+                one, two = of[place[:len(i)]], of[place[len(i):]]
+                same = one[:, :, :, None] == two[:, :, None, :]
+                same[:, :, 1:, 1:] = False  # a neighbour of both is nobody's own cell
+                first = np.where(same.any(3), one, np.iinfo(np.int64).max).reshape(len(i), -1).min(1)
+                mine = first == cell[x]
+                np.add.at(count, x[mine], weight[y[mine]])
+                np.add.at(count, y[mine], weight[x[mine]])
+                for p, q in zip(x[mine].tolist(), y[mine].tolist()):
+                    p, q = top(p), top(q)
+                    if p != q:
+                        root[p] = q
+                        links.append((cls[p], cls[q], 0))
+        a, b, n = zip(*links) if links else ((), (), ())
+        some = np.flatnonzero(count)
+        columns = [np.concatenate([np.array(x, np.int64), y]) for x, y in ((a, cls[some]), (b, cls[some]), (n, count[some]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+
+    return compare
