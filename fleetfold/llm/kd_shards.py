@@ -37,8 +37,7 @@ class Tree:
         """The leaf of a point, given as an array of its coordinates."""
         if not self.depth:
             return F.lit(0)
-        dim, left, right = (F.array(*map(F.lit, c)) for c in (self.dim, self.left, self.right))
-        cut = F.array(*map(F.lit, self.cut))
+        dim, left, right, cut = map(_listed, (self.dim, self.left, self.right, self.cut))
 
         def down(node: Column, _: Column) -> Column:
             below = F.when(F.get(x, F.get(dim, node)) <= F.get(cut, node), F.get(left, node)).otherwise(F.get(right, node))
@@ -80,11 +79,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, leaves_per_shard: int = LEAVES
     for leaf in sorted(weights, key=lambda n: (-weights[n], n)):
         shard_of[leaf] = min(range(shards), key=lambda s: (filled[s], s))
         filled[shard_of[leaf]] += weights[leaf]
-    placed = points.select("g1", "g2", "part", F.get(F.array(*map(F.lit, shard_of)), tree.leaf(F.col("x"))).alias("shard"))
+    placed = points.select("g1", "g2", "part", F.get(_listed(shard_of), tree.leaf(F.col("x"))).alias("shard"))
     placed = cut_lineage(placed, "points-placed")
     return _slots(rows.join(placed, ["g1", "g2", "part"]), count, shards)
 
 
+def _listed(values: list[int] | list[float]) -> Column:
+    """A constant array, parsed in one go."""
+    return F.expr("array(" + ", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in values) + ")")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
@@ -124,7 +128,7 @@ def _grow(points: DataFrame, target: int) -> tuple[Tree, dict[int, int]]:
             break
         size = max(wide) + 1
         dim, lo, hi = ([wide[c][k] if c in wide else (-1, 0.0, 1.0)[k] for c in range(size)] for k in range(3))
-        at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cell"))
+        at = lambda values: F.get(_listed(values), F.col("cell"))
         inside = open_cells.where(at(dim) >= 0).select("cell", "w", F.get("x", at(dim)).alias("v"), at(lo).alias("lo"), at(hi).alias("hi"))
         bins = inside.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
         counted: dict[int, list] = {c: [] for c in wide}
