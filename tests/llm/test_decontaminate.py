@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from fleetfold.llm import decontaminate
 
@@ -51,6 +52,28 @@ def test_against_brute_force(spark, documents):
     assert want and found(documents(*rows), bench(spark, *items)) == want
 
 
+def test_substitutions_at_the_limit_leave_no_place_out(spark, documents, words):
+    """All patterns of short items, and each fourth word replaced in long ones."""
+    items = [words(30 + n, n, 10**6) for n in (8, 9, 12, 15, 16)] + [words(50 + n, n, 10**6) for n in (20, 40, 55)]
+    rows, want = [], {}
+
+    def add(item, gone):
+        w = items[item].split()
+        of = min(len(w), 20)
+        top = max(sum(k not in gone for k in range(a, a + of)) for a in range(len(w) - of + 1))
+        want[len(rows), item] = (2, top, of)
+        rows.append((len(rows), "so then " + " ".join("zz" if k in gone else x for k, x in enumerate(w)) + " the end"))
+
+    for item in range(5):
+        n = len(items[item].split())
+        for gone in combinations(range(n), n // 4):
+            add(item, gone)
+    for item in range(5, 8):
+        for offset in range(4):
+            add(item, range(offset, len(items[item].split()), 4))
+    assert found(documents(*rows), bench(spark, *enumerate(items))) == want
+
+
 def test_filter_nulls_and_repeats(spark, words):
     item = words(20, 30)
     df = spark.createDataFrame([(1, item, "a"), (1, "clean", "b"), (None, item, "c"), (None, "clean", None), (2, None, "d"), (2, None, "d")],
