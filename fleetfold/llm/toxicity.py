@@ -16,9 +16,8 @@ from fleetfold.llm.words import small_batches
 MAX_ROWS = 20_000
 BITS = 20
 SHARDS = 5
-ROWS_PER_SHARD = 4_000
 EPOCHS = 4
-STATE = "shard int, i int, z double, n double"
+MOVED = "shard int, places binary, z binary, n binary"
 
 
 @dataclass(frozen=True)
@@ -43,34 +42,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     """Learns ``label`` (0 or 1) of ``labels`` from the texts of ``docs`` with the same ``doc_id``.
 
     The sample is bounded by ``max_rows``. It is dealt to a fixed number of
-    shards by hash; each epoch every shard runs over its rows from the common state, and
-    the states are averaged over the shards that moved a coordinate. A shard
-    returns only coordinates whose weight is not nought. The outcome does not depend on partitions.
+    shards by hash; each epoch every shard runs over its rows from the common state and
+    returns by how much it moved every coordinate, at most 2**20, in 32-bit floats. The states are averaged over all
+    shards; one that did not move a coordinate counts with the common state. The L1 penalty applies
+    only where a weight is read, so evidence below it adds up. The outcome does not depend on partitions.
 
     Rows with a null id, label or text teach nothing; rows that repeat an id with
     different labels are left out, repeated texts of an id count once each. Without any labelled row
     the model has no weights and calls nothing toxic.
     """
+    import numpy as np
+
     agreed = (labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id")
               .agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1").select("doc_id", "y"))
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = chosen.count()
-    if rows == 0:
+    if chosen.count() == 0:
         return Model()
-    shards = max(1, min(SHARDS, rows // ROWS_PER_SHARD))
-    dealt = sample.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"),
+    dealt = sample.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard"),
                           "doc_id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
-    state: dict[int, tuple[float, float]] = {}
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias
     for _ in range(epochs):
-        moved = dealt.groupBy("shard").applyInPandas(_epoch(dict(state), rates), STATE)
-        mixed = moved.groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
-        state |= {r.i: (r.z, r.n) for r in mixed.toLocalIterator()}
-    index = sorted(i for i in state if i >= 0)
-    weights = {i: _weight(*state[i], rates) for i in index}
-    kept = [i for i in index if weights[i]]
-    bias = _weight(*state[-1], Rates(rates.alpha, rates.beta, 0.0, rates.l2)) if -1 in state else Model().bias
-    return Model(kept, [weights[i] for i in kept], bias)
+        moved = dealt.groupBy("shard").applyInPandas(_epoch(z, n, rates), MOVED).collect()
+        z, n = z.copy(), n.copy()
+        for r in sorted(moved, key=lambda r: r.shard):
+            i = np.flatnonzero(np.unpackbits(np.frombuffer(r.places, np.uint8), count=len(z)))
+            z[i] += np.frombuffer(r.z, np.float32) / float(SHARDS)
+            n[i] += np.frombuffer(r.n, np.float32) / float(SHARDS)
+    kept = np.flatnonzero(np.abs(z[:-1]) > rates.l1).tolist()
+    bias = _weight(float(z[-1]), float(n[-1]), Rates(rates.alpha, rates.beta, 0.0, rates.l2)) if n[-1] else Model().bias
+    return Model(kept, [_weight(float(z[i]), float(n[i]), rates) for i in kept], bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -130,18 +131,15 @@ def _features(bits: int = BITS) -> Callable[[bytes], object]:
     return places
 
 
-def _epoch(state: dict[int, tuple[float, float]], rates: Rates) -> Callable:
-    """One pass of a shard over its rows, in the order of their hashes."""
+def _epoch(z0, n0, rates: Rates) -> Callable:
+    """One pass of a shard over its rows, in the order of their hashes: by how much it moved which coordinates."""
     def run(pdf):
         import numpy as np
         import xxhash
 
         places = _features()
-        z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for i, (a, b) in state.items():
-            if i >= 0:
-                z[i], n[i] = a, b
-        zb, nb = state.get(-1, (0.0, 0.0))
+        z, n = z0.copy(), n0.copy()
+        zb, nb = float(z[-1]), float(n[-1])
         free = Rates(rates.alpha, rates.beta, 0.0, rates.l2)
         order = sorted(range(len(pdf)), key=lambda k: (xxhash.xxh64_intdigest(str(pdf.doc_id.iat[k])), bytes(pdf.text.iat[k])))
         before = None
@@ -161,9 +159,10 @@ def _epoch(state: dict[int, tuple[float, float]], rates: Rates) -> Callable:
             n[i] = ni + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb ** 0.5) / rates.alpha * wb
             nb += g * g
-        kept = np.flatnonzero(np.abs(z) > rates.l1)
-        shard = pdf.shard.iat[0]
-        return pd.DataFrame({"shard": shard, "i": np.append(kept, -1), "z": np.append(z[kept], zb), "n": np.append(n[kept], nb)})
+        z[-1], n[-1] = zb, nb
+        moved = (z != z0) | (n != n0)
+        by = [(a - b)[moved].astype(np.float32).tobytes() for a, b in ((z, z0), (n, n0))]
+        return pd.DataFrame({"shard": [pdf.shard.iat[0]], "places": [np.packbits(moved).tobytes()], "z": by[:1], "n": by[1:]})
 
     return run
 

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+import xxhash
 
 from fleetfold.llm import toxicity
 from fleetfold.llm.queries import op2_toxicity
@@ -56,6 +58,35 @@ def test_odd_labels(spark, documents):
     assert toxicity.train(documents(), labels.limit(0)) == toxicity.Model()
 
 
+def test_states_are_averaged_over_all_shards_without_a_cut(spark, documents):
+    """Every coordinate as plain runs of the shards say, averaged each epoch, the penalty only in the weights."""
+    rates, rng = toxicity.Rates(), random.Random(6)
+    rows = [(i, "common " + ("rare " if i % 5 == 0 else "") + f"w{rng.randrange(30)}") for i in range(400)]
+    labels = {i: int(i % 10 == 0 or rng.random() < 0.1) for i, _ in rows}
+    frame = spark.createDataFrame([(i,) for i in labels], "doc_id long")
+    shard = {r.doc_id: r.s for r in frame.selectExpr("doc_id", "pmod(xxhash64(doc_id, 7), 5) AS s").collect()}
+    places = toxicity._features()
+    state = {}
+    for _ in range(toxicity.EPOCHS):
+        ends = []
+        for s in range(5):
+            mine = dict(state)
+            for i, text in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r[0]))):
+                if shard[i] == s:
+                    at = [*set(places(text.encode()).tolist()), -1]
+                    free = toxicity.Rates(l1=0.0)
+                    w = {c: toxicity._weight(*mine.get(c, (0.0, 0.0)), rates if c >= 0 else free) for c in at}
+                    g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+                    for c in at:
+                        z, n = mine.get(c, (0.0, 0.0))
+                        mine[c] = (z + g - (math.sqrt(n + g * g) - math.sqrt(n)) / rates.alpha * w[c], n + g * g)
+            ends.append(mine)
+        state = {c: tuple(sum(e.get(c, state.get(c, (0.0, 0.0)))[k] for e in ends) / 5 for k in (0, 1)) for c in set().union(*ends)}
+    want = {c: w for c in state if c >= 0 and (w := toxicity._weight(*state[c], rates))}
+    model = toxicity.train(documents(*rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    assert want and dict(zip(model.index, model.weight)) == pytest.approx(want)
+
+
 def test_filter_keeps_columns(spark):
     rows, labels = corpus(1200, 3)
     df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
