@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetfold.llm.words import broadcast_below, cut_lineage, fresh_name
 
 PERCENT = 5
-MIN_PAGES = 5
+#: Only what repetition itself needs; the share of pages decides.
+MIN_PAGES = 2
 BROADCAST_ROWS = 500_000
 
 
@@ -18,7 +19,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", percent: float = PER
 
     A line is the text between line feeds, compared without blanks around it;
     blank lines always stay. A line is boilerplate on a host when more than
-    ``percent`` of the host's pages contain it, and at least ``min_pages`` do. A
+    ``percent`` of the host's pages contain it, and at least ``min_pages`` do: by default
+    two, which is repetition itself, so that the share decides on hosts of any size. A
     page is a distinct text of the host, so exact copies of a page count once: they
     are the concern of document deduplication. ``n_chars``, where there is such a
     column, becomes the new length.

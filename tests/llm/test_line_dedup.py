@@ -36,3 +36,10 @@ def test_empty_table_and_long_text(documents):
     text = "\n".join(["nav"] * 20_000 + ["end"])
     rows = [(i, text + str(i)) for i in range(6)]
     assert {r.text for r in line_dedup.drop_boilerplate(documents(*rows)).collect()} == {f"end{i}" for i in range(6)}
+
+
+def test_hosts_of_few_pages_lose_what_repeats(documents):
+    rows = [(10 * h + i, f"nav {h}\nbody {h} {i}\n nav {h}", f"host {h}") for h in range(60) for i in range(2 + h % 3)]
+    rows += [(1000 + h, f"only {h}\nnav {h}", f"single {h}") for h in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(documents(*rows)).collect()}
+    assert got == {i: text if i >= 1000 else text.split("\n")[1] for i, text, _ in rows}
