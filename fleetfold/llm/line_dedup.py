@@ -22,7 +22,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", percent: float = PER
     ``percent`` of the host's pages contain it, and at least ``min_pages`` do: by default
     two, which is repetition itself, so that the share decides on hosts of any size. A
     page is a distinct text of the host, so exact copies of a page count once: they
-    are the concern of document deduplication. ``n_chars``, where there is such a
+    are the concern of document deduplication. Near copies are distinct texts and count
+    as a page each: a group of them that makes up more than ``percent`` of the host's
+    pages loses the lines its members share, in every member, also in the one that a
+    later deduplication keeps; a smaller group loses none by itself. ``n_chars``, where there is such a
     column, becomes the new length.
 
     A null host is a host of its own. Null texts stay null, empty ones empty; a

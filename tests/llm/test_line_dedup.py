@@ -43,3 +43,13 @@ def test_hosts_of_few_pages_lose_what_repeats(documents):
     rows += [(1000 + h, f"only {h}\nnav {h}", f"single {h}") for h in range(5)]
     got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(documents(*rows)).collect()}
     assert got == {i: text if i >= 1000 else text.split("\n")[1] for i, text, _ in rows}
+
+
+def test_near_copies_above_the_share_lose_what_they_share(documents):
+    """5 of 100 pages are not over 5 %, 6 are; exact copies of a member add nothing."""
+    shared = "first shared line\nsecond shared line\n"
+    for size in (5, 6):
+        rows = [(i, f"{shared}edit {i}") for i in range(size)] + [(i, f"body {i}") for i in range(size, 100)]
+        rows += [(200 + i, f"{shared}edit 0") for i in range(50)]
+        got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(documents(*rows)).collect()}
+        assert got == {i: text.replace(shared, "") if size == 6 else text for i, text in rows}
