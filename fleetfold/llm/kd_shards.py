@@ -11,8 +11,9 @@ from fleetfold.llm.words import cut_lineage
 
 SHARDS = 8
 LEAVES_PER_SHARD = 32
-MAX_DEPTH = 24
 BINS = 256
+#: The bin that holds a cell's median is binned again while it has more than such a part of the cell's bytes.
+FINE = 32
 DIMENSIONS = ("doc_id", "lang", "source", "size")
 ROWS_PER_SLOT_GROUP = 20_000
 
@@ -50,8 +51,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, leaves_per_shard: int = LEAVES
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``size`` is the bytes of the text in UTF-8 plus one. Cells of (``doc_id``,
-    ``lang``, ``source``, ``size``) are split along their widest dimension at the median
-    by bytes until a leaf has at most a ``leaves_per_shard``-th of a shard; the leaves,
+    ``lang``, ``source``, ``size``) are split along their widest dimension near the median
+    by bytes (within a 32nd of the cell, or at a value that itself has more) until a leaf has at most a ``leaves_per_shard``-th of a shard; the leaves,
     largest first, go to the shard with the fewest bytes. The law is ``bytes``: sizes are near equal.
     ``slot`` numbers a shard's documents from 0 without gaps; ``grown_shard`` is null.
 
@@ -108,10 +109,13 @@ def _points(rows: DataFrame, low: int | None, high: int | None, largest: int | N
 
 
 def _grow(points: DataFrame, target: int) -> tuple[Tree, dict[int, int]]:
-    """The tree, and the bytes of its leaves; each level is two aggregations over all open cells."""
+    """The tree, and the bytes of its leaves; each level is an aggregation over all open cells and some over their medians' bins.
+
+    A split leaves points on both sides, so this ends with leaves that are small enough or whose points are all alike.
+    """
     tree, weights, grown = Tree(), {}, 0
     dims = range(len(DIMENSIONS))
-    for _ in range(MAX_DEPTH):
+    while True:
         celled = points.select("w", "x", tree.leaf(F.col("x")).alias("cell"))
         open_cells = celled.where(F.col("cell") >= grown)
         grown = len(tree.dim)
@@ -126,30 +130,39 @@ def _grow(points: DataFrame, target: int) -> tuple[Tree, dict[int, int]]:
                 wide[b.cell] = (d, b.lo[d], b.hi[d])
         if not wide:
             break
-        size = max(wide) + 1
-        dim, lo, hi = ([wide[c][k] if c in wide else (-1, 0.0, 1.0)[k] for c in range(size)] for k in range(3))
-        at = lambda values: F.get(_listed(values), F.col("cell"))
-        inside = open_cells.where(at(dim) >= 0).select("cell", "w", F.get("x", at(dim)).alias("v"), at(lo).alias("lo"), at(hi).alias("hi"))
-        bins = inside.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
-        counted: dict[int, list] = {c: [] for c in wide}
-        for r in bins.groupBy("cell", "bin").agg(F.sum("w").alias("w"), F.max("v").alias("top")).collect():
-            counted[r.cell].append((r.bin, r.w, r.top))
-        for cell, (d, _, top) in wide.items():
+        cuts = _medians(open_cells, wide, {c: weights[c] for c in wide})
+        for cell, (d, _, _) in wide.items():
             del weights[cell]
-            tree.split(cell, d, _median(sorted(counted[cell]), top))
+            tree.split(cell, d, cuts[cell])
         tree.depth += 1
     return tree, weights
 
 
-def _median(bins: list[tuple[int, int, float]], top: float) -> float:
-    """The upper end of the bin that comes nearest to half the bytes; something always stays above it."""
-    half = sum(w for _, w, _ in bins) / 2
-    below, best = 0, (float("inf"), top)
-    for _, w, end in bins:
-        below += w
-        if end < top:
-            best = min(best, (abs(below - half), end))
-    return best[1]
+def _medians(cells: DataFrame, wide: dict[int, tuple[int, float, float]], weights: dict[int, int]) -> dict[int, float]:
+    """Per cell the value nearest to half its bytes along its dimension, with something above it."""
+    best = {c: (float("inf"), lo) for c, (_, lo, _) in wide.items()}
+    ranges = {c: (d, lo, hi, 0) for c, (d, lo, hi) in wide.items()}
+    while ranges:
+        size = max(ranges) + 1
+        dim, lo, hi = ([ranges[c][k] if c in ranges else (-1, 0.0, 1.0)[k] for c in range(size)] for k in range(3))
+        at = lambda values: F.get(_listed(values), F.col("cell"))
+        inside = cells.where(at(dim) >= 0).select("cell", "w", F.get("x", at(dim)).alias("v"), at(lo).alias("lo"), at(hi).alias("hi"))
+        inside = inside.where("v between lo and hi")
+        bins = inside.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)))
+        counted: dict[int, list] = {c: [] for c in ranges}
+        for r in bins.groupBy("cell", "bin").agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("top")).collect():
+            counted[r.cell].append((r.bin, r.w, r.low, r.top))
+        finer = {}
+        for cell, (d, _, _, below) in ranges.items():
+            half, top = weights[cell] / 2, wide[cell][2]
+            for _, w, low, end in sorted(counted[cell]):
+                if below < half <= below + w and w * FINE > weights[cell] and low < end:
+                    finer[cell] = (d, low, end, below)
+                below += w
+                if end < top:
+                    best[cell] = min(best[cell], (abs(below - half), end))
+        ranges = finer
+    return {c: cut for c, (_, cut) in best.items()}
 
 
 def _slots(placed: DataFrame, count: int, shards: int) -> DataFrame:

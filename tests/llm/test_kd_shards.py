@@ -42,6 +42,13 @@ def test_tree_splits_the_widest_dimension(documents, words):
     assert len({r.shard for r in out}) == 8
 
 
+def test_values_of_all_magnitudes_are_split_at_their_median(spark):
+    points = spark.createDataFrame([(1, [2.0 ** (-9 * k), 0.0, 0.0, 0.0]) for k in range(100)], "w long, x array<double>")
+    tree, weights = kd_shards._grow(points, 1)
+    assert tree.cut[0] == 2.0 ** (-9 * 50) and tree.depth <= 7
+    assert sorted(weights.values()) == [1] * 100
+
+
 def test_odd_rows(spark, documents, words):
     rows = [(1, None), (1, None), (None, ""), (2, "é" * 100_000), (3, "x"), (3, "y"), (-5, "z")]
     check(documents(*rows), rows)
