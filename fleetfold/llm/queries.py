@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetfold.llm import (
     checks,
+    content_sort,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     kd_shards,
     lattice_dedup,
@@ -19,6 +21,7 @@ from fleetfold.llm import (
     token_counts,
     toxicity,
     warc,
+    whitening,
 )
 from fleetfold.llm.words import scratch_path
 from fleetfold.session import prepare
@@ -86,6 +89,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.copies(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
@@ -95,4 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": checks.BENCHMARK_DECONTAMINATION,
         "op7_line_dedup": checks.LINE_DEDUP,
         "op10_ngram_jaccard_join": checks.NGRAM_JACCARD_JOIN,
+        "op11_content_sort": checks.CONTENT_SORT,
+        "op13_hard_negatives": checks.HARD_NEGATIVES,
     }
