@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetfold.functions.scalars import octets
 from fleetfold.operators.reduce import aggregates, merge_averages
 from fleetfold.operators.scans import as_of, running_total
+from fleetfold.streaming.in_order import SLOTS, as_of_in_order
 
 
 def assign_heads(status: DataFrame, membership: DataFrame, time: str = "ts",
@@ -19,6 +20,13 @@ def assign_heads(status: DataFrame, membership: DataFrame, time: str = "ts",
     return routed.withColumn("head", F.coalesce("head", "node"))
 
 
+def stream_heads(status: DataFrame, membership: DataFrame, time: str = "ts", delay: str = "1 minute",
+                 slots: int = SLOTS) -> DataFrame:
+    """``assign_heads`` on streams: both sides arrive in any order within ``delay``."""
+    routed = as_of_in_order(status, membership, "node", time, time, "head", delay, slots)
+    return routed.withColumn("head", F.coalesce("head", "node"))
+
+
 def per_cluster_reduce(mapped: DataFrame, op: str, by: Sequence[Column | str] = (),
                        digits: int | None = None) -> DataFrame:
     """First level: rows (head, key, value) reduced at each cluster head."""

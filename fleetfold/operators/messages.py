@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -14,18 +14,30 @@ ENVELOPE_FIELDS = ("value", "query_uid", "created_ms", "is_canary")
 
 
 def wrap(df: DataFrame, key: Column, value: Column, query_uid: Column | None = None,
-         created_ms: Column | None = None, is_canary: Column | None = None) -> DataFrame:
-    """Key and value as JSON texts, each carrying tag, creation time and probe flag."""
+         created_ms: Column | None = None, is_canary: Column | None = None,
+         value_uid: Column | None = None) -> DataFrame:
+    """Key and value as JSON texts, each carrying tag, creation time and probe flag, without other columns.
+
+    ``value_uid`` tags the value otherwise than the key, as a faulty sender does.
+    """
+    return wrap_columns(df, key, value, query_uid, created_ms, is_canary, value_uid).select("key", "value")
+
+
+def wrap_columns(df: DataFrame, key: Column, value: Column, query_uid: Column | None = None,
+                 created_ms: Column | None = None, is_canary: Column | None = None,
+                 value_uid: Column | None = None) -> DataFrame:
+    """As ``wrap``, beside the frame's other columns."""
     now = (F.unix_micros(F.current_timestamp()) / 1000).cast("bigint")
+    key_uid = query_uid if query_uid is not None else F.lit(None).cast("string")
     meta = [
-        (query_uid if query_uid is not None else F.lit(None).cast("string")).alias("query_uid"),
         (created_ms if created_ms is not None else now).alias("created_ms"),
         (is_canary if is_canary is not None else F.lit(False)).alias("is_canary"),
     ]
-    return df.select(
-        F.to_json(F.struct(key.alias("value"), *meta)).alias("key"),
-        F.to_json(F.struct(value.alias("value"), *meta)).alias("value"),
-    )
+    of_value = key_uid if value_uid is None else value_uid
+    return df.withColumns({
+        "key": F.to_json(F.struct(key.alias("value"), key_uid.alias("query_uid"), *meta)),
+        "value": F.to_json(F.struct(value.alias("value"), of_value.alias("query_uid"), *meta)),
+    })
 
 
 def envelope_type(value_type: DataType | str) -> str:
@@ -57,13 +69,17 @@ def drop_canaries(df: DataFrame, flag: str = "is_canary") -> DataFrame:
 
 
 def for_query(df: DataFrame, query_uid: str, key_tag: str = "key_uid",
-              value_tag: str = "value_uid", strict: bool = False) -> DataFrame:
+              value_tag: str = "value_uid", strict: bool = False,
+              observation: Observation | str | None = None) -> DataFrame:
     """Records of one query; an untagged record belongs to none.
 
     Key and value tags must agree. A record on which they differ is left out,
-    or raises an error when ``strict``.
+    or raises an error when ``strict``. An ``observation`` gets the numbers of all ``records`` and of those
+    with ``clashing`` tags from the pass that filters; on a stream its name appears in every batch's progress.
     """
     agree = F.col(key_tag).eqNullSafe(F.col(value_tag))
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("records"), F.count_if(~agree).alias("clashing"))
     wanted = F.col(key_tag) == F.lit(query_uid)
     if not strict:
         return df.where(wanted & agree)

@@ -58,6 +58,18 @@ def merge_averages(df: DataFrame, keys: Sequence[Column | str], digits: int | No
     )
 
 
+def merges(op: str, value: str = "value", digits: int | None = None) -> list[Column]:
+    """Aggregate columns that reduce the results of ``aggregates`` once more, for reductions that allow it."""
+    if op == "average":
+        total = F.sum("total") if digits is None else fixed_sum("total", digits)
+        return [total.alias("total"), F.sum("n").alias("n"), F.try_divide(total, F.sum("n")).alias("mean")]
+    if op == "union":
+        return [F.sort_array(F.array_distinct(F.flatten(F.collect_list(value)))).alias(value)]
+    if op in ("sum", "min", "max"):
+        return aggregates(op, value, digits=digits)
+    raise ValueError(f"results of {op!r} cannot be reduced again")
+
+
 def full_reduce(df: DataFrame, op: str, value: str = "value",
                 digits: int | None = None) -> DataFrame:
     """Reduction over all rows; tasks send one partial row each."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetfold.operators.messages import concat_sources, drop_canaries, drop_null_records, for_query, unwrap
+from fleetfold.operators.reduce import merges
 from fleetfold.plans.spec import MapReduceQuery, run_tagged
 
 
@@ -25,3 +27,31 @@ def multi_windowed(queries: Sequence[MapReduceQuery], stream: DataFrame, window:
                    time: str = "ts", delay: str = "1 minute") -> DataFrame:
     """Several declared queries over one reading of a stream, told apart by their id."""
     return run_tagged(queries, event_time(stream, time, delay), window, time)
+
+
+def two_level(query: MapReduceQuery, routed: DataFrame, window: str = "10 seconds", time: str = "ts",
+              head: str = "head") -> DataFrame:
+    """A declared query in tumbling windows, reduced at each cluster head first and then over all heads.
+
+    ``routed`` has a watermark on ``time``. Both reductions keep state and run in one stream in append mode: a window leaves
+    the first level, with its end as event time, when the watermark passes it, and the second level thereafter.
+    ``heads`` is the number of heads that reported on a key.
+    """
+    at_head = query.mapped(routed, [time, head]).groupBy(F.window(time, window), head, "key").agg(*query.aggregates())
+    span = F.window(F.window_time("window"), window)
+    whole = at_head.groupBy(span, "key").agg(*merges(query.reduce, digits=query.digits), F.count(F.lit(1)).alias("heads"))
+    return whole.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                        *[c for c in whole.columns if c != "window"])
+
+
+def enveloped(query_uid: str, sources: Mapping[str, DataFrame], key_type: str, value_type: str,
+              observation: str | None = None) -> DataFrame:
+    """One query's records from several streams of enveloped messages: typed, with ``ts``, their time of creation.
+
+    Probes, records without a value and records of other queries are left out; ``observation`` names
+    the count of records whose key and value are tagged differently.
+    """
+    raw = concat_sources(sources)
+    typed = unwrap(raw, key_type, value_type)
+    own = for_query(drop_null_records(drop_canaries(typed)), query_uid, observation=observation)
+    return own.select("key", "value", F.timestamp_millis("created_ms").alias("ts"))

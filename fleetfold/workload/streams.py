@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
+from fleetfold.operators import cluster
+from fleetfold.operators import messages as M
 from fleetfold.operators.messages import concat_sources
+from fleetfold.plans.spec import MapReduceQuery
 from fleetfold.session import scratch_path
 from fleetfold.sources.readers import file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
-from fleetfold.streaming.release import release_by_epoch
+from fleetfold.streaming.in_order import release_in_order
 from fleetfold.workload import tables as t
 from fleetfold.workload.epochs import TAGGED, TAGGED_CHECK
 from fleetfold.workload.registry import query, stock
@@ -18,6 +23,7 @@ from fleetfold.workload.tables import AVERAGE, check
 
 EVENT_TYPE = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 DELAY = "1 hour"
+LAST = datetime(2100, 1, 1)
 
 
 def _status_stream(spark, sf_dir):
@@ -82,6 +88,27 @@ def fan_out_copy(spark, sf_dir):
     return concat_sources(copies, label="sink")
 
 
+def _arriving(spark, df, time, label, closing):
+    """A frame as a stream of several batches: written in slices of time, each a file or more, read one slice a trigger.
+
+    Rows arrive up to half of ``DELAY`` late. ``closing`` is a last row far ahead, which lets the watermark pass all others.
+    """
+    late = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(30 * 60))
+    rows = df.withColumn("_at", F.unix_seconds(F.col(time).cast("timestamp")) + late)
+    span = rows.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    folder, slices = scratch_path(spark, label), 3
+    if span.lo is not None:
+        size = F.lit(max(1, -(-(span.hi + 1 - span.lo) // slices)))
+        part = F.floor((F.col("_at") - F.lit(span.lo)) / size)
+        for k in range(slices):
+            rows.where(part == k).drop("_at").write.mode("append").parquet(folder)
+    open_type = StructType([StructField(f.name, f.dataType) for f in df.schema])
+    last = spark.createDataFrame([tuple(closing.get(c) for c in df.columns)], open_type)
+    last.coalesce(1).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return file_stream(spark, folder, open_type, files_per_trigger=max(1, files // (slices + 1)))
+
+
 # Each node holds from 23:00 and starts the epoch of the new day at 01:00. Fast
 # vehicles' messages are for the next day, slow ones' for the day before.
 @query("stream_epoch_release", check("""SELECT node, event_id, epoch, GREATEST(ts, epoch + INTERVAL '1 hour') AS released
@@ -91,19 +118,86 @@ def fan_out_copy(spark, sf_dir):
 def stream_epoch_release(spark, sf_dir):
     span = t.status(spark, sf_dir).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     every = F.sequence(F.to_date(F.lit(span.lo)), F.date_add(F.to_date(F.lit(span.hi)), 1))
-    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(every))
-    control = days.selectExpr("node", "unix_micros(CAST(d AS TIMESTAMP)) AS day").selectExpr(
-        "node", """inline(array(
-            named_struct('at', day + 3600000000L, 'kind', 'set', 'epoch', day),
-            named_struct('at', day + 82800000000L, 'kind', 'hold', 'epoch', day)))""")
-    folder = scratch_path(spark, "control")
-    control.write.parquet(folder)
-    messages = _status_stream(spark, sf_dir).selectExpr(
-        "node", "unix_micros(CAST(ts AS TIMESTAMP)) AS at",
+    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(every)).selectExpr("node", "CAST(d AS TIMESTAMP) AS day")
+    control = days.selectExpr("node", """inline(array(
+            named_struct('at', day + INTERVAL '1' HOUR, 'kind', 'set', 'epoch', unix_micros(day)),
+            named_struct('at', day + INTERVAL '23' HOUR, 'kind', 'hold', 'epoch', unix_micros(day))))""")
+    messages = t.status(spark, sf_dir).selectExpr(
+        "node", "CAST(ts AS TIMESTAMP) AS at",
         """unix_micros(date_trunc('day', ts)) + CASE WHEN mph > 100 THEN 86400000000L
             WHEN mph < 5 THEN -86400000000L ELSE 0L END AS epoch""", "event_id AS item")
     out, checkpoint = _places(spark, "release")
-    released = release_by_epoch(messages, file_stream(spark, folder, control.schema), slots=2)
+    released = release_in_order(
+        _arriving(spark, messages, "at", "messages", {"at": LAST, "epoch": 0, "item": 0}),
+        _arriving(spark, control, "at", "control", {"at": LAST, "kind": "hold", "epoch": 0}), DELAY, slots=2)
     sinks.append_rows(released, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).selectExpr(
-        "node", "item AS event_id", "timestamp_micros(epoch) AS epoch", "timestamp_micros(released) AS released")
+        "node", "item AS event_id", "timestamp_micros(epoch) AS epoch", "released")
+
+
+def _vehicles(spark, sf_dir, *columns):
+    rows = t.status(spark, sf_dir).select("event_id", "ts", "node", *columns)
+    return _arriving(spark, rows, "ts", "vehicles", {"ts": LAST})
+
+
+def _heads(spark, sf_dir):
+    return _arriving(spark, t.membership(spark, sf_dir), "ts", "heads", {"ts": LAST, "node": -1})
+
+
+@query("stream_cluster_head_asof", check("SELECT event_id, node, head FROM headed", "headed"))
+def stream_cluster_head_asof(spark, sf_dir):
+    out, checkpoint = _places(spark, "asof")
+    routed = cluster.stream_heads(_vehicles(spark, sf_dir), _heads(spark, sf_dir), delay=DELAY, slots=2)
+    sinks.append_rows(routed, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).where("event_id IS NOT NULL").select("event_id", "node", "head")
+
+
+@query("stream_two_level_speed_avg", check(f"""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start,
+    time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, color AS key, {AVERAGE},
+    COUNT(DISTINCT head) AS heads FROM headed GROUP BY 1, 2, 3""", "headed"))
+def stream_two_level_speed_avg(spark, sf_dir):
+    out, checkpoint = _places(spark, "levels")
+    routed = cluster.stream_heads(_vehicles(spark, sf_dir, "color", "mph"), _heads(spark, sf_dir), delay=DELAY, slots=2)
+    sinks.append_rows(running.two_level(_by_color(), routed, "1 hour"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+_WRAPPED = """SELECT event_id, ts, node AS key, CASE WHEN event_id % 10 = 0 THEN NULL ELSE mph END AS value,
+    CASE event_id % 3 WHEN 0 THEN 'q0' WHEN 1 THEN 'q1' END AS key_uid,
+    CASE WHEN mph > 200 THEN 'q0' WHEN event_id % 3 = 0 THEN 'q0' WHEN event_id % 3 = 1 THEN 'q1' END AS value_uid,
+    temperature = 0 AS is_canary FROM status"""
+
+
+def _topics(spark, sf_dir):
+    """Enveloped messages of two brokers, odd and even events, as two streams."""
+    rows = spark.sql(_WRAPPED.replace("FROM status", "FROM {status}"), status=t.status(spark, sf_dir))
+    topics = {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        part = rows.where(F.col("event_id") % 2 == rest)
+        created = F.unix_millis(F.col("ts").cast("timestamp"))
+        last = M.wrap(spark.range(1), F.lit(-1).cast("bigint"), F.lit(0.0), F.lit("q1"), F.unix_millis(F.lit(LAST))).first()
+        sent = part.withColumns({"k": F.col("key"), "v": F.col("value")})
+        sent = M.wrap_columns(sent, F.col("k"), F.col("v"), F.col("key_uid"), created, F.col("is_canary"), F.col("value_uid"))
+        topics[name] = _arriving(spark, sent.select("key", "value", "ts"), "ts", name, last.asDict()).drop("ts")
+    return topics
+
+
+@query("stream_envelope_reduce", check(f"""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start,
+    time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, key,
+    CAST(SUM(CAST(ROUND(value * 10000) AS BIGINT)) AS DOUBLE) / 10000.0 AS value FROM wrapped
+    WHERE key_uid = 'q1' AND value_uid = 'q1' AND value IS NOT NULL AND NOT is_canary GROUP BY 1, 2, 3""",
+    more=f"wrapped AS ({_WRAPPED})"))
+def stream_envelope_reduce(spark, sf_dir):
+    out, checkpoint = _places(spark, "envelopes")
+    records = running.enveloped("q1", _topics(spark, sf_dir), "bigint", "double", observation="tags")
+    summed = MapReduceQuery("sums", "key", "value", "sum", digits=4)
+    sinks.append_rows(running.windowed(summed, records, "1 hour", delay=DELAY), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("fan_in_relay", check("SELECT key, value, key_uid, value_uid, epoch_us(ts) // 1000 AS created_ms, is_canary FROM wrapped",
+                             more=f"wrapped AS ({_WRAPPED})"))
+def fan_in_relay(spark, sf_dir):
+    out, checkpoint = _places(spark, "fan-in")
+    sinks.relay(concat_sources(_topics(spark, sf_dir), label="broker"), out, checkpoint).awaitTermination()
+    return M.unwrap(spark.read.parquet(out), "bigint", "double").where("key IS NULL OR key >= 0")
