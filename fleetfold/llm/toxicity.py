@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ MAX_ROWS = 20_000
 BITS = 20
 SHARDS = 5
 EPOCHS = 4
-MOVED = "shard int, places binary, z binary, n binary"
+#: Coordinates of a block of the state, which is averaged on the executors.
+BLOCK = 1 << 14
+MOVED = "block int, shard int, z binary, n binary"
+AVERAGED = "block int, z binary, n binary"
 
 
 @dataclass(frozen=True)
@@ -31,21 +35,23 @@ class Rates:
 
 @dataclass(frozen=True)
 class Model:
-    """The coordinates that the L1 penalty left, with their weights, and the bias."""
+    """The coordinates that the L1 penalty left, with their weights, the bias, and the slope of the summed weights."""
     index: list[int] = field(default_factory=list)
     weight: list[float] = field(default_factory=list)
     bias: float = -2.0
+    slope: float = 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS,
           epochs: int = EPOCHS, rates: Rates = Rates()) -> Model:
     """Learns ``label`` (0 or 1) of ``labels`` from the texts of ``docs`` with the same ``doc_id``.
 
-    The sample is bounded by ``max_rows``. It is dealt to a fixed number of
-    shards by hash; each epoch every shard runs over its rows from the common state and
-    returns by how much it moved every coordinate, at most 2**20, in 32-bit floats. The states are averaged over all
-    shards; one that did not move a coordinate counts with the common state. The L1 penalty applies
-    only where a weight is read, so evidence below it adds up. The outcome does not depend on partitions.
+    The sample is bounded by ``max_rows``. It is read once and dealt to a fixed number of
+    shards by hash; each epoch every shard streams over its rows from the common state, which is broadcast (2**20 coordinates), and
+    returns by how much it moved every coordinate in 32-bit floats. The moves are averaged on the executors, a block of coordinates
+    at a time, over all shards; one that did not move a coordinate counts with the common state. The L1 penalty applies
+    only where a weight is read, so evidence below it adds up. At the end a slope and the bias are fitted to the sample's
+    labels, since averaging shrinks the margins. The outcome does not depend on partitions.
 
     Rows with a null id, label or text teach nothing; rows that repeat an id with
     different labels are left out, repeated texts of an id count once each. Without any labelled row
@@ -55,23 +61,75 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
     agreed = (labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id")
               .agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1").select("doc_id", "y"))
-    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    if chosen.count() == 0:
+    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("place", _place("doc_id"))
+    if chosen.isEmpty():
         return Model()
-    dealt = sample.select(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard"),
-                          "doc_id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias
-    for _ in range(epochs):
-        moved = dealt.groupBy("shard").applyInPandas(_epoch(z, n, rates), MOVED).collect()
-        z, n = z.copy(), n.copy()
-        for r in sorted(moved, key=lambda r: r.shard):
-            i = np.flatnonzero(np.unpackbits(np.frombuffer(r.places, np.uint8), count=len(z)))
-            z[i] += np.frombuffer(r.z, np.float32) / float(SHARDS)
-            n[i] += np.frombuffer(r.n, np.float32) / float(SHARDS)
-    kept = np.flatnonzero(np.abs(z[:-1]) > rates.l1).tolist()
-    bias = _weight(float(z[-1]), float(n[-1]), Rates(rates.alpha, rates.beta, 0.0, rates.l2)) if n[-1] else Model().bias
-    return Model(kept, [_weight(float(z[i]), float(n[i]), rates) for i in kept], bias)
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard")
+    sample = sample.select(shard, "place", F.col("doc_id").cast("string").alias("doc_id"),
+                           F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
+    dealt = sample.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "doc_id", "text").persist()
+    context = docs.sparkSession.sparkContext
+    try:
+        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias
+        for _ in range(epochs):
+            state = context.broadcast((z, n))
+            moved = dealt.mapInArrow(_epoch(state, rates), MOVED).groupBy("block").applyInArrow(_average, AVERAGED)
+            for r in moved.toLocalIterator():
+                at = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
+                z[at] += np.frombuffer(r.z)
+                n[at] += np.frombuffer(r.n)
+            state.destroy()
+        kept = np.flatnonzero(np.abs(z[:-1]) > rates.l1).tolist()
+        bias = _weight(float(z[-1]), float(n[-1]), Rates(rates.alpha, rates.beta, 0.0, rates.l2)) if n[-1] else Model().bias
+        model = Model(kept, [_weight(float(z[i]), float(n[i]), rates) for i in kept], bias)
+        margins = dealt.select("y", F.pandas_udf(_scorer(model, as_margin=True), "double")("text").alias("m"))
+        return _calibrated(model, margins.groupBy("y", "m").count().collect())
+    finally:
+        dealt.unpersist()
+
+
+def _place(doc_id: str) -> Column:
+    """The hash of an id as text that orders a shard's rows, as a signed number of the same order."""
+    def run(ids: pd.Series) -> pd.Series:
+        import numpy as np
+        import xxhash
+
+        return pd.Series(np.array([xxhash.xxh64_intdigest(i) - 2**63 for i in ids], np.int64))
+
+    return F.pandas_udf(run, "long")(F.col(doc_id).cast("string"))
+
+
+def _calibrated(model: Model, rows: list) -> Model:
+    """The model with the slope and bias that fit its margins to the labels of the sample best.
+
+    Averaging over shards and the penalty shrink margins, which keeps their order but not their size. Two numbers
+    are fitted by Newton's method to the log loss, with targets a little inside 0 and 1 so that separable samples have a finite fit.
+    """
+    import numpy as np
+
+    y, m, c = (np.array([r[k] for r in rows], float) for k in range(3))
+    toxic, clean = c[y == 1].sum(), c[y == 0].sum()
+    if not toxic or not clean or not model.index:
+        return model
+    m -= model.bias
+    target = np.where(y == 1, (toxic + 1) / (toxic + 2), 1 / (clean + 2))
+    x = np.stack([m, np.ones_like(m)], 1)
+
+    def loss(w):
+        t = x @ w
+        return (c * (np.logaddexp(0, t) - target * t)).sum()
+
+    w = np.array([1.0, model.bias])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (c * p * (1 - p))) @ x + 1e-9 * np.eye(2), x.T @ (c * (p - target)))
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Model(model.index, model.weight, float(w[1]), float(w[0])) if w[0] > 0 else model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -131,43 +189,69 @@ def _features(bits: int = BITS) -> Callable[[bytes], object]:
     return places
 
 
-def _epoch(z0, n0, rates: Rates) -> Callable:
-    """One pass of a shard over its rows, in the order of their hashes: by how much it moved which coordinates."""
-    def run(pdf):
+def _epoch(state: Broadcast, rates: Rates) -> Callable:
+    """One pass of each shard over its rows, which come in order: by how much it moved which coordinates, in blocks."""
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import xxhash
-
-        places = _features()
-        z, n = z0.copy(), n0.copy()
-        zb, nb = float(z[-1]), float(n[-1])
-        free = Rates(rates.alpha, rates.beta, 0.0, rates.l2)
-        order = sorted(range(len(pdf)), key=lambda k: (xxhash.xxh64_intdigest(str(pdf.doc_id.iat[k])), bytes(pdf.text.iat[k])))
-        before = None
-        for k in order:
-            row = (pdf.doc_id.iat[k], bytes(pdf.text.iat[k]))
-            if row == before:
-                continue
-            before = row
-            i = np.unique(places(row[1]))
-            zi, ni = z[i], n[i]
-            w = np.where(np.abs(zi) <= rates.l1, 0.0,
-                         -(zi - np.sign(zi) * rates.l1) / ((rates.beta + np.sqrt(ni)) / rates.alpha + rates.l2))
-            wb = _weight(zb, nb, free)
-            p = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -30, 30)))
-            g = p - float(pdf.y.iat[k])
-            z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / rates.alpha * w
-            n[i] = ni + g * g
-            zb += g - ((nb + g * g) ** 0.5 - nb ** 0.5) / rates.alpha * wb
-            nb += g * g
-        z[-1], n[-1] = zb, nb
-        moved = (z != z0) | (n != n0)
-        by = [(a - b)[moved].astype(np.float32).tobytes() for a, b in ((z, z0), (n, n0))]
-        return pd.DataFrame({"shard": [pdf.shard.iat[0]], "places": [np.packbits(moved).tobytes()], "z": by[:1], "n": by[1:]})
+        import pyarrow as pa
+
+        z0, n0 = state.value
+        places, free = _features(), Rates(rates.alpha, rates.beta, 0.0, rates.l2)
+        z = n = shard = before = None
+        zb = nb = 0.0
+
+        def moved():
+            z[-1], n[-1] = zb, nb
+            blocks = [k for k in range(0, len(z), BLOCK) if (z[k:k + BLOCK] != z0[k:k + BLOCK]).any() or (n[k:k + BLOCK] != n0[k:k + BLOCK]).any()]
+            for k in blocks:
+                parts = [(a[k:k + BLOCK] - b[k:k + BLOCK]).astype(np.float32).tobytes() for a, b in ((z, z0), (n, n0))]
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([shard], pa.int32()),
+                                                  pa.array(parts[:1], pa.binary()), pa.array(parts[1:], pa.binary())],
+                                                 names=["block", "shard", "z", "n"])
+
+        for batch in batches:
+            for of, doc, text, y in zip(*(batch.column(c) for c in ("shard", "doc_id", "text", "y"))):
+                of, row = of.as_py(), (doc.as_py(), text.as_py())
+                if of != shard:
+                    if shard is not None:
+                        yield from moved()
+                    shard, before, z, n = of, None, z0.copy(), n0.copy()
+                    zb, nb = float(z[-1]), float(n[-1])
+                if row == before:
+                    continue
+                before = row
+                i = np.unique(places(row[1]))
+                zi, ni = z[i], n[i]
+                w = np.where(np.abs(zi) <= rates.l1, 0.0,
+                             -(zi - np.sign(zi) * rates.l1) / ((rates.beta + np.sqrt(ni)) / rates.alpha + rates.l2))
+                wb = _weight(zb, nb, free)
+                p = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -30, 30)))
+                g = p - float(y.as_py())
+                z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / rates.alpha * w
+                n[i] = ni + g * g
+                zb += g - ((nb + g * g) ** 0.5 - nb ** 0.5) / rates.alpha * wb
+                nb += g * g
+        if shard is not None:
+            yield from moved()
 
     return run
 
 
-def _scorer(model: Model) -> Callable:
+def _average(moves):
+    """A block's moves added up in the order of the shards and divided by the number of all shards."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(moves.column("shard").to_numpy())
+    total = {}
+    for c in ("z", "n"):
+        parts = moves.column(c).to_pylist()
+        total[c] = sum(np.frombuffer(parts[k], np.float32).astype(float) for k in order) / SHARDS
+    return pa.table({"block": pa.array([moves.column("block")[0].as_py()], pa.int32()),
+                     **{c: pa.array([v.tobytes()], pa.binary()) for c, v in total.items()}})
+
+
+def _scorer(model: Model, as_margin: bool = False) -> Callable:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
@@ -177,10 +261,10 @@ def _scorer(model: Model) -> Callable:
 
         def margin(text: bytes) -> float:
             i = places(text)
-            return weights[np.unique(i[weights[i] != 0])].sum() + model.bias
+            return model.slope * weights[np.unique(i[weights[i] != 0])].sum() + model.bias
 
         for texts in batches:
             out = np.array([margin(t) for t in texts], float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            yield pd.Series(out if as_margin else 1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return run

@@ -100,3 +100,29 @@ def test_query(spark, sf_dir):
     rows = op2_toxicity(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_calibration_restores_the_size_of_margins(spark, documents):
+    """Scores of rows not learned from: as many toxic ones over a half as there are, and the log loss no worse than uncalibrated."""
+    rows, labels = corpus(2000, 4)
+    df = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(documents(*rows[:1500]), df)
+    plain = toxicity.Model(model.index, model.weight, toxicity.Model().bias)
+    loss = {}
+    for name, m in (("fitted", model), ("plain", plain)):
+        got = {r.doc_id: min(max(r.score, 1e-9), 1 - 1e-9) for r in toxicity.score(documents(*rows[1500:]), m).collect()}
+        loss[name] = -sum(math.log(got[i] if y else 1 - got[i]) for i, y in labels[1500:])
+    assert model.slope > 0 and loss["fitted"] < loss["plain"]
+
+
+def test_one_label_only_has_no_fit(spark, documents):
+    labels = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int")
+    model = toxicity.train(documents(*[(i, f"word{i % 7} common") for i in range(50)]), labels)
+    assert model.slope == 1.0 and toxicity.score(documents((1, "common")), model).first().score < 0.5
+
+
+def test_long_training_texts_stream(spark, documents):
+    rows = [(i, ("vile " if i % 2 else "fine ") * 60_000 + f"w{i}") for i in range(40)]
+    model = toxicity.train(documents(*rows), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(documents((1, "vile"), (2, "fine")), model).collect()}
+    assert got[1] > got[2]
