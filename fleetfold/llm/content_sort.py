@@ -9,15 +9,17 @@ from fleetfold.llm.words import ascii_lower, cut_lineage, partitions
 
 #: A group of copies is cut into pieces of at most one partition's mean number of rows over this.
 FINENESS = 4
+#: Splitters are of so many leading characters, since the sample they come from passes through the driver.
+START = 32
 
 
 def copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; nothing but whole texts is compared to
-    decide that. Spark samples splitters, deals the normalised texts to ranges and sorts each range, on disk
-    where memory ends; a row then begins a group where its text differs from its neighbour's. Of a group the
-    row with the ``smallest`` (or ``largest``) ``doc_id`` stays.
+    decide that. Spark samples splitters of leading characters, deals the normalised texts to ranges and sorts each range, on
+    disk where memory ends; texts that begin alike are ordered by hash and then in full. A row begins a group where
+    its whole text differs from its neighbour's. Of a group the row with the ``smallest`` (or ``largest``) ``doc_id`` stays.
 
     A group of so many copies that it would fill a good part of a range is split by ``doc_id``
     into pieces, which are sorted, compared and reduced like groups; then one text of each piece is compared
@@ -61,9 +63,10 @@ def _judged(docs: DataFrame, keep: str, carried: list[Column]) -> DataFrame:
 def _sorted(rows: DataFrame, hot: DataFrame, keep: str) -> DataFrame:
     """Rows by groups of equal texts, or pieces of them, after one exchange to ranges and one sort."""
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(-1)
-    ranged = rows.join(F.broadcast(hot), "h", "left").withColumn("piece", piece).repartitionByRange("body", "piece")
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumns({"piece": piece, "start": F.substring("body", 1, START)})
+    ranged = rows.repartitionByRange("start", "h", "piece")
     first = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
-    equal = Window.partitionBy("body", "piece").orderBy(first)
+    equal = Window.partitionBy("start", "h", "body", "piece").orderBy(first)
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = ranged.select("*", F.row_number().over(equal).alias("place"), F.first("doc_id").over(whole).alias("best"),
                           F.count(F.lit(1)).over(whole).alias("size"))
