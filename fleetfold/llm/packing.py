@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.words import cut_lineage, partitions, small_batches
+from fleetfold.llm.words import cut_lineage, small_batches
 
 CAPACITY = 1024
 END = 2
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a partition packs at a time.
+#: Pieces a partition packs at a time. Nothing else decides how many partitions there are.
 PART_PIECES = 50_000
-ROUNDS = 4
+#: A task's table of words takes words up to so many characters, and is emptied at so many words.
+LONGEST_WORD, WORDS_HELD = 64, 250_000
 #: Ids go through Python as text: beside a null, pandas would hold them as floating-point numbers.
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", part long, seq int, offset long, open boolean"
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END,
-         part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+         part_pieces: int = PART_PIECES) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document is its token ids and then ``end``. Only a document longer than
@@ -33,28 +35,28 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     decreasing. Dual feasible functions give each partition a number of sequences no
     packing of it can go below. A partition that reaches its bound is certified
     and stays. The others pass on the sequences that are not nearly full: their pieces
-    are dealt anew into fewer partitions and packed again, until all are certified or ``rounds`` are over.
+    are dealt anew into a quarter as many partitions, or fewer, and packed again, until all are certified or one
+    partition has packed all that were left. The outcome does not depend on settings of the session.
 
-    A null text is empty, which is the one id ``end``. Repeated rows and null ids
+    Strings that the vocabulary lists as added tokens become these tokens. A null text is empty, which is the one id ``end``. Repeated rows and null ids
     give pieces of their own. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(_pieces(vocabulary, capacity, end), PIECES)
     pieces = cut_lineage(cut, "pieces")
     total = pieces.count()
-    done, parts = [], _parts(spark, total, part_pieces)
+    done, parts = [], _parts(total, part_pieces)
     rest = pieces
-    for turn in range(rounds):
+    for turn in count():
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
         packed = cut_lineage(dealt.groupBy("part").applyInPandas(_best_fit(capacity), PACKED), "packed")
         done.append(packed.where("not open").withColumn("turn", F.lit(turn)))
         rest = packed.where("open").select(*pieces.columns)
         left = rest.count()
-        last = parts == 1 or left == 0 or turn == rounds - 1
-        if last:
+        if parts == 1 or left == 0:
             done.append(packed.where("open").withColumn("turn", F.lit(turn)))
             break
-        parts = max(1, min(_parts(spark, left, part_pieces), parts // 4))
+        parts = max(1, min(_parts(left, part_pieces), parts // 4))
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
@@ -82,8 +84,8 @@ def lower_bound(lengths: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _parts(spark: SparkSession, pieces: int, part_pieces: int) -> int:
-    return max(1, -(-pieces // part_pieces), min(partitions(spark), pieces // 200))
+def _parts(pieces: int, part_pieces: int) -> int:
+    return max(1, -(-pieces // part_pieces))
 
 
 def _pieces(vocabulary: str, capacity: int, end: int) -> Callable:
@@ -102,10 +104,10 @@ def _pieces(vocabulary: str, capacity: int, end: int) -> Callable:
             rows = []
             for doc, text in zip(batch.doc_id, batch.text):
                 ids = encode(text or "") + close
-                count = len(ids) // 4
-                first = count if count <= capacity else count % capacity or capacity
+                size = len(ids) // 4
+                first = size if size <= capacity else size % capacity or capacity
                 start, length, piece = 0, first, 0
-                while start < count:
+                while start < size:
                     rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
                     start, length, piece = start + length, capacity, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -117,7 +119,7 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
     The vocabulary file is that of a byte-level BPE whose ids are the ranks of its
-    merges; strings of special tokens are ordinary text.
+    merges; its added tokens are taken out of a text first, the longest where two begin, and have their own ids.
     """
     import json
     import re
@@ -130,7 +132,9 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     model = json.loads(Path(vocabulary).read_text("utf-8"))
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    if any(t.get(k) for t in model.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks or whole words with them are not supported")
     ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
     coder = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
     uneven = re.compile(r"\s\s").search
@@ -141,9 +145,10 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     class Chunks(dict):
         def __missing__(self, chunk: str) -> bytes:
             ids = fresh(chunk)
-            if len(self) >= 250_000:
-                self.clear()
-            self[chunk] = ids
+            if len(chunk) <= LONGEST_WORD:
+                if len(self) >= WORDS_HELD:
+                    self.clear()
+                self[chunk] = ids
             return ids
 
     known = Chunks()
@@ -153,9 +158,20 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
         head, *tail = text.split(" ")
         return known[head] + b"".join([known[c] for c in [" " + c for c in tail]])
 
-    def encode(text: str) -> bytes:
+    def plain_text(text: str) -> bytes:
         return fresh(text) if uneven(text) else feed.join(map(line, text.split("\n")))
 
+    if not special:
+        return plain_text
+    added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+    ids_of = {t: i.to_bytes(4, "little") for t, i in special.items()}
+
+    def encode(text: str) -> bytes:
+        parts = added.split(text)
+        if len(parts) == 1:
+            return plain_text(text)
+        return b"".join(ids_of[part] if k % 2 else plain_text(part) if part else b"" for k, part in enumerate(parts))
+
     return encode
 
 

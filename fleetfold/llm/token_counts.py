@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from fleetfold.llm.words import small_batches
 
 BLANK = "▁"
+#: A task's table of words takes words up to so many characters, and is emptied at so many words.
+LONGEST_WORD, WORDS_HELD = 64, 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -89,9 +91,10 @@ def _counter(path: str) -> Callable:
         class Words(dict):
             def __missing__(self, word: str) -> int:
                 found = count(word.replace(" ", BLANK))
-                if len(self) >= 250_000:
-                    self.clear()
-                self[word] = found
+                if len(word) <= LONGEST_WORD:
+                    if len(self) >= WORDS_HELD:
+                        self.clear()
+                    self[word] = found
                 return found
 
         words = Words()

@@ -15,7 +15,6 @@ PATH = vocabulary("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def encode():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
@@ -62,12 +61,40 @@ def test_odd_texts(documents, encode):
 def test_rounds_exchange_and_keep_every_piece(spark, documents, encode, monkeypatch):
     rng = random.Random(1)
     texts = {i: " ".join(["word"] * rng.randrange(5, 40)) for i in range(800)}
-    monkeypatch.setattr(packing, "_parts", lambda spark, pieces, most: max(1, pieces // 40))
+    monkeypatch.setattr(packing, "_parts", lambda pieces, most: max(1, pieces // 40))
     used = check(packing.pack(documents(*texts.items()), PATH, capacity=64).collect(), texts, encode, 64)
     total = sum(len(encode(t)) for t in texts.values())
     assert used <= 1.05 * total / 64 + 1
 
 
+def test_added_tokens_have_their_own_ids(documents, encode):
+    texts = {1: "<|endoftext|>", 2: "hello <|endoftext|> world", 3: "a<|endoftext|><|endoftext|>b", 4: "  <|endoftext|>  x\n", 5: "<|endoftext|", 6: "x  <|endoftext|>"}
+    assert encode(texts[1]) == [50256, packing.END]
+    check(packing.pack(documents(*texts.items()), PATH).collect(), texts, encode)
+
+
+def test_sequences_do_not_depend_on_the_session(spark, documents):
+    rng = random.Random(5)
+    docs = documents(*[(i, " ".join(["word"] * rng.randrange(1, 900))) for i in range(900)])
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packing.pack(docs, PATH).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_long_words_are_not_held():
+    import gc
+
+    words = packing._encoder(PATH)
+    words(" ".join("x" * 500 + str(i) for i in range(50)) + " short")
+    tables = [d for d in gc.get_objects() if type(d).__name__ == "Chunks" and " short" in d]
+    assert len(tables) == 1 and max(map(len, tables[0])) <= packing.LONGEST_WORD
+
+
 def test_lower_bounds():
     assert packing.lower_bound({}, 10) == 0
     assert packing.lower_bound({6: 5}, 10) == 5
