@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.llm.components import connected
+from fleetfold.llm.fingerprints import colliding, renamed
 from fleetfold.llm.words import broadcast_below, cut_lineage
 
 COSINE = 0.9
@@ -36,6 +37,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     Full cells are cut into blocks that meet pairwise in separate tasks, and a pair
     counts only in the first cell it meets in, so no list of pairs is made.
 
+    Classes are told apart by 128 bits; those that share the first 64 get other numbers.
+
     Vectors that are null, empty or zero or hold null or non-finite components link with
     nothing; vectors of different lengths do not link. A repeated ``vec_id`` is one node whose rows count
     one by one; a null one takes no part and has a null component. Other columns are ignored; an empty table gives an empty result.
@@ -45,13 +48,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
     sound = F.coalesce(F.size("e") > 0, F.lit(False)) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(sound, F.lit(False)) & F.exists("e", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    rows = cut_lineage(rows.select("vec_id", F.when(sound, F.col("e")).alias("e"), F.xxhash64("e").alias("cls"),
-                                   F.xxhash64(F.lit(1), "e").alias("chk")), "vectors")
-    classes = rows.where("e is not null").groupBy("cls").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    first, second = _fingerprint(F.col("e"))
+    rows = cut_lineage(rows.select("vec_id", F.when(sound, F.col("e")).alias("e"), first.alias("cls"), second.alias("chk")), "vectors")
+    moved = colliding(rows.where("e is not null").select("cls", "chk"))
+    if moved:
+        rows = cut_lineage(renamed(rows, moved), "vectors")
+    classes = rows.where("e is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = cut_lineage(classes, "vector-classes")
-    if not classes.where("c0 <> c1").isEmpty():
-        raise RuntimeError("two different vectors have one 64-bit fingerprint")
     first = classes.select("cls", F.col("rep").alias("vec_id"))
     unique = rows.where("e is not null").join(broadcast_below(first, BROADCAST_ROWS), ["cls", "vec_id"]).select("cls", "e")
     unique = cut_lineage(unique.join(broadcast_below(classes.select("cls", "weight"), BROADCAST_ROWS), "cls"), "unique-vectors")
@@ -72,6 +75,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _fingerprint(e: Column) -> tuple[Column, Column]:
+    """Two 64-bit numbers that stand for a vector."""
+    return F.xxhash64(e), F.xxhash64(F.lit(1), e)
+
+
 def _links(unique: DataFrame, keyed: DataFrame, cosine: float, tables: int, probes: int) -> DataFrame:
     """Rows (a, b) that span the linked pairs, and rows (a, a, n) with numbers of linked rows."""
     entries = keyed.select("cls", F.posexplode("cells").alias("i", "cell"))

@@ -12,3 +12,15 @@ def test_components(spark):
 
 def test_no_links(spark):
     assert connected(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_hubs_among_chains(spark):
+    """Stars of many links beside and behind each other; hubs get their minima by broadcast."""
+    import random
+
+    rng = random.Random(8)
+    links = [(1_000, 2_000 + i) for i in range(900)] + [(5, 2_500), (2_899, 7_000)] + [(7_000, 8_000 + i) for i in range(700)]
+    links += [(20_000 + i, 20_001 + i) for i in range(30)] + [(20_030, 30_000 + i) for i in range(300)]
+    links = [rng.choice([(a, b), (b, a)]) for a, b in links]
+    got = {r.node: r.label for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[n] == (5 if n < 20_000 else 20_000) for n in {x for e in links for x in e}) and len(got) == len({x for e in links for x in e})
