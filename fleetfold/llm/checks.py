@@ -6,24 +6,16 @@ BENCHMARK_DECONTAMINATION = """WITH docs AS (SELECT doc_id, regexp_extract_all(t
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-at_doc AS (SELECT doc_id, w, UNNEST(range(len(w) - 7)) AS p FROM docs WHERE len(w) >= 8),
-at_item AS (SELECT item_id, w, UNNEST(range(len(w) - 7)) AS p FROM items WHERE len(w) >= 8),
-doc_seeds AS (SELECT doc_id, p, 1 AS m, concat_ws(' ', w[p+1], w[p+2], w[p+4], w[p+5], w[p+7], w[p+8]) AS h FROM at_doc
-    UNION ALL SELECT doc_id, p, 2, concat_ws(' ', w[p+1], w[p+2], w[p+3], w[p+6], w[p+7], w[p+8]) FROM at_doc
-    UNION ALL SELECT doc_id, p, 3, concat_ws(' ', w[p+1], w[p+2], w[p+4], w[p+6], w[p+7], w[p+8]) FROM at_doc),
-item_seeds AS (SELECT item_id, p, 1 AS m, concat_ws(' ', w[p+1], w[p+2], w[p+4], w[p+5], w[p+7], w[p+8]) AS h FROM at_item
-    UNION ALL SELECT item_id, p, 2, concat_ws(' ', w[p+1], w[p+2], w[p+3], w[p+6], w[p+7], w[p+8]) FROM at_item
-    UNION ALL SELECT item_id, p, 3, concat_ws(' ', w[p+1], w[p+2], w[p+4], w[p+6], w[p+7], w[p+8]) FROM at_item),
-places AS (SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS start FROM doc_seeds d JOIN item_seeds i ON d.m = i.m AND d.h = i.h),
-item_words AS (SELECT item_id, UNNEST(w) AS word, UNNEST(range(len(w))) AS j, len(w) AS n FROM items),
+item_words AS (SELECT item_id, UNNEST(w) AS word, UNNEST(range(len(w))) AS j, len(w) AS n, least(len(w), 20) AS width FROM items WHERE len(w) >= 3),
 doc_words AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(range(len(w))) AS p FROM docs),
-same AS (SELECT s.doc_id, s.item_id, s.start, i.j, least(i.n, 20) AS width,
-    CASE WHEN d.word = i.word THEN 1 ELSE 0 END AS hit
-    FROM places s JOIN item_words i ON i.item_id = s.item_id LEFT JOIN doc_words d ON d.doc_id = s.doc_id AND d.p = s.start + i.j),
-sums AS (SELECT doc_id, item_id, start, width, j, SUM(hit) OVER (PARTITION BY doc_id, item_id, start ORDER BY j) AS upto FROM same),
-best AS (SELECT x.doc_id, x.item_id, x.start, x.width, MAX(x.upto - COALESCE(y.upto, 0)) AS matched FROM sums x
-    LEFT JOIN sums y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.start = y.start AND y.j = x.j - x.width
-    WHERE x.j >= x.width - 1 GROUP BY 1, 2, 3, 4),
+hits AS (SELECT doc_id, item_id, p - j AS start, j, n, width FROM doc_words JOIN item_words USING (word)),
+likely AS (SELECT doc_id, item_id, start FROM hits GROUP BY doc_id, item_id, start, n, width
+    HAVING 100 * COUNT(*) >= 75 * width AND (n >= 8 OR COUNT(*) = n)),
+same AS (SELECT h.* FROM hits h JOIN likely USING (doc_id, item_id, start)),
+windows AS (SELECT x.doc_id, x.item_id, x.start, x.width, x.j, COUNT(*) AS matched FROM same x
+    JOIN same y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.start = y.start
+    AND y.j >= least(x.j, x.n - x.width) AND y.j < least(x.j, x.n - x.width) + x.width GROUP BY ALL),
+best AS (SELECT doc_id, item_id, start, width, MAX(matched) AS matched FROM windows GROUP BY ALL),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM best WHERE 100 * matched >= 75 * width)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS "start", CAST(matched AS BIGINT) AS matched, CAST(width AS BIGINT) AS "of" FROM ranked WHERE r = 1"""
 
@@ -31,7 +23,7 @@ LINE_DEDUP = """WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE
 lines AS (SELECT DISTINCT source, text, trim(l) AS l FROM (SELECT source, text, UNNEST(string_split(text, chr(10))) AS l FROM pages) x),
 totals AS (SELECT source, COUNT(*) AS total FROM pages GROUP BY source),
 bad AS (SELECT l.source, l.l FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE l.l <> ''
-    GROUP BY l.source, l.l, t.total HAVING COUNT(*) >= 5 AND 100 * COUNT(*) > 5 * t.total),
+    GROUP BY l.source, l.l, t.total HAVING COUNT(*) >= 2 AND 100 * COUNT(*) > 5 * t.total),
 numbered AS (SELECT doc_id, source, UNNEST(string_split(text, chr(10))) AS l, UNNEST(range(len(string_split(text, chr(10))))) AS i FROM documents),
 kept AS (SELECT n.doc_id, string_agg(n.l, chr(10) ORDER BY n.i) AS text FROM numbered n
     LEFT JOIN bad b ON n.source IS NOT DISTINCT FROM b.source AND trim(n.l) = b.l WHERE b.l IS NULL GROUP BY n.doc_id)

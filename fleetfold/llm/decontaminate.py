@@ -12,6 +12,8 @@ from fleetfold.llm.words import ascii_words, broadcast_below, cut_lineage, fresh
 MASKS = ("11110000", "11011000", "11000110")
 SEEDS = tuple(m.rstrip("0") for m in MASKS)
 SPAN = 8
+#: Items of so many words up to SPAN - 1 are found whole only: one seed of all their words.
+LEAST = 3
 WINDOW = 20
 PERCENT = 75
 #: Up to so many distinct leading word pairs are tested before seeds are made; it changes the cost only.
@@ -34,14 +36,16 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     window of ``window`` words (the whole item, if shorter) are equal; of several
     places the one with the most equal words is returned, then the first.
 
-    Items with fewer than eight words say too little and are not searched; null and
-    empty texts match nothing. Repeated rows give repeated results once per distinct
+    Items of three to seven words are found where all their words are equal. Those of one or two words say
+    too little and are not searched; null and empty texts match nothing. Repeated rows give repeated results once per distinct
     (``doc_id``, text) and ``item_id``. A null ``doc_id`` or ``item_id`` is carried
     along as null; other columns are ignored; empty tables give an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashed(F.col("text")).alias("iw"))
-    items = cut_lineage(items.where(F.size("iw") >= SPAN).distinct(), "items")
-    seeds = items.select("item_id", "iw", F.posexplode(_seeds(F.col("iw"), _positions(F.col("iw")))).alias("i", "s"))
+    items = cut_lineage(items.where(F.size("iw") >= LEAST).distinct(), "items")
+    short = sorted(r[0] for r in items.where(F.size("iw") < SPAN).select(F.size("iw")).distinct().collect())
+    masks = [(m, mask, None) for m, mask in enumerate(SEEDS)] + [(n, "1" * n, n) for n in short]
+    seeds = items.select("item_id", "iw", F.posexplode(_seeds(F.col("iw"), _positions(F.col("iw")), masks, of_items=True)).alias("i", "s"))
     seeds = cut_lineage(seeds.select("item_id", F.col("s.pos").alias("ipos"), F.col("s.h").alias("h")).where("h is not null").distinct(), "seeds")
 
     texts = docs.select(*_keys(docs), _hashed(F.col("text")).alias("hw"))
@@ -50,7 +54,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     leading = [r[0] for r in pairs.take(LEADING_PAIRS + 1)]
     if len(leading) <= LEADING_PAIRS:
         here = F.filter(here, lambda i: _pair(F.col("hw"), i).isin(leading) if leading else F.lit(False))
-    hits = texts.select("k1", "k2", F.explode_outer(_seeds(F.col("hw"), here)).alias("s"))
+    hits = texts.select("k1", "k2", F.explode_outer(_seeds(F.col("hw"), here, masks)).alias("s"))
     hits = hits.select("k1", "k2", F.col("s.pos").alias("pos"), F.col("s.h").alias("h")).where("h is not null")
     places = (hits.join(broadcast_below(seeds, BROADCAST_ROWS), "h")
               .select("k1", "k2", "item_id", (F.col("pos") - F.col("ipos")).alias("start")).distinct())
@@ -97,7 +101,7 @@ def _hashed(text: Column) -> Column:
 
 
 def _positions(words: Column) -> Column:
-    last = F.size(words) - min(map(len, SEEDS))
+    last = F.size(words) - LEAST
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
@@ -105,12 +109,20 @@ def _pair(words: Column, i: Column) -> Column:
     return F.xxhash64(F.get(words, i), F.get(words, i + 1))
 
 
-def _seeds(words: Column, positions: Column) -> Column:
-    """Position and hash of the seed of each mask at each position; null where the mask runs over the end."""
+def _seeds(words: Column, positions: Column, masks: list, of_items: bool = False) -> Column:
+    """Position and hash of the seed of each mask at each position; null where the mask runs over the end.
+
+    A mask is (number, mask, words): with a number of words it is one of all words of items of that length, and items have
+    only it or, if long, only the others.
+    """
     def at(i: Column) -> Column:
-        hashes = [F.xxhash64(F.lit(m), *[F.get(words, i + j) for j, one in enumerate(mask) if one == "1"])
-                  for m, mask in enumerate(SEEDS)]
-        return F.array(*[F.struct(i.alias("pos"), F.when(i + len(mask) <= F.size(words), h).alias("h"))
-                         for mask, h in zip(SEEDS, hashes)])
+        made = []
+        for m, mask, whole in masks:
+            fits = i + len(mask) <= F.size(words)
+            if of_items:
+                fits = fits & (F.size(words) >= SPAN if whole is None else F.size(words) == whole)
+            h = F.xxhash64(F.lit(m), *[F.get(words, i + j) for j, one in enumerate(mask) if one == "1"])
+            made.append(F.struct(i.alias("pos"), F.when(fits, h).alias("h")))
+        return F.array(*made)
 
     return F.flatten(F.transform(positions, at))
