@@ -5,6 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from fleetfold.plans.catalog import named_query, query_names
+from fleetfold.plans.functions import FunctionQuery
 from fleetfold.plans.spec import MapReduceQuery
 from fleetfold.schema import MEMBERSHIP, READING, REGION, STATUS
 
@@ -16,6 +17,7 @@ __all__ = [
     "READING",
     "REGION",
     "STATUS",
+    "FunctionQuery",
     "MapReduceQuery",
     "named_query",
     "query_names",

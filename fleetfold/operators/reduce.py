@@ -76,39 +76,57 @@ def full_reduce(df: DataFrame, op: str, value: str = "value",
     return df.agg(*aggregates(op, value, digits=digits))
 
 
-def custom_reduce(df: DataFrame, key: str, value: str, fold: Callable, fan_in: int = FAN_IN) -> DataFrame:
-    """Reduction by an opaque associative and commutative Python function.
+def custom_reduce(df: DataFrame, key: str | Sequence[str], value: str, fold: Callable, fan_in: int = FAN_IN) -> DataFrame:
+    """Reduction by an opaque associative and commutative Python function, by one key column or several.
 
     Each task folds its own rows and passes on one value per key. Those partial
     values are folded in ``fan_in`` slots per key and then once more. The later
     steps read their partials sorted by key, so a task holds one running value
     at a time and never the rows of a key, however many there are.
     """
-    plain = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (key, value)])
+    keys = [key] if isinstance(key, str) else list(key)
+    plain = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (*keys, value)])
     slotted = T.StructType([*plain, T.StructField("slot", T.IntegerType())])
 
-    partials = df.select(key, value).mapInArrow(_fold_tasks(fold, plain, fan_in), slotted)
-    slots = partials.repartition(key, "slot").sortWithinPartitions(key, "slot").select(key, value)
+    partials = df.select(*keys, value).mapInArrow(_fold_tasks(fold, plain, fan_in), slotted)
+    slots = partials.repartition(*keys, "slot").sortWithinPartitions(*keys, "slot").select(*keys, value)
     merged = slots.mapInArrow(_fold_runs(fold, plain), plain)
-    whole = merged.repartition(F.col(key)).sortWithinPartitions(key)
+    whole = merged.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return whole.mapInArrow(_fold_runs(fold, plain), plain)
 
 
+def custom_reduce_windowed(df: DataFrame, key: str | Sequence[str], value: str, fold: Callable, window: str,
+                           time: str = "ts", fan_in: int = FAN_IN) -> DataFrame:
+    """``custom_reduce`` in tumbling event-time windows of a batch frame; ``streaming.folds`` has the form for streams.
+
+    Rows without a time are in no window.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    span = F.window(F.col(time).cast("timestamp"), window)
+    rows = df.where(F.col(time).isNotNull()).select(
+        F.unix_micros(span.start).alias("window_start"), F.unix_micros(span.end).alias("window_end"), *keys, value)
+    folded = custom_reduce(rows, ["window_start", "window_end", *keys], value, fold, fan_in)
+    return folded.withColumns({c: F.timestamp_micros(c) for c in ("window_start", "window_end")})
+
+
 def _arrow(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def _pairs(batches: Iterator) -> Iterator:
+def _pairs(batches: Iterator, keys: int) -> Iterator:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        columns = [batch.column(i).to_pylist() for i in range(keys + 1)]
+        yield from zip(zip(*columns[:keys]), columns[keys])
+
+
+def _columns(names: Sequence[str], keys: Sequence[tuple], values: Sequence) -> dict:
+    return dict(zip(names, [*map(list, zip(*keys)), list(values)]))
 
 
 def _fold_tasks(fold: Callable, plain: T.StructType, fan_in: int) -> Callable:
     """One partial value per key of a task, labelled with the slot the task feeds."""
-    key, value = plain.names
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -118,11 +136,11 @@ def _fold_tasks(fold: Callable, plain: T.StructType, fan_in: int) -> Callable:
         folded: dict = {}
 
         def flush():
-            columns = {key: list(folded), value: list(folded.values()), "slot": [slot] * len(folded)}
+            columns = _columns(plain.names, folded, folded.values()) | {"slot": [slot] * len(folded)}
             folded.clear()
             return pa.RecordBatch.from_pydict(columns, schema=schema)
 
-        for k, v in _pairs(batches):
+        for k, v in _pairs(batches, len(plain) - 1):
             folded[k] = fold(folded[k], v) if k in folded else v
             if len(folded) >= FLUSH_KEYS:
                 yield flush()
@@ -134,25 +152,23 @@ def _fold_tasks(fold: Callable, plain: T.StructType, fan_in: int) -> Callable:
 
 def _fold_runs(fold: Callable, plain: T.StructType) -> Callable:
     """Folds neighbouring rows of equal key into one."""
-    key, value = plain.names
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         schema = _arrow(plain)
         keys: list = []
         values: list = []
-        for k, v in _pairs(batches):
+        for k, v in _pairs(batches, len(plain) - 1):
             if keys and keys[-1] == k:
                 values[-1] = fold(values[-1], v)
                 continue
             if len(keys) >= FLUSH_KEYS:
-                yield pa.RecordBatch.from_pydict({key: keys, value: values}, schema=schema)
+                yield pa.RecordBatch.from_pydict(_columns(plain.names, keys, values), schema=schema)
                 keys, values = [], []
             keys.append(k)
             values.append(v)
         if keys:
-            yield pa.RecordBatch.from_pydict({key: keys, value: values}, schema=schema)
+            yield pa.RecordBatch.from_pydict(_columns(plain.names, keys, values), schema=schema)
 
     return run
 

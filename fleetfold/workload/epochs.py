@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetfold.functions.scalars import epoch_start, fixed_units
-from fleetfold.operators import audit, diffusion, epoch
-from fleetfold.plans.spec import MapReduceQuery, run_tagged
+from fleetfold.operators import audit, diffusion, epoch, reduce
+from fleetfold.plans.functions import FunctionQuery
+from fleetfold.plans.spec import MapReduceQuery, run_mixed, run_tagged
 from fleetfold.session import cut_lineage
 from fleetfold.workload import tables as t
 from fleetfold.workload.registry import query, stock
@@ -84,6 +85,74 @@ def multi_query_reduce(spark, sf_dir):
     return run_tagged(TAGGED, t.status(spark, sf_dir), "1 hour")
 
 
+MIXED = (
+    MapReduceQuery("mean-by-color", "color", "mph", "average", digits=4),
+    MapReduceQuery("fast-total", "'fast'", "mph", "sum", "mph > 100D", digits=4),
+    MapReduceQuery("coldest", "node", "temperature", "min", "color <> 'red'"),
+    MapReduceQuery("last-color", "node", "color", "max"),
+    MapReduceQuery("colors", "'all'", "color", "union"),
+    MapReduceQuery("first-event", "color", "event_id", "first", order=("ts", "event_id")),
+)
+
+
+def _mixed_part(uid, key, where, number, n, text="NULL", members="NULL"):
+    return f"""SELECT '{uid}' AS query_uid, time_bucket(INTERVAL '6 hours', ts) AS window_start, {key} AS key,
+        CAST({number} AS DOUBLE) AS number, COUNT({n}) AS n, CAST({text} AS VARCHAR) AS text, CAST({members} AS VARCHAR) AS members
+        FROM status WHERE {where} GROUP BY 1, 2, 3"""
+
+
+MIXED_CHECK = "SELECT *, window_start + INTERVAL '6 hours' AS window_end FROM (" + " UNION ALL ".join([
+    _mixed_part("mean-by-color", "color", "true", f"{TOTAL} / COUNT(*)", "mph"),
+    _mixed_part("fast-total", "'fast'", "mph > 100", TOTAL, "mph"),
+    _mixed_part("coldest", "CAST(node AS VARCHAR)", "color <> 'red'", "MIN(temperature)", "temperature"),
+    _mixed_part("last-color", "CAST(node AS VARCHAR)", "true", "NULL", "color", "MAX(color)"),
+    _mixed_part("colors", "'all'", "true", "NULL", "color", members="string_agg(DISTINCT color, ',' ORDER BY color)"),
+    _mixed_part("first-event", "color", "true", "arg_min(event_id, (ts, event_id))", "event_id")]) + ")"
+
+
+@query("multi_query_mixed_reduce", check(MIXED_CHECK))
+def multi_query_mixed_reduce(spark, sf_dir):
+    out = run_mixed(MIXED, t.status(spark, sf_dir), "6 hours")
+    return out.withColumn("members", F.array_join("members", ","))
+
+
+CUSTOM_WINDOWS = """SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start,
+    time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS window_end, color, node % 4 AS lane, bit_xor(event_id) AS event_id
+    FROM status GROUP BY 1, 2, 3, 4"""
+
+
+@query("custom_reduce_windowed", check(CUSTOM_WINDOWS))
+def custom_reduce_windowed(spark, sf_dir):
+    rows = t.status(spark, sf_dir).selectExpr("ts", "color", "node % 4 AS lane", "event_id")
+    return reduce.custom_reduce_windowed(rows, ["color", "lane"], "event_id", lambda a, b: a ^ b, "6 hours")
+
+
+def longest_and_sum(a, b):
+    return {"far": max(a["far"], b["far"]), "total": a["total"] + b["total"]}
+
+
+#: Speeds over 20 in whole hundredths by lane and colour, with Python functions for filter, map and reduction.
+LANES = FunctionQuery(
+    "lanes", ("node", "color", "mph"), where=lambda f: f["mph"] > 20,
+    map=lambda f: f.assign(key=f["color"] + "-" + (f["node"] % 4).astype(str), units=(f["mph"] * 100).round().astype("int64"))
+    .assign(value=lambda g: [{"far": u, "total": u} for u in g["units"]])[["key", "value"]],
+    key_type="string", value_type="struct<far: bigint, total: bigint>", fold=longest_and_sum)
+LANES_CHECK = """SELECT {window}color || '-' || (node % 4) AS key, MAX(CAST(ROUND(mph * 100) AS BIGINT)) AS far,
+    CAST(SUM(CAST(ROUND(mph * 100) AS BIGINT)) AS BIGINT) AS total FROM status WHERE mph > 20 GROUP BY ALL"""
+LANE_WINDOWS = LANES_CHECK.format(window="""time_bucket(INTERVAL '1 day', ts) AS window_start,
+    time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, """)
+
+
+@query("function_query", check(LANES_CHECK.format(window="")))
+def function_query(spark, sf_dir):
+    return LANES.run(t.status(spark, sf_dir)).select("key", "value.*")
+
+
+@query("function_query_windowed", check(LANE_WINDOWS))
+def function_query_windowed(spark, sf_dir):
+    return LANES.run_windowed(t.status(spark, sf_dir), "1 day").select("window_start", "window_end", "key", "value.*")
+
+
 # Speeds enter as whole units, so halving stays exact and both engines agree to the last bit.
 def _state(spark, sf_dir, value, weight):
     sums = t.status(spark, sf_dir).groupBy("node").agg(F.sum(fixed_units("mph")).cast("double").alias("total"))

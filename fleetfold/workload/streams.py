@@ -10,14 +10,14 @@ from pyspark.sql.types import StructField, StructType
 from fleetfold.operators import cluster
 from fleetfold.operators import messages as M
 from fleetfold.operators.messages import concat_sources
-from fleetfold.plans.spec import MapReduceQuery
+from fleetfold.plans.spec import MapReduceQuery, run_mixed
 from fleetfold.session import scratch_path
 from fleetfold.sources.readers import file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
 from fleetfold.streaming.in_order import release_in_order
 from fleetfold.workload import tables as t
-from fleetfold.workload.epochs import TAGGED, TAGGED_CHECK
+from fleetfold.workload.epochs import LANE_WINDOWS, LANES, MIXED, MIXED_CHECK, TAGGED, TAGGED_CHECK
 from fleetfold.workload.registry import query, stock
 from fleetfold.workload.tables import AVERAGE, check
 
@@ -135,9 +135,9 @@ def stream_epoch_release(spark, sf_dir):
         "node", "item AS event_id", "timestamp_micros(epoch) AS epoch", "released")
 
 
-def _vehicles(spark, sf_dir, *columns):
+def _vehicles(spark, sf_dir, *columns, closing=None):
     rows = t.status(spark, sf_dir).select("event_id", "ts", "node", *columns)
-    return _arriving(spark, rows, "ts", "vehicles", {"ts": LAST})
+    return _arriving(spark, rows, "ts", "vehicles", {"ts": LAST, **(closing or {})})
 
 
 def _heads(spark, sf_dir):
@@ -201,3 +201,21 @@ def fan_in_relay(spark, sf_dir):
     out, checkpoint = _places(spark, "fan-in")
     sinks.relay(concat_sources(_topics(spark, sf_dir), label="broker"), out, checkpoint).awaitTermination()
     return M.unwrap(spark.read.parquet(out), "bigint", "double").where("key IS NULL OR key >= 0")
+
+
+@query("stream_multi_query_mixed_reduce", check(MIXED_CHECK))
+def stream_multi_query_mixed_reduce(spark, sf_dir):
+    out, checkpoint = _places(spark, "mixed")
+    rows = running.event_time(_vehicles(spark, sf_dir, "color", "mph", "temperature"), delay=DELAY)
+    sinks.append_rows(run_mixed(MIXED, rows, "6 hours"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumn("members", F.array_join("members", ","))
+
+
+@query("stream_custom_reduce", check(LANE_WINDOWS))
+def stream_custom_reduce(spark, sf_dir):
+    out, checkpoint = _places(spark, "folds")
+    # Filters go below the watermark, so the closing row has to pass them.
+    vehicles = _vehicles(spark, sf_dir, "color", "mph", closing={"node": 0, "color": "none", "mph": 100.0})
+    rows = running.event_time(vehicles, delay=DELAY)
+    sinks.append_rows(LANES.run_windowed(rows, "1 day", slots=2), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("window_start", "window_end", "key", "value.*")
