@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.session import cut_lineage, small_rows
 
 MAX_CASES = 64
 CELL_BOXES = 256
-CELL_STEP = 8
+CELL_STEP = 4
+MAX_LEVELS = 12
 SMALLEST_EXTENT = 1e-6
 
 
@@ -64,34 +66,50 @@ def first_region(regions: Sequence[Box], lat: str = "lat", lon: str = "lon") ->
 def map_regions(df: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds ``rid``: the region of lowest ``ord`` containing the point, else null.
 
-    ``ord`` must be unique. A few regions become a CASE expression. A longer table is looked up by grid
-    cell; see ``_grid_layers``. Either way a row stays one row.
+    ``ord`` must be unique. A few regions become a CASE expression. A longer table is indexed by cell and looked up
+    in one join, see ``_cells``, and another names the winner; a row's matches are reduced to the first before anything is shuffled by row. On a stream
+    rows cannot be brought together again, so there each level of the index is a join of its own. Either way a row stays one row.
     """
-    rows = small_rows(regions.orderBy("ord"), MAX_CASES)
+    rows = small_rows(regions, MAX_CASES)
     if rows is not None:
+        rows.sort(key=lambda r: r["ord"])
         boxes = [Box(r["lat_min"], r["lat_max"], r["lon_min"], r["lon_max"], r["rid"]) for r in rows]
         return df.withColumn("rid", first_region(boxes, lat, lon))
+    boxes = cut_lineage(regions.select("ord", "rid", *(c for pair in PLACE for c in pair)), "regions")
 
-    def contains(b):
-        return (F.col(lat).between(b["lat_min"], b["lat_max"])
-                & F.col(lon).between(b["lon_min"], b["lon_max"]))
+    def first_of(lists: Column) -> Column:
+        hits = F.filter(lists, lambda b: F.col(lat).between(b["lat_min"], b["lat_max"]) & F.col(lon).between(b["lon_min"], b["lon_max"]))
+        return F.array_min(F.transform(hits, lambda b: b["ord"]))
 
-    best, found = [], df
-    for number, layer in enumerate(_grid_layers(regions, ("ord", "rid"))):
-        found = _look_up(found, layer, number, lat, lon)
-        hits = F.filter(F.col(f"_boxes{number}"), contains)
-        best.append(F.array_min(F.transform(hits, lambda b: F.struct(b["ord"].alias("ord"), b["rid"].alias("rid")))))
-    if not best:
+    index = _cells(boxes, PLACE, ("ord",))
+    if not index.sides:
         return df.withColumn("rid", F.lit(None).cast("string"))
-    winner = best[0] if len(best) == 1 else F.least(*best)
-    return found.withColumn("rid", winner["rid"]).select(*df.columns, "rid")
+    at = (F.col(lat), F.col(lon))
+    named = boxes.select(F.col("ord").alias("_hit"), "rid")
+    if df.isStreaming:
+        cells, found, best = cut_lineage(index.table, "cells"), df, []
+        for level in range(len(index.sides)):
+            table = cells.where(F.col("_level") == level).groupBy("_cell").agg(F.flatten(F.collect_list("_boxes")).alias(f"_boxes{level}"))
+            found = found.withColumn("_cell", index.cell(at, level)).join(table, "_cell", "left").drop("_cell")
+            best.append(first_of(F.col(f"_boxes{level}")))
+        winner = best[0] if len(best) == 1 else F.least(*best)
+        return found.withColumn("_hit", winner).join(named, "_hit", "left").select(*df.columns, "rid")
+
+    # Each column by itself, so that those nobody reads are pruned.
+    kept = [F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(df.columns)]
+    numbered = df.select(*kept, F.monotonically_increasing_id().alias("_row"), at[0].alias("_y"), at[1].alias("_x"))
+    lat, lon = "_y", "_x"
+    hit = index.look_up(numbered, (F.col("_y"), F.col("_x"))).withColumn("_hit", first_of(F.col("_boxes")))
+    out = hit.groupBy("_row").agg(*[F.first(f"_v{i}").alias(f"_v{i}") for i in range(len(kept))], F.min("_hit").alias("_hit"))
+    return out.join(named, "_hit", "left").select(*[F.col(f"_v{i}").alias(c) for i, c in enumerate(df.columns)], "rid")
 
 
 def active_queries(df: DataFrame, specs: DataFrame, lat: str = "lat", lon: str = "lon",
                    time: str = "ts") -> DataFrame:
     """One row per status row and query that applies at its place and time.
 
-    ``specs`` has query_id, the four box limits, from_ts and to_ts (exclusive).
+    ``specs`` has query_id, the four box limits, from_ts and to_ts (exclusive). A few specs are tested in the scan; more
+    are indexed by place and time and looked up in one join, on batch frames and streams.
     """
     def applies(s):
         return (F.col(lat).between(s["lat_min"], s["lat_max"])
@@ -106,54 +124,71 @@ def active_queries(df: DataFrame, specs: DataFrame, lat: str = "lat", lon: str =
         ids = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
         return df.withColumn("query_id", F.explode(ids))
 
-    lists, found = [], df
-    for number, layer in enumerate(_grid_layers(specs, ("query_id", "from_ts", "to_ts"))):
-        found = _look_up(found, layer, number, lat, lon)
-        hits = F.filter(F.coalesce(F.col(f"_boxes{number}"), F.array()), applies)
-        lists.append(F.transform(hits, lambda b: b["query_id"]))
-    ids = F.concat(*lists) if lists else F.array().cast("array<string>")
-    return found.select(*df.columns, F.explode(ids).alias("query_id"))
+    timed = cut_lineage(specs.withColumns({"_from": _hours("from_ts"), "_to": _hours("to_ts")}).where("from_ts < to_ts"), "specs")
+    index = _cells(timed, (*PLACE, ("_from", "_to")), ("query_id", "from_ts", "to_ts"))
+    if not index.sides:
+        return df.withColumn("query_id", F.explode(F.array().cast("array<string>")))
+    found = index.look_up(df, (F.col(lat), F.col(lon), _hours(time)), "inner")
+    return found.withColumn("_hit", F.explode(F.filter("_boxes", applies))).select(*df.columns, F.col("_hit.query_id").alias("query_id"))
 
 
-def _grid_layers(boxes: DataFrame, extra: Sequence[str]) -> list[tuple[float, float, DataFrame]]:
-    """Boxes indexed by grid cell, as lookup tables with one row per cell.
+PLACE = (("lat_min", "lat_max"), ("lon_min", "lon_max"))
 
-    Per direction a box lies on the grid whose cell side is the greatest power
-    of eight not above its extent, so it touches at most nine cells and a cell
-    is never larger than its boxes. The fullest cell of each grid is counted
-    first, and boxes are hashed to as many lists per cell as keep a list near
-    ``CELL_BOXES``. Each (grid, list number) is one layer.
+
+def _hours(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp")) / F.lit(3.6e9)
+
+
+@dataclass(frozen=True)
+class _Index:
+    """Boxes by cell: ``table`` has _level, _cell (coordinates), _part and _boxes; ``sides`` the cell sides of each level."""
+
+    table: DataFrame
+    sides: list[tuple[float, ...]]
+
+    def cell(self, at: Sequence[Column], level: int) -> Column:
+        return F.array(*[F.floor(x / s) for x, s in zip(at, self.sides[level])])
+
+    def look_up(self, df: DataFrame, at: Sequence[Column], how: str = "left") -> DataFrame:
+        """Each row with the lists of boxes in its cell of every level, a row per list, from one join."""
+        keys = F.array(*[F.struct(F.lit(k).alias("_level"), self.cell(at, k).alias("_cell")) for k in range(len(self.sides))])
+        keyed = df.withColumn("_key", F.explode(keys)).withColumns({c: F.col(f"_key.{c}") for c in ("_level", "_cell")}).drop("_key")
+        return keyed.join(self.table, ["_level", "_cell"], how)
+
+
+def _cells(boxes: DataFrame, ranges: Sequence[tuple[str, str]], extra: Sequence[str]) -> _Index:
+    """Boxes indexed by cells of a hierarchy of grids.
+
+    Per direction a box lies on the grid whose side is the least power of ``CELL_STEP`` not below its extent, so it
+    touches at most two cells per direction. A level is a combination of sides that occurs; where more than ``MAX_LEVELS`` do,
+    sides are rounded up together until no more are left, at most by a factor common to all directions. So the number of levels is
+    bounded whatever the table. A cell with more than ``CELL_BOXES`` boxes has several lists. Boxes without an inside are left out.
+    ``boxes`` is a stored table, since it is read several times.
     """
-    def side(low, high):
-        extent = F.greatest(F.col(high) - F.col(low), F.lit(SMALLEST_EXTENT))
-        return F.pow(F.lit(float(CELL_STEP)), F.floor(F.log2(extent) / F.log2(F.lit(float(CELL_STEP)))))
-
-    def cells(low, high, size):
-        return F.explode(F.sequence(F.floor(F.col(low) / F.col(size)), F.floor(F.col(high) / F.col(size))))
-
-    possible = (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max"))
-    placed = (boxes.where(possible)
-              .withColumn("_sy", side("lat_min", "lat_max")).withColumn("_sx", side("lon_min", "lon_max"))
-              .withColumn("_cy", cells("lat_min", "lat_max", "_sy"))
-              .withColumn("_cx", cells("lon_min", "lon_max", "_sx")))
-    cell = ("_sy", "_sx", "_cy", "_cx")
-    sides = [(r["_sy"], r["_sx"], -(-r["fullest"] // CELL_BOXES)) for r in
-             placed.groupBy(*cell).count().groupBy("_sy", "_sx").agg(F.max("count").alias("fullest"))
-             .orderBy("_sy", "_sx").collect()]
-    lists = F.lit(1)
-    for sy, sx, n in sides:
-        if n > 1:
-            lists = F.when((F.col("_sy") == sy) & (F.col("_sx") == sx), n).otherwise(lists)
-    fields = ["lat_min", "lat_max", "lon_min", "lon_max", *extra]
-    table = cut_lineage(
-        placed.withColumn("_list", F.pmod(F.xxhash64(extra[0]), lists)).groupBy(*cell, "_list").agg(
-            F.collect_list(F.struct(*fields)).alias("_boxes")), "grid")
-    return [(sy, sx, table.where((F.col("_sy") == sy) & (F.col("_sx") == sx) & (F.col("_list") == i))
-             .select("_cy", "_cx", "_boxes")) for sy, sx, n in sides for i in range(n)]
-
-
-def _look_up(df: DataFrame, layer: tuple[float, float, DataFrame], number: int, lat: str, lon: str) -> DataFrame:
-    side_y, side_x, table = layer
-    named = table.withColumnRenamed("_boxes", f"_boxes{number}")
-    keyed = df.withColumn("_cy", F.floor(F.col(lat) / side_y)).withColumn("_cx", F.floor(F.col(lon) / side_x))
-    return keyed.join(named, ["_cy", "_cx"], "left").drop("_cy", "_cx")
+    step, d = F.log2(F.lit(float(CELL_STEP))), len(ranges)
+    possible = reduce(lambda a, b: a & b, [F.col(low) <= F.col(high) for low, high in ranges])
+    power = [F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(SMALLEST_EXTENT))) / step).cast("int") for low, high in ranges]
+    fields = dict.fromkeys([*(c for pair in PLACE for c in pair), *extra])
+    names, bounds = [f"_p{k}" for k in range(d)], dict.fromkeys(c for pair in ranges for c in pair)
+    placed = boxes.where(possible).select(*dict.fromkeys([*fields, *bounds]), *[p.alias(n) for n, p in zip(names, power)])
+    levels = sorted(tuple(r) for r in placed.select(*names).distinct().collect())
+    if not levels:
+        return _Index(placed, [])
+    if len(levels) > MAX_LEVELS:
+        # One number says how far a box is above the finest grid, in the direction where it is most.
+        least = [min(level[k] for level in levels) for k in range(d)]
+        stride = -(-(max(max(p - q for p, q in zip(level, least)) for level in levels) + 1) // MAX_LEVELS)
+        above = F.ceil(F.greatest(*[F.col(n) - F.lit(q) for n, q in zip(names, least)]) / F.lit(stride)) * stride
+        placed = placed.withColumn("_above", above.cast("int")).withColumns({n: F.col("_above") + F.lit(q) for n, q in zip(names, least)})
+        ups = {-(-max(p - q for p, q in zip(level, least)) // stride) * stride for level in levels}
+        levels = [tuple(q + up for q in least) for up in sorted(ups)]
+    level = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [F.col(n) == p for n, p in zip(names, combination)]), k)
+                         for k, combination in enumerate(levels)])
+    for k, (low, high) in enumerate(ranges):
+        side = F.pow(F.lit(float(CELL_STEP)), F.col(names[k]))
+        placed = placed.withColumn(f"_c{k}", F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))))
+    placed = placed.select(level.alias("_level"), F.array(*[F.col(f"_c{k}") for k in range(d)]).alias("_cell"), *fields)
+    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("_level", "_cell")) / CELL_BOXES)
+    parted = placed.withColumn("_lists", lists).withColumn("_part", F.pmod(F.xxhash64(extra[0]), F.col("_lists")))
+    table = parted.groupBy("_level", "_cell", "_part").agg(F.collect_list(F.struct(*fields)).alias("_boxes"))
+    return _Index(table, [tuple(float(CELL_STEP) ** p for p in level) for level in levels])

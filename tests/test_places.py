@@ -1,7 +1,7 @@
 """Boxes, regions and scoped queries, with edge points and long region tables."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +87,52 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
     plan = named_query("geo_filtered_dense").run(spark.read.parquet(out))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat,5000.0)" in plan
     assert "ReadSchema: struct<lat:double,lon:double,mph:double>" in plan
+
+
+SPEC = ("query_id string, lat_min double, lat_max double, lon_min double, lon_max double, from_ts timestamp_ntz, to_ts timestamp_ntz")
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(line.lstrip(" :+-").startswith("Join ") for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_lookups_take_one_join_however_many_boxes(spark, crowded):
+    """100, 2 000 and 8 000 boxes of many sizes, also all over one place, with differing times; equal to brute force."""
+    rng = random.Random(6)
+    day = datetime(2024, 1, 1)
+    at = [(rng.uniform(0, 100), rng.uniform(0, 100), day + timedelta(hours=rng.uniform(0, 700))) for _ in range(60)] + [(None, 1.0, day), (5.0, 5.0, None)]
+    df = spark.createDataFrame([(i, *a) for i, a in enumerate(at)], "id long, lat double, lon double, ts timestamp_ntz")
+    for n in (100, 2000, 8000):
+        specs = []
+        for i in range(n):
+            a, o = (50.0, 50.0) if crowded else (rng.uniform(0, 100), rng.uniform(0, 100))
+            a, o = (a - 49, o - 49) if crowded and i % 2 else (a, o)
+            begin = day + timedelta(hours=rng.uniform(0, 600))
+            specs.append((f"q{i}", a, a + 10 ** rng.uniform(-6, 2), o, o + 10 ** rng.uniform(-6, 2), begin, begin + timedelta(hours=10 ** rng.uniform(-4, 3))))
+        active = geo.active_queries(df, spark.createDataFrame(specs, SPEC))
+        boxes = spark.createDataFrame([(i, s[0], *s[1:5]) for i, s in enumerate(specs)], REGION)
+        mapped = geo.map_regions(df, boxes)
+        assert (joins(active), joins(mapped)) == (1, 2)
+        want, first = set(), {}
+        for i, (y, x, t) in enumerate(at):
+            inside = [s for s in specs if y is not None and s[1] <= y <= s[2] and s[3] <= x <= s[4]]
+            first[i] = inside[0][0] if inside else None
+            want |= {(i, s[0]) for s in inside if t is not None and s[5] <= t < s[6]}
+        got = [(r.id, r.query_id) for r in active.collect()]
+        assert len(got) == len(want) and set(got) == want and (want or n == 100)
+        assert placed(mapped) == first and mapped.columns == [*df.columns, "rid"]
+
+
+def test_long_tables_on_streams(spark, tmp_path):
+    rng = random.Random(7)
+    boxes = [geo.Box(a, a + rng.choice([0.5, 20.0]), o, o + rng.choice([3.0, 60.0]), f"r{i}") for i in range(200)
+             for a, o in [(rng.uniform(0, 80), rng.uniform(0, 80))]]
+    at = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(100)]
+    points(spark, at).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, lat double, lon double").parquet(str(tmp_path / "in"))
+    found = geo.map_regions(stream, regions(spark, boxes))
+    found.writeStream.trigger(availableNow=True).format("parquet").option("checkpointLocation", str(tmp_path / "check")).start(
+        str(tmp_path / "out")).awaitTermination()
+    assert placed(spark.read.parquet(str(tmp_path / "out"))) == placed(geo.map_regions(points(spark, at), regions(spark, boxes)))
