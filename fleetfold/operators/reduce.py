@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +178,22 @@ def set_union(df: DataFrame, keys: Sequence[Column | str], value: str) -> DataFr
     return reduce_by_key(df, keys, "union", value)
 
 
+def set_chunks(df: DataFrame, keys: Sequence[str], value: str, chunk: int = 10_000) -> DataFrame:
+    """Distinct values of any domain per key, as rows (keys, ``part``, ``value``) of sorted arrays of up to ``chunk`` values.
+
+    ``set_union`` for sets that no row should hold whole. Values are made distinct with partial results, spread by hash
+    over as many lists as the fullest key needs, and each list is cut. Nulls are left out.
+    """
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    fullest = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    lists = max(1, -(-fullest // chunk))
+    spread = distinct.withColumn("_list", F.pmod(F.xxhash64(value), F.lit(lists)))
+    place = F.row_number().over(Window.partitionBy(*keys, "_list").orderBy(value))
+    cut = spread.withColumn("_cut", F.floor((place - 1) / F.lit(chunk)))
+    parts = cut.groupBy(*keys, "_list", "_cut").agg(F.sort_array(F.collect_list(value)).alias(value))
+    return parts.select(*keys, (F.col("_cut") * F.lit(lists) + F.col("_list")).alias("part"), value)
+
+
 def latest_row(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The whole most recent row, overall or per key."""
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row"))

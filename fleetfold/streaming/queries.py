@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetfold.operators.epoch import route
 from fleetfold.operators.messages import concat_sources, drop_canaries, drop_null_records, for_query, unwrap
 from fleetfold.operators.reduce import merges
 from fleetfold.plans.spec import MapReduceQuery, run_tagged
+from fleetfold.streaming.in_order import SLOTS, as_of_in_order
 
 
 def event_time(stream: DataFrame, time: str = "ts", delay: str = "1 minute") -> DataFrame:
@@ -55,3 +57,49 @@ def enveloped(query_uid: str, sources: Mapping[str, DataFrame], key_type: str, v
     typed = unwrap(raw, key_type, value_type)
     own = for_query(drop_null_records(drop_canaries(typed)), query_uid, observation=observation)
     return own.select("key", "value", F.timestamp_millis("created_ms").alias("ts"))
+
+
+def first_status(sends: DataFrame, statuses: DataFrame, message: str = "uuid", status: str = "status", order: str = "seq",
+                 time: str = "ts", bound: str = "1 hour", delay: str = "1 minute", window: str = "1 hour") -> DataFrame:
+    """Each message of a stream with the first status reported for it within ``bound`` of its sending, else null.
+
+    The stream form of ``operators.messages.first_status``: an outer join of both streams, bounded in time on either side, so that
+    state is forgotten; then one reduction per message, which takes the earliest status by time and ``order`` and ignores later
+    and repeated ones. Both sides have a time column ``time``. A message leaves when the watermark has passed it by
+    ``bound`` and its window of ``window``. Append only.
+    """
+    sent, told = _both(sends, statuses, message, time, delay)
+    joined = sent.join(told, _within(message, time, bound), "left_outer")
+    first = joined.groupBy(F.window(time, window), message).agg(
+        F.min_by(status, F.when(F.col("_at").isNotNull(), F.struct("_at", order))).alias(status))
+    return first.select(message, status)
+
+
+def stray_statuses(sends: DataFrame, statuses: DataFrame, message: str = "uuid", time: str = "ts", bound: str = "1 hour",
+                   delay: str = "1 minute") -> DataFrame:
+    """Statuses of a stream that belong to no message: of unknown ones, too early, or later than ``bound`` after the sending."""
+    sent, told = _both(sends, statuses, message, time, delay)
+    joined = told.join(sent.select(message, time), _within(message, time, bound), "left_outer").where(F.col(time).isNull())
+    return joined.select(F.col("_of").alias(message), F.col("_at").alias(time),
+                         *[c for c in statuses.columns if c not in (message, time)])
+
+
+def _both(sends: DataFrame, statuses: DataFrame, message: str, time: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    told = event_time(statuses.where(F.col(message).isNotNull()), time, delay)
+    return event_time(sends, time, delay), told.withColumnsRenamed({message: "_of", time: "_at"})
+
+
+def _within(message: str, time: str, bound: str) -> Column:
+    return ((F.col(message) == F.col("_of")) & (F.col("_at") >= F.col(time))
+            & (F.col("_at") <= F.col(time) + F.expr(f"INTERVAL {bound}")))
+
+
+def route_epochs(messages: DataFrame, epochs: DataFrame, delay: str = "1 minute", slots: int = SLOTS) -> DataFrame:
+    """Messages of a stream with ``current``, their node's epoch at their time, and ``route``: deliver, buffer or drop.
+
+    ``messages`` is (node, at, epoch, ...) and ``epochs`` (node, at, epoch): from ``at`` on this is the node's epoch. Before its first
+    epoch a node buffers. Neither side's arrival order matters within ``delay``.
+    """
+    starts = epochs.where("epoch is not null").withColumnRenamed("epoch", "current")
+    known = as_of_in_order(messages, starts, "node", "at", "at", "current", delay, slots)
+    return known.withColumn("route", F.when(F.col("current").isNull(), "buffer").otherwise(route("epoch", "current")))

@@ -220,3 +220,14 @@ def query_set_changes(spark, sf_dir):
     split = F.lit("2024-01-16").cast("timestamp_ntz")
     return reduce.set_changes(
         rows.where(F.col("ts") < split), rows.where(F.col("ts") >= split), ["node", "color", "hour"])
+
+
+@query("event_sets", check("""SELECT color AS key, COUNT(DISTINCT event_id) AS members, CAST(SUM(event_id) AS BIGINT) AS total,
+    true AS bounded FROM status GROUP BY color"""))
+def event_sets(spark, sf_dir):
+    """All event ids by colour, in rows of up to 500; the check adds them up again."""
+    parts = reduce.set_chunks(t.status(spark, sf_dir), ["color"], "event_id", chunk=500)
+    return parts.groupBy(F.col("color").alias("key")).agg(
+        F.sum(F.size("event_id")).alias("members"),
+        F.sum(F.aggregate("event_id", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("total"),
+        (F.max(F.size("event_id")) <= 500).alias("bounded"))

@@ -219,3 +219,58 @@ def stream_custom_reduce(spark, sf_dir):
     rows = running.event_time(vehicles, delay=DELAY)
     sinks.append_rows(LANES.run_windowed(rows, "1 day", slots=2), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("window_start", "window_end", "key", "value.*")
+
+
+# White vehicles' statuses come two hours late, black ones' never, and red ones' messages get a second status and one for an unknown message.
+_REPORTS = """reports AS (SELECT lead AS uuid, ts + INTERVAL '10 seconds' AS ts, 2 AS seq, 'GOOD' AS status FROM ids WHERE color = 'red'
+    UNION ALL SELECT lead, ts + CASE WHEN color = 'white' THEN INTERVAL '2 hours' ELSE INTERVAL '10 seconds' END, 1,
+        CASE WHEN mph <= 150 THEN 'GOOD' ELSE 'BAD' END FROM ids WHERE color <> 'black'
+    UNION ALL SELECT follow, ts, 1, 'GOOD' FROM ids WHERE color = 'red')"""
+
+
+def _sent_and_told(spark, sf_dir):
+    rows = t.status(spark, sf_dir).selectExpr(f"{t.LEAD} AS uuid", f"{t.FOLLOW} AS other", "ts", "mph", "color")
+    told = rows.selectExpr("""inline(array_compact(array(
+        CASE WHEN color = 'red' THEN named_struct('uuid', uuid, 'ts', ts + INTERVAL '10' SECOND, 'seq', 2, 'status', 'GOOD') END,
+        CASE WHEN color <> 'black' THEN named_struct('uuid', uuid, 'ts', ts + CASE WHEN color = 'white' THEN INTERVAL '7200' SECOND
+            ELSE INTERVAL '10' SECOND END, 'seq', 1, 'status', CASE WHEN mph <= 150 THEN 'GOOD' ELSE 'BAD' END) END,
+        CASE WHEN color = 'red' THEN named_struct('uuid', other, 'ts', ts, 'seq', 1, 'status', 'GOOD') END)))""")
+    return (_arriving(spark, rows.select("uuid", "ts"), "ts", "sent", {"ts": LAST, "uuid": "closing"}),
+            _arriving(spark, told, "ts", "told", {"ts": LAST, "uuid": "none", "seq": 0}))
+
+
+@query("stream_message_status", check("""SELECT lead AS uuid, CASE WHEN color IN ('black', 'white') THEN NULL
+    WHEN mph <= 150 THEN 'GOOD' ELSE 'BAD' END AS status FROM ids""", "ids"))
+def stream_message_status(spark, sf_dir):
+    out, checkpoint = _places(spark, "statuses")
+    sinks.append_rows(running.first_status(*_sent_and_told(spark, sf_dir), delay=DELAY), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("stream_stray_statuses", check("""SELECT uuid, ts, seq, status FROM reports r
+    WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.lead = r.uuid AND r.ts BETWEEN i.ts AND i.ts + INTERVAL '1 hour')""", "ids", more=_REPORTS))
+def stream_stray_statuses(spark, sf_dir):
+    out, checkpoint = _places(spark, "strays")
+    sinks.append_rows(running.stray_statuses(*_sent_and_told(spark, sf_dir), delay=DELAY), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).where("uuid <> 'none'")
+
+
+# A node's epoch is the day from 01:00 on. Fast vehicles' messages are for the next day, slow ones' for the day before.
+@query("stream_epoch_route", check("""SELECT event_id, CASE WHEN current IS NULL OR epoch > current THEN 'buffer'
+    WHEN epoch = current THEN 'deliver' ELSE 'drop' END AS route FROM (SELECT event_id,
+        date_trunc('day', ts) + CASE WHEN mph > 100 THEN INTERVAL '1 day' WHEN mph < 5 THEN INTERVAL '-1 day' ELSE INTERVAL '0 day' END AS epoch,
+        CASE WHEN date_trunc('day', ts - INTERVAL '1 hour') >= (SELECT date_trunc('day', MIN(ts)) FROM status)
+            THEN date_trunc('day', ts - INTERVAL '1 hour') END AS current FROM status)"""))
+def stream_epoch_route(spark, sf_dir):
+    span = t.status(spark, sf_dir).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    every = F.sequence(F.to_date(F.lit(span.lo)), F.to_date(F.lit(span.hi)))
+    days = t.nodes(spark, sf_dir).withColumn("d", F.explode(every))
+    epochs = days.selectExpr("node", "CAST(d AS TIMESTAMP) + INTERVAL '1' HOUR AS at", "unix_micros(CAST(d AS TIMESTAMP)) AS epoch")
+    messages = t.status(spark, sf_dir).selectExpr(
+        "node", "CAST(ts AS TIMESTAMP) AS at", """unix_micros(date_trunc('day', ts)) + CASE WHEN mph > 100 THEN 86400000000L
+            WHEN mph < 5 THEN -86400000000L ELSE 0L END AS epoch""", "event_id")
+    out, checkpoint = _places(spark, "routes")
+    routed = running.route_epochs(_arriving(spark, messages, "at", "messages", {"at": LAST}),
+                                  _arriving(spark, epochs, "at", "epochs", {"node": -1, "at": LAST, "epoch": 0}), DELAY, slots=2)
+    sinks.append_rows(routed, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).where("event_id IS NOT NULL").select("event_id", "route")

@@ -150,3 +150,30 @@ def test_enveloped_streams_fan_in_and_report_clashes(spark, folder):
     assert sorted((r.key, r.value, r.ts.second) for r in got) == [(1, 2.0, 1), (1, 3.0, 2), (3, 8.0, 3)]
     seen = [p.observedMetrics["tags"].asDict() for p in query.recentProgress if "tags" in p.observedMetrics]
     assert len(seen) > 1 and sum(s["clashing"] for s in seen) == 2
+
+
+@pytest.mark.parametrize("files", [(1, 1), (5, 4)])
+def test_first_statuses_and_strays_of_streams(spark, folder, files):
+    sends = [(f"m{i}", at(i * 10)) for i in range(12)]
+    told = [(f"m{i}", at(i * 10 + 30), 2, "BAD") for i in range(12) if i % 4] + [(f"m{i}", at(i * 10 + 30), 1, "GOOD") for i in range(0, 12, 3)]
+    told += [("m1", at(20), 3, "FIRST"), ("m8", at(80 + 7200), 1, "LATE"), ("m9", at(80), 1, "EARLY"), ("x", at(50), 1, "UNKNOWN"), (None, at(5), 1, "NONE")]
+    told.sort(key=lambda r: r[1])
+    pair = (staged(spark, folder("s"), sends + [("closing", at(FAR))], "uuid string, ts timestamp", files[0]),
+            staged(spark, folder("t"), told + [("none", at(FAR), 0, "")], "uuid string, ts timestamp, seq int, status string", files[1]))
+    sinks.append_rows(running.first_status(*pair, delay="3 hours"), folder("out"), folder("c1")).awaitTermination()
+    got = {r.uuid: r.status for r in spark.read.parquet(folder("out")).collect()}
+    want = {f"m{i}": "GOOD" if i % 3 == 0 else "BAD" if i % 4 else None for i in range(12)} | {"m1": "FIRST"}
+    assert got == want
+    sinks.append_rows(running.stray_statuses(*pair, delay="3 hours"), folder("strays"), folder("c2")).awaitTermination()
+    assert {r.status for r in spark.read.parquet(folder("strays")).where("uuid <> 'none'").collect()} == {"LATE", "EARLY", "UNKNOWN"}
+
+
+def test_routes_follow_the_epochs_of_the_stream(spark, folder):
+    messages = [(1, at(5), 100, 1), (1, at(20), 100, 2), (1, at(21), 200, 3), (1, at(40), 100, 4), (2, at(40), 200, 5), (1, at(30), 200, 6)]
+    epochs = [(1, at(10), 100), (1, at(30), 200), (2, at(50), 200)]
+    stream = running.route_epochs(
+        staged(spark, folder("m"), messages + [(None, at(FAR), 0, None)], MESSAGES, 3),
+        staged(spark, folder("e"), epochs + [(-1, at(FAR), 0)], "node long, at timestamp, epoch long", 2), delay="1 hour", slots=2)
+    sinks.append_rows(stream, folder("out"), folder("check")).awaitTermination()
+    got = {r.item: r.route for r in spark.read.parquet(folder("out")).where("item is not null").collect()}
+    assert got == {1: "buffer", 2: "deliver", 3: "buffer", 4: "drop", 5: "buffer", 6: "deliver"}

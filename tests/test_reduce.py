@@ -176,3 +176,19 @@ def test_stock_sums_are_plain_sums(spark):
     assert named_query("speed_sum").run(rows).first()["value"] == pytest.approx(0.0004)
     odd = spark.createDataFrame([(1.0,), (float("nan"),)], "mph double")
     assert named_query("speed_sum").run(odd).first()["value"] != 1.0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_set_chunks_hold_every_value_once_in_bounded_rows(spark, chunk):
+    rows = [(f"k{i % 3}" if i % 10 else None, i % 90 if i % 17 else None) for i in range(600)]
+    parts = reduce.set_chunks(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", chunk).collect()
+    got = defaultdict(list)
+    for r in parts:
+        assert 0 < len(r.v) <= chunk and r.v == sorted(r.v)
+        got[r.k] += r.v
+    assert len({(r.k, r.part) for r in parts}) == len(parts)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted({v for q, v in rows if q == k and v is not None}) for k in {k for k, _ in rows}}
+
+
+def test_set_chunks_of_nothing(spark):
+    assert reduce.set_chunks(spark.createDataFrame([("a", None)], "k string, v int"), ["k"], "v").count() == 0
