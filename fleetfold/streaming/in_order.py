@@ -8,7 +8,7 @@ files fall into batches or rows into files. A row later than the delay allows is
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Row
@@ -80,6 +80,21 @@ def as_of_in_order(left: DataFrame, right: DataFrame, key: str, left_time: str,
     return held.select(*columns, F.col("value").alias(value))
 
 
+def set_changes_in_order(snapshots: DataFrame, keys: Sequence[str], time: str, every: str, delay: str = "1 minute") -> DataFrame:
+    """Entries that appear in or vanish from the snapshots of a stream: ``keys``, ``at`` and ``change`` (started or stopped).
+
+    The stream form of ``operators.reduce.set_changes`` over any number of snapshots. A snapshot is the rows of one ``time``, and
+    there is one per ``every``. An entry starts with the first snapshot that holds it and stops, by a timer, at the first one that
+    does not; it may start again. State is a time per entry that is in the set. Rows without a time are left out.
+    """
+    rows = snapshots.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay)
+    rows = rows.select(*keys, "at", F.unix_micros("at").alias("us"), F.lit(1).alias("rank"))
+    out = T.StructType([*[T.StructField(k, snapshots.schema[k].dataType) for k in keys],
+                        T.StructField("at", T.TimestampType()), T.StructField("change", T.StringType())])
+    return rows.groupBy(*keys).transformWithState(
+        statefulProcessor=Presence(list(keys), _micros(every)), outputStructType=out, outputMode="append", timeMode="EventTime")
+
+
 def _portable(field: T.StructField) -> Column:
     """Times as whole microseconds, which Python holds without a time zone."""
     column = F.col(field.name)
@@ -233,3 +248,43 @@ class LatestValue(InOrder):
                 out.append(Row(_at=_moment(us), fact=body, value=value))
         self._value.update((value,))
         return iter(out)
+
+
+class Presence(InOrder):
+    """State per entry that is in the set: the time of the last snapshot that held it."""
+
+    pending_type = "us bigint, rank int"
+
+    def __init__(self, names: list[str], every: int) -> None:
+        self._names, self._every = names, every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._last = handle.getValueState("last", "us bigint")
+
+    def held(self, row: Row) -> tuple:
+        return row.us, row.rank
+
+    def play(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
+        last = self._last.get()[0] if self._last.exists() else None
+        out = []
+
+        def tell(us: int, change: str) -> None:
+            out.append(Row(**dict(zip(self._names, key)), at=_moment(us), change=change))
+
+        for us, _ in rows:
+            if last is not None and us > last + self._every:
+                tell(last + self._every, "stopped")
+                last = None
+            if last is None:
+                tell(us, "started")
+            last = us
+        if last is not None and last + self._every <= until:
+            tell(last + self._every, "stopped")
+            last = None
+        if last is None:
+            self._last.clear()
+        else:
+            self._last.update((last,))
+            self._wake(last + self._every)
+        return iter(out)

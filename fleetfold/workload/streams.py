@@ -15,7 +15,7 @@ from fleetfold.session import scratch_path
 from fleetfold.sources.readers import file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
-from fleetfold.streaming.in_order import release_in_order
+from fleetfold.streaming.in_order import release_in_order, set_changes_in_order
 from fleetfold.workload import tables as t
 from fleetfold.workload.epochs import LANE_WINDOWS, LANES, MIXED, MIXED_CHECK, TAGGED, TAGGED_CHECK
 from fleetfold.workload.registry import query, stock
@@ -274,3 +274,17 @@ def stream_epoch_route(spark, sf_dir):
                                   _arriving(spark, epochs, "at", "epochs", {"node": -1, "at": LAST, "epoch": 0}), DELAY, slots=2)
     sinks.append_rows(routed, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).where("event_id IS NOT NULL").select("event_id", "route")
+
+
+# The set of a day is the colours that a node was seen in on it; the last day's sets stop when the stream closes.
+@query("stream_query_set_changes", check("""SELECT node, color, day AS at, 'started' AS change FROM sets a
+    WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.node = a.node AND b.color = a.color AND b.day = a.day - INTERVAL '1 day')
+    UNION ALL SELECT node, color, day + INTERVAL '1 day', 'stopped' FROM sets a
+    WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.node = a.node AND b.color = a.color AND b.day = a.day + INTERVAL '1 day')""",
+    more="sets AS (SELECT DISTINCT node, color, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM status)"))
+def stream_query_set_changes(spark, sf_dir):
+    sets = t.status(spark, sf_dir).select("node", "color", F.date_trunc("day", "ts").alias("day")).distinct()
+    out, checkpoint = _places(spark, "sets")
+    arriving = _arriving(spark, sets, "day", "snapshots", {"node": -1, "day": LAST})
+    sinks.append_rows(set_changes_in_order(arriving, ["node", "color"], "day", "1 day", DELAY), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)

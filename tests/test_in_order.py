@@ -11,7 +11,7 @@ from fleetfold.operators import cluster, messages, reduce, scans
 from fleetfold.sources import readers
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
-from fleetfold.streaming.in_order import as_of_in_order, release_in_order
+from fleetfold.streaming.in_order import as_of_in_order, release_in_order, set_changes_in_order
 
 START = datetime(2024, 1, 1)
 
@@ -177,3 +177,15 @@ def test_routes_follow_the_epochs_of_the_stream(spark, folder):
     sinks.append_rows(stream, folder("out"), folder("check")).awaitTermination()
     got = {r.item: r.route for r in spark.read.parquet(folder("out")).where("item is not null").collect()}
     assert got == {1: "buffer", 2: "deliver", 3: "buffer", 4: "drop", 5: "buffer", 6: "deliver"}
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_changes_of_a_streamed_set(spark, folder, files):
+    held = {"a": [0, 1, 2, 5, 6], "b": [0], "c": [3, 4, 5, 6], None: [1]}
+    rows = sorted([(k, at(3600 * n)) for k, times in held.items() for n in times] * 2, key=lambda r: r[1])
+    stream = staged(spark, folder("in"), rows + [("late", None), ("end", at(3600 * 9))], "query string, seen timestamp", files)
+    changes = set_changes_in_order(stream, ["query"], "seen", "1 hour", delay="2 hours")
+    sinks.append_rows(changes, folder("out"), folder("check")).awaitTermination()
+    got = {(r.query, (r.at - START).total_seconds() / 3600, r.change) for r in spark.read.parquet(folder("out")).collect()}
+    assert got == {("a", 0, "started"), ("a", 3, "stopped"), ("a", 5, "started"), ("a", 7, "stopped"), ("b", 0, "started"), ("b", 1, "stopped"),
+                   ("c", 3, "started"), ("c", 7, "stopped"), (None, 1, "started"), (None, 2, "stopped")}
