@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.words import cut_lineage, partitions
+from fleetfold.llm.words import cut_lineage
 
 MAX_ROUNDS = 60
-#: A node is a hub from a partition's mean number of links over this.
-FINENESS = 4
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -19,13 +17,14 @@ def connected(links: DataFrame) -> DataFrame:
     node are in the result; null ends and loops are ignored. Every round hooks
     each node's neighbours to its smallest neighbour, first the larger and then
     the smaller ones, so chains shorten to stars in a logarithmic number of
-    rounds. A node with any number of links is reduced by a minimum, which hubs get by
-    broadcast and others by a join; neighbours are never gathered. Every round is written to the shared
+    rounds. A node with any number of links is reduced by a minimum with partial results, and its
+    neighbours are never gathered: the minima are a stored table, so the join of a hub's links with its minimum is one that
+    adaptive execution broadcasts, or splits over tasks. Every round is written to the shared
     folder, so a lost executor costs a round.
     """
     edges = cut_lineage(_oriented(links.where("a is not null and b is not null and a <> b")), "links")
     for _ in range(MAX_ROUNDS):
-        edges = cut_lineage(_small_star(_large_star(edges)), "links")
+        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges), "links")), "links")
         hops = edges.select(F.col("low").alias("high")).distinct().join(edges.select("high").distinct(), "high")
         if hops.isEmpty():
             low = edges.select(F.col("low").alias("node")).distinct().withColumn("label", F.col("node"))
@@ -39,27 +38,13 @@ def _oriented(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).union(edges.select("low", "high"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
-    larger = _with_least(both.where("v > u"), least, 2 * edges.count())
+    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    larger = both.where("v > u").join(least, "u")
     return _oriented(larger.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    rows = edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-    moved = _with_least(rows, least, edges.count()).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
+    least = cut_lineage(edges.groupBy("high").agg(F.min("low").alias("m")), "least")
+    moved = edges.join(least, "high").select(F.col("low").alias("a"), F.col("m").alias("b"))
+    own = least.select(F.col("high").alias("a"), F.col("m").alias("b"))
     return _oriented(moved.union(own).where("a <> b"))
-
-
-def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """Rows (u, v) with the ``m`` that ``least`` has for their ``u``.
-
-    Nodes with more links than a part of a partition's mean are hubs. There are at most ``FINENESS`` of
-    them per partition, so their minima are broadcast and their links stay where they are; all others are joined by node.
-    """
-    most = max(1.0, total / (FINENESS * partitions(rows.sparkSession)))
-    hubs = cut_lineage(least.where(F.col("links") > most).select("u", F.col("m").alias("hub_m")), "hubs")
-    marked = rows.join(F.broadcast(hubs), "u", "left")
-    joined = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("links") <= most).select("u", "m"), "u")
-    return joined.select("u", "v", "m").union(marked.where("hub_m is not null").select("u", "v", "hub_m"))
