@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetfold.functions.scalars import octets
 from fleetfold.operators.reduce import aggregates, merge_averages
 from fleetfold.operators.scans import as_of, running_total
-from fleetfold.streaming.in_order import SLOTS, as_of_in_order
+from fleetfold.streaming.in_order import SLOTS, as_of_in_order, running_total_in_order
 
 
 def assign_heads(status: DataFrame, membership: DataFrame, time: str = "ts",
@@ -52,6 +52,13 @@ def running_bytes(records: DataFrame, relay: str, time: str, ties: Sequence[str]
     return running_total(sized, [relay], time, "bytes", "total_bytes", ties, bucket)
 
 
+def stream_running_bytes(records: DataFrame, relay: str, time: str, ties: Sequence[str] = (), key: str = "key",
+                         value: str = "value", bucket: str = "1 hour", delay: str = "1 minute") -> DataFrame:
+    """``running_bytes`` of a stream; a row comes out once the watermark has passed its bucket."""
+    sized = records.withColumn("bytes", octets(key, value))
+    return running_total_in_order(sized, [relay], time, "bytes", "total_bytes", ties, bucket, delay)
+
+
 def traffic_savings(mapped: DataFrame, op: str, sent: Column, result: Column,
                     by: Sequence[Column | str] = (), digits: int | None = None) -> DataFrame:
     """Bytes per head with everything sent on, against bytes after reducing at the head.

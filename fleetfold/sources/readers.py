@@ -11,6 +11,18 @@ from pyspark.sql.types import StructType
 from fleetfold.operators.messages import concat_sources, unwrap
 from fleetfold.schema import STATUS
 
+#: How reports are written and read as CSV: times keep their microseconds.
+CSV_OPTIONS = {
+    "header": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows that ``sinks.append_csv`` or ``sinks.write_csv`` wrote; a row that does not fit the schema is an error."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, mode="FAILFAST", enforceSchema="false").csv(path)
+
 
 def status_files(spark: SparkSession, path: str, schema: StructType = STATUS) -> DataFrame:
     return spark.read.schema(schema).parquet(path)

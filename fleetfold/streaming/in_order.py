@@ -95,6 +95,41 @@ def set_changes_in_order(snapshots: DataFrame, keys: Sequence[str], time: str, e
         statefulProcessor=Presence(list(keys), _micros(every)), outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
+def running_total_in_order(rows: DataFrame, keys: Sequence[str], time: str, value: Column | str, name: str, ties: Sequence[str] = (),
+                           bucket: str = "1 hour", delay: str = "1 minute") -> DataFrame:
+    """Cumulative sum of whole numbers per key in (time, ties) order, over all batches of a stream.
+
+    The stream form of ``operators.scans.running_total``. Rows are split by (key, ``bucket``): a bucket's sum becomes final once the
+    watermark has passed it, the total of the buckets before it is kept per key, and then the bucket's own rows are played from
+    there on. So a hot key is spread over its buckets, only one row of each passes through the key's task, and state
+    is a total per key and the rows of open buckets; take buckets one of which fits a task. A null amount counts as 0, a
+    null key is a key, rows without a time or later than ``delay`` are left out.
+    """
+    width = _micros(bucket)
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    amount = (F.col(value) if isinstance(value, str) else value).cast("bigint")
+    packed = F.struct(*[_portable(f).alias(f.name) for f in rows.schema])
+    parts = rows.where(F.col(time).isNotNull()).select(
+        *keys, F.timestamp_micros(us - F.pmod(us, F.lit(width)) + width).alias("_end"), us.alias("_us"),
+        F.coalesce(amount, F.lit(0).cast("bigint")).alias("_amount"), F.to_json(packed).alias("_body"))
+    # Buckets close as wholes, so the watermark follows their ends and waits a bucket longer.
+    parts = parts.withWatermark("_end", f"{_micros(delay) + width} microseconds")
+    sums = parts.groupBy(*keys, "_end").agg(F.sum("_amount").alias("_amount")).select(
+        *keys, "_end", F.unix_micros("_end").alias("_us"), "_amount")
+    key_fields = [T.StructField(k, rows.schema[k].dataType) for k in keys]
+    before = T.StructType([*key_fields, T.StructField("_end", T.TimestampType()), T.StructField("_amount", T.LongType())])
+    carried = sums.groupBy(*keys).transformWithState(
+        statefulProcessor=BucketsBefore(list(keys)), outputStructType=before, outputMode="append", timeMode="EventTime",
+        eventTimeColumnName="_end")
+    carried = carried.select(*keys, "_end", F.lit(None).cast("bigint").alias("_us"), "_amount", F.lit(None).cast("string").alias("_body"))
+    totals = parts.union(carried).groupBy(*keys, "_end").transformWithState(
+        statefulProcessor=TotalsInBucket(list(ties)), outputStructType="body string, total bigint", outputMode="append",
+        timeMode="EventTime")
+    shape = rows.select(packed.alias("row")).schema["row"].dataType
+    restored = totals.select(F.from_json("body", shape).alias("fact"), "total")
+    return restored.select(*[_restored(f).alias(f.name) for f in rows.schema], F.col("total").alias(name))
+
+
 def _portable(field: T.StructField) -> Column:
     """Times as whole microseconds, which Python holds without a time zone."""
     column = F.col(field.name)
@@ -288,3 +323,63 @@ class Presence(InOrder):
             self._last.update((last,))
             self._wake(last + self._every)
         return iter(out)
+
+
+class BucketsBefore(StatefulProcessor):
+    """State per key: the total of all closed buckets. Buckets close in the order of their ends, so a batch's are later than all before."""
+
+    def __init__(self, names: list[str]) -> None:
+        self._names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._total = handle.getValueState("total", "total bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        total = self._total.get()[0] if self._total.exists() else 0
+        out = []
+        for us, amount in sorted((r["_us"], r["_amount"]) for r in rows):
+            out.append(Row(**dict(zip(self._names, key)), _end=_moment(us), _amount=total))
+            total += amount
+        self._total.update((total,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+class TotalsInBucket(StatefulProcessor):
+    """State per (key, bucket): its rows, until the total of the buckets before it comes."""
+
+    def __init__(self, ties: list[str]) -> None:
+        self._ties = ties
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._rows = handle.getListState("rows", "us bigint, amount bigint, body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new, before = [], None
+        for r in rows:
+            if r["_body"] is None:
+                before = r["_amount"]
+            else:
+                new.append((r["_us"], r["_amount"], r["_body"]))
+        if before is None:
+            self._rows.appendList(new)
+            return iter([])
+        if self._rows.exists():
+            new += [tuple(r) for r in self._rows.get()]
+            self._rows.clear()
+        return self._play(sorted(new, key=self._order), before)
+
+    def _order(self, row: tuple) -> tuple:
+        told = json.loads(row[2]) if self._ties else {}
+        return row[0], [(1, told[t]) if t in told else (0,) for t in self._ties]
+
+    @staticmethod
+    def _play(rows: list[tuple], total: int) -> Iterator[Row]:
+        for _, amount, body in rows:
+            total += amount
+            yield Row(body=body, total=total)
+
+    def close(self) -> None:
+        pass

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetfold.sources.readers import CSV_OPTIONS
+
 
 def trigger(writer, every: str | None):
     """Micro-batches at a steady pace, or all available data and then stop."""
@@ -85,7 +87,13 @@ def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str,
 
 def write_csv(df: DataFrame, out: str) -> None:
     """A byte log or another report as CSV with a header."""
-    df.write.mode("errorifexists").option("header", "true").csv(out)
+    df.write.mode("errorifexists").options(**CSV_OPTIONS).csv(out)
+
+
+def append_csv(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A stream's final rows as CSV with a header and times to the microsecond; read back with ``readers.csv_rows``."""
+    writer = stream.writeStream.outputMode("append").format("csv").options(**CSV_OPTIONS).option("path", out)
+    return trigger(writer.option("checkpointLocation", checkpoint), every).start()
 
 
 def save_results(df: DataFrame, out: str, run: str) -> None:

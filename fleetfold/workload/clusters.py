@@ -31,7 +31,7 @@ def two_level_speed_avg(spark, sf_dir):
     return cluster.two_level_average(_mapped(spark, sf_dir, keep=["ts"]), [window], digits=4)
 
 
-def _outputs(spark, sf_dir):
+def outputs(spark, sf_dir):
     """What each vehicle's mapper emits: the colour as key, speed and node as text."""
     return t.status(spark, sf_dir).selectExpr(
         "node AS relay", "ts", "event_id", "color AS key", f"concat_ws(',', {MPH_UNITS}, node) AS value")
@@ -44,14 +44,17 @@ _OUTPUTS = """outputs AS (SELECT node AS relay, ts, event_id, octet_length(encod
 @query("relay_bytes", check("""SELECT relay, COUNT(*) AS messages, CAST(SUM(bytes) AS BIGINT) AS bytes
     FROM outputs GROUP BY relay""", more=_OUTPUTS))
 def relay_bytes(spark, sf_dir):
-    return cluster.relay_bytes(_outputs(spark, sf_dir))
+    return cluster.relay_bytes(outputs(spark, sf_dir))
 
 
-@query("running_bytes", check("""SELECT relay, ts, CAST(bytes AS BIGINT) AS bytes,
+RUNNING_BYTES = check("""SELECT relay, ts, CAST(bytes AS BIGINT) AS bytes,
     CAST(SUM(bytes) OVER (PARTITION BY relay ORDER BY ts, event_id) AS BIGINT) AS total_bytes
-    FROM outputs""", more=_OUTPUTS))
+    FROM outputs""", more=_OUTPUTS)
+
+
+@query("running_bytes", RUNNING_BYTES)
 def running_bytes(spark, sf_dir):
-    return cluster.running_bytes(_outputs(spark, sf_dir), "relay", "ts", ["event_id"]).select(
+    return cluster.running_bytes(outputs(spark, sf_dir), "relay", "ts", ["event_id"]).select(
         "relay", "ts", "bytes", "total_bytes")
 
 

@@ -12,10 +12,11 @@ from fleetfold.operators import messages as M
 from fleetfold.operators.messages import concat_sources
 from fleetfold.plans.spec import MapReduceQuery, run_mixed
 from fleetfold.session import scratch_path
-from fleetfold.sources.readers import file_stream
+from fleetfold.sources.readers import csv_rows, file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
 from fleetfold.streaming.in_order import release_in_order, set_changes_in_order
+from fleetfold.workload import clusters
 from fleetfold.workload import tables as t
 from fleetfold.workload.epochs import LANE_WINDOWS, LANES, MIXED, MIXED_CHECK, TAGGED, TAGGED_CHECK
 from fleetfold.workload.registry import query, stock
@@ -288,3 +289,13 @@ def stream_query_set_changes(spark, sf_dir):
     arriving = _arriving(spark, sets, "day", "snapshots", {"node": -1, "day": LAST})
     sinks.append_rows(set_changes_in_order(arriving, ["node", "color"], "day", "1 day", DELAY), out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("stream_running_bytes", clusters.RUNNING_BYTES)
+def stream_running_bytes(spark, sf_dir):
+    out, checkpoint = _places(spark, "bytes")
+    sent = _arriving(spark, clusters.outputs(spark, sf_dir), "ts", "outputs", {"relay": -1, "ts": LAST})
+    log = cluster.stream_running_bytes(sent, "relay", "ts", ["event_id"], bucket="6 hours", delay=DELAY)
+    columns = ["relay", "ts", "bytes", "total_bytes"]
+    sinks.append_csv(log.select(*columns), out, checkpoint).awaitTermination()
+    return csv_rows(spark, out, log.select(*columns).schema)

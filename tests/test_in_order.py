@@ -11,7 +11,7 @@ from fleetfold.operators import cluster, messages, reduce, scans
 from fleetfold.sources import readers
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
-from fleetfold.streaming.in_order import as_of_in_order, release_in_order, set_changes_in_order
+from fleetfold.streaming.in_order import as_of_in_order, release_in_order, running_total_in_order, set_changes_in_order
 
 START = datetime(2024, 1, 1)
 
@@ -189,3 +189,27 @@ def test_changes_of_a_streamed_set(spark, folder, files):
     got = {(r.query, (r.at - START).total_seconds() / 3600, r.change) for r in spark.read.parquet(folder("out")).collect()}
     assert got == {("a", 0, "started"), ("a", 3, "stopped"), ("a", 5, "started"), ("a", 7, "stopped"), ("b", 0, "started"), ("b", 1, "stopped"),
                    ("c", 3, "started"), ("c", 7, "stopped"), (None, 1, "started"), (None, 2, "stopped")}
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_running_totals_carry_over_batches(spark, folder, files):
+    rows = [(k, at(s), i, n) for i, (k, s, n) in enumerate([
+        ("hot", 5, 1), ("hot", 3, 10), ("cold", 30, 7), ("hot", 700, 100), ("hot", 699, None), (None, 800, 3), ("hot", 600, 1000),
+        ("hot", 4000, 5), ("cold", 4000, 1), ("hot", 4000, 6), (None, 9000, 4), ("hot", 8000, 2), ("cold", 9100, 9), ("hot", 599, 20)])]
+    schema = "relay string, ts timestamp_ntz, id long, bytes long"
+    stream = staged(spark, folder("in"), rows + [("hot", None, 99, 50), ("hot", at(FAR), 100, 1)], schema, files)
+    totals = running_total_in_order(stream, ["relay"], "ts", "bytes", "total", ["id"], bucket="10 minutes", delay="3 hours")
+    sinks.append_csv(totals, folder("out"), folder("check")).awaitTermination()
+    got = readers.csv_rows(spark, folder("out"), schema + ", total long")
+    batch = scans.running_total(spark.createDataFrame(rows, schema), ["relay"], "ts", F.coalesce("bytes", F.lit(0)), "total", ["id"])
+    want = [tuple(r) for r in batch.orderBy("id").collect()]
+    assert len(want) == 14 and [tuple(r) for r in got.orderBy("id").collect()] == want
+
+
+def test_running_totals_leave_out_late_rows_alike(spark, folder):
+    rows = [("a", at(10), 1, 1), ("a", at(20_000), 2, 2), ("a", at(30_000), 3, 4), ("a", at(15), 4, 8), ("a", at(30_001), 5, 16), ("a", at(FAR), 6, 0)]
+    stream = staged(spark, folder("in"), rows, "relay string, ts timestamp, id long, bytes long", 6)
+    totals = running_total_in_order(stream, ["relay"], "ts", "bytes", "total", ["id"], bucket="10 minutes", delay="1 minute")
+    sinks.append_rows(totals, folder("out"), folder("check")).awaitTermination()
+    got = {r.id: r.total for r in spark.read.parquet(folder("out")).collect()}
+    assert got == {1: 1, 2: 3, 3: 7, 5: 23}
