@@ -71,7 +71,7 @@ def _parsed(spark, sf_dir):
 @query("parse_message_log", check("""SELECT kind, COUNT(*) AS lines, CAST(SUM(ids) AS BIGINT) AS ids FROM (
     SELECT 'send' AS kind, 1 AS ids FROM ids UNION ALL SELECT 'receive', 1 FROM ids WHERE mph <= 150
     UNION ALL SELECT 'queue', 1 FROM ids WHERE mph BETWEEN 2 AND 150
-    UNION ALL SELECT 'commit', 2 FROM ids UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 100
+    UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 180 UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 100
     UNION ALL SELECT 'abort', 1 FROM ids WHERE color = 'white' UNION ALL SELECT 'abort', 0 FROM ids WHERE mph > 300
     UNION ALL SELECT 'error', 0 FROM ids WHERE color = 'red' UNION ALL SELECT 'start', 0 FROM ids WHERE color = 'green'
     UNION ALL SELECT NULL, 0 FROM ids) GROUP BY kind""", "ids"))
@@ -85,7 +85,7 @@ def unreceived_messages(spark, sf_dir):
     return audit.unreceived(audit.message_flags(_parsed(spark, sf_dir)))
 
 
-@query("lost_but_committed", check("SELECT lead AS uuid FROM ids WHERE mph > 150", "ids"))
+@query("lost_but_committed", check("SELECT lead AS uuid FROM ids WHERE mph > 150 AND mph <= 180", "ids"))
 def lost_but_committed(spark, sf_dir):
     return audit.lost_but_committed(audit.message_flags(_parsed(spark, sf_dir)))
 
@@ -96,12 +96,12 @@ def unqueued_messages(spark, sf_dir):
 
 
 @query("commit_pair_audit", check("""SELECT COUNT(*) AS pairs, MIN(c) AS fewest, MAX(c) AS most,
-    COUNT(*) FILTER (c <> 2) AS odd_pairs FROM (SELECT CASE WHEN mph <= 100 THEN 2::BIGINT ELSE 1 END AS c FROM ids)""", "ids"))
+    COUNT(*) FILTER (c <> 2) AS odd_pairs FROM (SELECT CASE WHEN mph <= 100 THEN 2::BIGINT ELSE 1 END AS c FROM ids WHERE mph <= 180)""", "ids"))
 def commit_pair_audit(spark, sf_dir):
     return audit.commit_pair_audit(_parsed(spark, sf_dir))
 
 
-@query("odd_commit_pairs", check("SELECT lead, follow, 1::BIGINT AS commits FROM ids WHERE mph > 100", "ids"))
+@query("odd_commit_pairs", check("SELECT lead, follow, 1::BIGINT AS commits FROM ids WHERE mph > 100 AND mph <= 180", "ids"))
 def odd_commit_pairs(spark, sf_dir):
     return audit.odd_commit_pairs(_parsed(spark, sf_dir))
 
