@@ -55,6 +55,37 @@ def test_restarted_stream_goes_on_where_it_stopped(spark, folder):
     assert [(r["total"], r["n"]) for r in got] == [(2.0, 2)]
 
 
+def test_merged_results_are_read_once(spark, folder):
+    keys = ["window_start", "window_end", "key"]
+    schema = spark.createDataFrame([], ROWS).schema
+    merged = []
+    for day in range(3):
+        files = [[(START + timedelta(days=day, hours=h), "red" if h % 3 else "blue", 1.0 + h)] for h in range(3)]
+        write_batches(spark, folder("in"), files)
+        stream = readers.file_stream(spark, folder("in"), schema, files_per_trigger=1)
+        result = running.windowed(BY_COLOR, stream, "2 days", delay="30 days")
+        sinks.upsert_results(result, folder("out"), folder("check")).awaitTermination()
+        merged.append(sinks.merge_results(spark, folder("out"), keys, folder("merged")))
+        assert sinks.merge_results(spark, folder("out"), keys, folder("merged")) == merged[-1]
+        got = sinks.latest_results(spark, folder("out"), keys, folder("merged"))
+        want = BY_COLOR.run_windowed(spark.read.parquet(folder("in")), "2 days").select(*got.columns)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+    assert merged[0] < merged[1] < merged[2]
+    read = {f.rsplit("/", 2)[-2] for f in got.inputFiles()}
+    versions = sinks._versions(spark, folder("out"), folder("merged")).where(F.col("batch") <= merged[-1])
+    assert f"to={merged[-1]}" in read and versions.exceptAll(versions.where(F.col("batch") == merged[-1])).count() == 0
+
+
+def test_stream_without_input_leaves_an_empty_table(spark, folder):
+    spark.createDataFrame([], ROWS).write.parquet(folder("in"))
+    stream = readers.file_stream(spark, folder("in"), spark.createDataFrame([], ROWS).schema)
+    sinks.upsert_results(running.windowed(BY_COLOR, stream, "1 day", delay="1 day"), folder("out"), folder("check")).awaitTermination()
+    keys = ["window_start", "window_end", "key"]
+    assert sinks.merge_results(spark, folder("out"), keys, folder("merged")) is None
+    got = sinks.latest_results(spark, folder("out"), keys, folder("merged"))
+    assert got.count() == 0 and "mean" in got.columns
+
+
 def test_relay_and_fan_out(spark, folder):
     write_batches(spark, folder("in"), [[(START, "red", 1.0)], [(START, "blue", None)]])
     schema = spark.createDataFrame([], ROWS).schema
