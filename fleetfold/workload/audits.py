@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetfold.operators import audit
+from fleetfold.session import scratch_path
+from fleetfold.sources.readers import message_log
+from fleetfold.streaming.sinks import save_results
 from fleetfold.workload import tables as t
 from fleetfold.workload.registry import query
 from fleetfold.workload.tables import check
@@ -68,16 +71,40 @@ def _parsed(spark, sf_dir):
     return audit.parse_messages(t.message_lines(spark, sf_dir))
 
 
-@query("parse_message_log", check("""SELECT kind, COUNT(*) AS lines, CAST(SUM(ids) AS BIGINT) AS ids FROM (
+_LINE_KINDS = check("""SELECT kind, COUNT(*) AS lines, CAST(SUM(ids) AS BIGINT) AS ids FROM (
     SELECT 'send' AS kind, 1 AS ids FROM ids UNION ALL SELECT 'receive', 1 FROM ids WHERE mph <= 150
     UNION ALL SELECT 'queue', 1 FROM ids WHERE mph BETWEEN 2 AND 150
     UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 180 UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 100
     UNION ALL SELECT 'abort', 1 FROM ids WHERE color = 'white' UNION ALL SELECT 'abort', 0 FROM ids WHERE mph > 300
     UNION ALL SELECT 'error', 0 FROM ids WHERE color = 'red' UNION ALL SELECT 'start', 0 FROM ids WHERE color = 'green'
-    UNION ALL SELECT NULL, 0 FROM ids) GROUP BY kind""", "ids"))
+    UNION ALL SELECT NULL, 0 FROM ids) GROUP BY kind""", "ids")
+
+
+def _line_kinds(parsed):
+    return parsed.groupBy("kind").agg(F.count("*").alias("lines"), F.sum(F.size("uuids")).alias("ids"))
+
+
+@query("parse_message_log", _LINE_KINDS)
 def parse_message_log(spark, sf_dir):
-    return _parsed(spark, sf_dir).groupBy("kind").agg(
-        F.count("*").alias("lines"), F.sum(F.size("uuids")).alias("ids"))
+    return _line_kinds(_parsed(spark, sf_dir))
+
+
+@query("message_log_files", _LINE_KINDS)
+def message_log_files(spark, sf_dir):
+    path = scratch_path(spark, "messages")
+    t.message_lines(spark, sf_dir).write.text(path)
+    return _line_kinds(audit.parse_messages(message_log(spark, path)))
+
+
+@query("saved_results", check(f"""SELECT {_PATH} AS path, epoch, value,
+    CASE kind WHEN 'CLUSTERHEAD' THEN 'heads' ELSE 'nodes' END AS run FROM log""", "log"))
+def saved_results(spark, sf_dir):
+    out, values = scratch_path(spark, "results"), _values(spark, sf_dir).select("path", "epoch", "value")
+    heads = F.col("path").contains("CLUSTERHEAD")
+    # The first results of the heads are of another run of theirs, which the second replaces.
+    for run, rows in (("heads", values), ("nodes", values.where(~heads)), ("heads", values.where(heads))):
+        save_results(rows, out, run)
+    return spark.read.schema("path string, epoch string, value double, run string").json(out)
 
 
 @query("unreceived_messages", check("SELECT lead AS uuid FROM ids WHERE mph > 150", "ids"))
