@@ -67,14 +67,15 @@ def convergence_summary(spark, sf_dir):
     return summary.select("epochs", *[F.round(c, 6).alias(c) for c in ("median", "mean", "variance")])
 
 
-def _parsed(spark, sf_dir):
-    return audit.parse_messages(t.message_lines(spark, sf_dir))
+def _parsed(spark, sf_dir, commits="true"):
+    return audit.parse_messages(t.message_lines(spark, sf_dir, commits))
 
 
-_LINE_KINDS = check("""SELECT kind, COUNT(*) AS lines, CAST(SUM(ids) AS BIGINT) AS ids FROM (
+def _line_kinds_check(commits):
+    return check(f"""SELECT kind, COUNT(*) AS lines, CAST(SUM(ids) AS BIGINT) AS ids FROM (
     SELECT 'send' AS kind, 1 AS ids FROM ids UNION ALL SELECT 'receive', 1 FROM ids WHERE mph <= 150
     UNION ALL SELECT 'queue', 1 FROM ids WHERE mph BETWEEN 2 AND 150
-    UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 180 UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 100
+    UNION ALL SELECT 'commit', 2 FROM ids{commits} UNION ALL SELECT 'commit', 2 FROM ids WHERE mph <= 100
     UNION ALL SELECT 'abort', 1 FROM ids WHERE color = 'white' UNION ALL SELECT 'abort', 0 FROM ids WHERE mph > 300
     UNION ALL SELECT 'error', 0 FROM ids WHERE color = 'red' UNION ALL SELECT 'start', 0 FROM ids WHERE color = 'green'
     UNION ALL SELECT NULL, 0 FROM ids) GROUP BY kind""", "ids")
@@ -84,15 +85,15 @@ def _line_kinds(parsed):
     return parsed.groupBy("kind").agg(F.count("*").alias("lines"), F.sum(F.size("uuids")).alias("ids"))
 
 
-@query("parse_message_log", _LINE_KINDS)
+@query("parse_message_log", _line_kinds_check(""))
 def parse_message_log(spark, sf_dir):
     return _line_kinds(_parsed(spark, sf_dir))
 
 
-@query("message_log_files", _LINE_KINDS)
+@query("message_log_files", _line_kinds_check(" WHERE mph <= 180"))
 def message_log_files(spark, sf_dir):
     path = scratch_path(spark, "messages")
-    t.message_lines(spark, sf_dir).write.text(path)
+    t.message_lines(spark, sf_dir, t.SLOW_COMMITS).write.text(path)
     return _line_kinds(audit.parse_messages(message_log(spark, path)))
 
 
@@ -114,7 +115,7 @@ def unreceived_messages(spark, sf_dir):
 
 @query("lost_but_committed", check("SELECT lead AS uuid FROM ids WHERE mph > 150 AND mph <= 180", "ids"))
 def lost_but_committed(spark, sf_dir):
-    return audit.lost_but_committed(audit.message_flags(_parsed(spark, sf_dir)))
+    return audit.lost_but_committed(audit.message_flags(_parsed(spark, sf_dir, t.SLOW_COMMITS)))
 
 
 @query("unqueued_messages", check("SELECT lead AS uuid FROM ids WHERE mph < 2", "ids"))
@@ -125,12 +126,12 @@ def unqueued_messages(spark, sf_dir):
 @query("commit_pair_audit", check("""SELECT COUNT(*) AS pairs, MIN(c) AS fewest, MAX(c) AS most,
     COUNT(*) FILTER (c <> 2) AS odd_pairs FROM (SELECT CASE WHEN mph <= 100 THEN 2::BIGINT ELSE 1 END AS c FROM ids WHERE mph <= 180)""", "ids"))
 def commit_pair_audit(spark, sf_dir):
-    return audit.commit_pair_audit(_parsed(spark, sf_dir))
+    return audit.commit_pair_audit(_parsed(spark, sf_dir, t.SLOW_COMMITS))
 
 
 @query("odd_commit_pairs", check("SELECT lead, follow, 1::BIGINT AS commits FROM ids WHERE mph > 100 AND mph <= 180", "ids"))
 def odd_commit_pairs(spark, sf_dir):
-    return audit.odd_commit_pairs(_parsed(spark, sf_dir))
+    return audit.odd_commit_pairs(_parsed(spark, sf_dir, t.SLOW_COMMITS))
 
 
 @query("rounds_per_epoch", check("""SELECT concat(':', strftime(ts, '%S'), 'Z') AS epoch, COUNT(*) AS rounds

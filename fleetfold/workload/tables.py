@@ -144,15 +144,19 @@ LEAD = uuid_of("CAST(event_id AS STRING)")
 FOLLOW = uuid_of("concat('f', event_id)")
 
 
-def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines of every event: fast messages get lost and the fastest never commit, slow ones are not queued, pairs commit twice."""
+#: Messages that commit where the fastest never do.
+SLOW_COMMITS = "mph <= 180"
+
+
+def message_lines(spark: SparkSession, sf_dir: str, commits: str = "true") -> DataFrame:
+    """Log lines of every event: fast messages get lost, slow ones are not queued, pairs commit twice. ``commits`` says which commit at all."""
     return status(spark, sf_dir).selectExpr(
         "mph", "color", "ts", f"{LEAD} AS lead", f"{FOLLOW} AS follow",
-    ).selectExpr("""explode(array_compact(array(
+    ).selectExpr(f"""explode(array_compact(array(
         concat('DEBUG OutSocketManager trying to send ', lead),
         CASE WHEN mph <= 150 THEN concat('DEBUG NetworkLayer message 1 from: 2 got ', lead) END,
         CASE WHEN mph BETWEEN 2 AND 150 THEN concat('DEBUG from 2 queueing ', lead) END,
-        CASE WHEN mph <= 180 THEN concat('DEBUG Consensus commit ', lead, ' ', follow) END,
+        CASE WHEN {commits} THEN concat('DEBUG Consensus commit ', lead, ' ', follow) END,
         CASE WHEN mph <= 100 THEN concat('DEBUG Consensus commit ', lead, ' ', follow) END,
         CASE WHEN color = 'white' THEN concat('DEBUG Consensus abort ', lead) END,
         CASE WHEN mph > 300 THEN 'DEBUG Consensus abort null' END,

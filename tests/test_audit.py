@@ -6,6 +6,8 @@ import pytest
 
 from fleetfold.operators import audit
 from fleetfold.sources.readers import message_log, node_logs
+from fleetfold.workload import queries
+from fleetfold.workload import tables as t
 
 A, B, C, D = (f"{c * 8}-{c * 4}-{c * 4}-{c * 4}-{c * 12}" for c in "abcd")
 LOG = [
@@ -127,3 +129,9 @@ def test_convergence_summary(spark):
     assert row["variance"] == pytest.approx(pvariance(want))
     none = audit.convergence_summary(stats.where("participation < 100")).first()
     assert none["epochs"] == 0 and none["mean"] is None
+
+
+def test_every_message_of_the_log_commits(spark, sf_dir):
+    kinds = {r["kind"]: r["lines"] for r in queries()["parse_message_log"](spark, sf_dir).collect()}
+    slow = t.status(spark, sf_dir).where("mph <= 100").count()
+    assert kinds["commit"] == kinds["send"] + slow
