@@ -135,3 +135,8 @@ def test_every_message_of_the_log_commits(spark, sf_dir):
     kinds = {r["kind"]: r["lines"] for r in queries()["parse_message_log"](spark, sf_dir).collect()}
     slow = t.status(spark, sf_dir).where("mph <= 100").count()
     assert kinds["commit"] == kinds["send"] + slow
+
+
+def test_commit_pairs_of_all_messages(spark, sf_dir):
+    row = queries()["commit_pair_audit"](spark, sf_dir).first()
+    assert row["pairs"] == t.status(spark, sf_dir).count()
