@@ -140,3 +140,9 @@ def test_every_message_of_the_log_commits(spark, sf_dir):
 def test_commit_pairs_of_all_messages(spark, sf_dir):
     row = queries()["commit_pair_audit"](spark, sf_dir).first()
     assert row["pairs"] == t.status(spark, sf_dir).count()
+
+
+def test_odd_commit_pairs_of_the_fastest(spark, sf_dir):
+    fast = t.status(spark, sf_dir).where("mph > 100").count()
+    assert queries()["odd_commit_pairs"](spark, sf_dir).count() == fast
+    assert t.status(spark, sf_dir).where("mph > 180").count() > 0
