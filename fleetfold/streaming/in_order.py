@@ -1,15 +1,17 @@
 """Stateful operators that play a stream's rows in event-time order, whatever batches they arrive in.
 
-A row is held in state until the watermark has passed its time; then an event-time timer plays all rows
-that are due, in order. The outcome depends only on the rows and the watermark's delay, not on how
+A streaming aggregation holds a row until the watermark has passed its time; then the rows that are due go to their
+shard, a hash of their key, where one call of Python plays them in order and keeps what outlasts them. So Python sees a row once
+and is called per shard and batch, not per key. The outcome depends only on the rows and the watermark's delay, not on how
 files fall into batches or rows into files. A row later than the delay allows is left out.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime, timedelta, timezone
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SLOTS = 16
+SHARDS = 1024
 RELEASED = "node bigint, slot int, item bigint, epoch bigint, released timestamp"
 _START = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -44,7 +47,7 @@ def release_in_order(messages: DataFrame, control: DataFrame, delay: str = "1 mi
     everywhere = told.select("node", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "at",
                              F.unix_micros("at").alias("us"), F.lit(0).alias("rank"),
                              F.coalesce("epoch", F.lit(0).cast("bigint")).alias("epoch"), F.lit(0).cast("bigint").alias("item"), "kind")
-    return spread.union(everywhere).groupBy("node", "slot").transformWithState(
+    return _due(spread.union(everywhere), "node", "slot").transformWithState(
         statefulProcessor=EpochGate(kept_for), outputStructType=RELEASED, outputMode="append", timeMode="EventTime",
         eventTimeColumnName="released")
 
@@ -66,12 +69,12 @@ def as_of_in_order(left: DataFrame, right: DataFrame, key: str, left_time: str,
     packed = F.struct(*[_portable(f).alias(f.name) for f in left.schema])
     shape = facts.select(packed.alias("fact")).schema["fact"].dataType
     body = F.to_json(packed)
-    rows = facts.select(F.col(key).alias("key"), F.pmod(F.xxhash64(body), F.lit(slots)).cast("int").alias("slot"),
+    rows = facts.select(_id(F.col(key), F.pmod(F.xxhash64(body), F.lit(slots)).cast("int")).alias("id"),
                         F.col(left_time).alias("at"), F.unix_micros(left_time).alias("us"), F.lit(1).alias("rank"), body.alias("body"))
-    changes = news.select(F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
-                          F.col(right_time).alias("at"), F.unix_micros(right_time).alias("us"), F.lit(0).alias("rank"),
+    news = news.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    changes = news.select(_id(F.col(key).cast(left.schema[key].dataType), F.col("_slot")).alias("id"), F.col(right_time).alias("at"), F.unix_micros(right_time).alias("us"), F.lit(0).alias("rank"),
                           F.to_json(F.struct(F.col(value).alias("value"))).alias("body"))
-    held = rows.union(changes).groupBy("key", "slot").transformWithState(
+    held = _due(rows.union(changes), "id").transformWithState(
         statefulProcessor=LatestValue(), outputStructType="_at timestamp, fact string, value string", outputMode="append",
         timeMode="EventTime", eventTimeColumnName="_at")
     held = held.select("_at", F.from_json("fact", shape).alias("fact"),
@@ -88,11 +91,11 @@ def set_changes_in_order(snapshots: DataFrame, keys: Sequence[str], time: str, e
     does not; it may start again. State is a time per entry that is in the set. Rows without a time are left out.
     """
     rows = snapshots.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay)
-    rows = rows.select(*keys, "at", F.unix_micros("at").alias("us"), F.lit(1).alias("rank"))
+    rows = rows.select(_id(*keys).alias("id"), *keys, "at", F.unix_micros("at").alias("us"))
     out = T.StructType([*[T.StructField(k, snapshots.schema[k].dataType) for k in keys],
                         T.StructField("at", T.TimestampType()), T.StructField("change", T.StringType())])
-    return rows.groupBy(*keys).transformWithState(
-        statefulProcessor=Presence(list(keys), _micros(every)), outputStructType=out, outputMode="append", timeMode="EventTime")
+    return _due(rows, "id").transformWithState(
+        statefulProcessor=Presence(out.fields[:len(keys)], _micros(every)), outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
 def running_total_in_order(rows: DataFrame, keys: Sequence[str], time: str, value: Column | str, name: str, ties: Sequence[str] = (),
@@ -109,27 +112,55 @@ def running_total_in_order(rows: DataFrame, keys: Sequence[str], time: str, valu
     us = F.unix_micros(F.col(time).cast("timestamp"))
     amount = (F.col(value) if isinstance(value, str) else value).cast("bigint")
     packed = F.struct(*[_portable(f).alias(f.name) for f in rows.schema])
+    order = F.struct(us.alias("us"), *[F.col(t).alias(f"tie{i}") for i, t in enumerate(ties)], F.to_json(packed).alias("body"),
+                     F.coalesce(amount, F.lit(0).cast("bigint")).alias("amount"))
     parts = rows.where(F.col(time).isNotNull()).select(
-        *keys, F.timestamp_micros(us - F.pmod(us, F.lit(width)) + width).alias("_end"), us.alias("_us"),
-        F.coalesce(amount, F.lit(0).cast("bigint")).alias("_amount"), F.to_json(packed).alias("_body"))
+        *keys, F.timestamp_micros(us - F.pmod(us, F.lit(width)) + width).alias("_end"), order.alias("_row"))
     # Buckets close as wholes, so the watermark follows their ends and waits a bucket longer.
     parts = parts.withWatermark("_end", f"{_micros(delay) + width} microseconds")
-    sums = parts.groupBy(*keys, "_end").agg(F.sum("_amount").alias("_amount")).select(
-        *keys, "_end", F.unix_micros("_end").alias("_us"), "_amount")
+    sums = parts.groupBy(*keys, "_end").agg(F.sum("_row.amount").alias("_amount")).select(
+        _id(*keys).alias("id"), *keys, "_end", F.unix_micros("_end").alias("_us"), "_amount")
     key_fields = [T.StructField(k, rows.schema[k].dataType) for k in keys]
-    before = T.StructType([*key_fields, T.StructField("_end", T.TimestampType()), T.StructField("_amount", T.LongType())])
-    carried = sums.groupBy(*keys).transformWithState(
+    before = T.StructType([*key_fields, T.StructField("_end", T.TimestampType()), T.StructField("_before", T.LongType())])
+    carried = sums.withColumn("shard", _shard("id")).groupBy("shard").transformWithState(
         statefulProcessor=BucketsBefore(list(keys)), outputStructType=before, outputMode="append", timeMode="EventTime",
         eventTimeColumnName="_end")
-    carried = carried.select(*keys, "_end", F.lit(None).cast("bigint").alias("_us"), "_amount", F.lit(None).cast("string").alias("_body"))
-    totals = parts.union(carried).groupBy(*keys, "_end").transformWithState(
-        statefulProcessor=TotalsInBucket(list(ties)), outputStructType="body string, total bigint", outputMode="append",
-        timeMode="EventTime")
+    carried = carried.select(*keys, "_end", F.lit(None).cast(parts.schema["_row"].dataType).alias("_row"), "_before")
+    both = parts.withColumn("_before", F.lit(None).cast("bigint")).union(carried)
+    closed = both.groupBy(*keys, "_end").agg(F.sort_array(F.collect_list("_row")).alias("_rows"), F.max("_before").alias("_before"))
+    totals = closed.select("_rows.body", _running_sums()("_rows.amount", "_before").alias("total"))
+    totals = totals.select(F.inline(F.arrays_zip("body", "total")))
     shape = rows.select(packed.alias("row")).schema["row"].dataType
     restored = totals.select(F.from_json("body", shape).alias("fact"), "total")
     return restored.select(*[_restored(f).alias(f.name) for f in rows.schema], F.col("total").alias(name))
 
 
+def _due(rows: DataFrame, *spread: str):
+    """Rows that the watermark on ``at`` has passed, by the shard of their ``spread`` columns; equal rows are one with their number ``n``."""
+    held = rows.withColumn("shard", _shard(*spread))
+    return held.groupBy(*held.columns).agg(F.count(F.lit(1)).alias("n")).groupBy("shard")
+
+
+def _shard(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SHARDS)).cast("int")
+
+
+def _id(*columns: Column | str) -> Column:
+    """Values of any types as text, by which Python tells keys apart."""
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(named)]))
+
+
+def _running_sums():
+    import pandas as pd
+
+    def sums(amounts, before):
+        return pd.Series([list(accumulate((int(x) for x in each), initial=int(start)))[1:] for each, start in zip(amounts, before)])
+
+    sums.__annotations__ = {"amounts": pd.Series, "before": pd.Series, "return": pd.Series}
+    return F.pandas_udf(sums, "array<bigint>")
+
+
 def _portable(field: T.StructField) -> Column:
     """Times as whole microseconds, which Python holds without a time zone."""
     column = F.col(field.name)
@@ -154,43 +185,25 @@ def _moment(us: int) -> datetime:
 
 
 class InOrder(StatefulProcessor):
-    """Holds rows (at, us, rank, ...) until the watermark has passed them; ``play`` gets those due, in order."""
+    """Gets the rows of a shard that are due, each batch's later than all before; its state is one value, made of lists."""
 
-    pending_type: str
+    state_type: T.StructType | str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._pending = handle.getListState("pending", self.pending_type)
+        self._state = handle.getValueState("state", self.state_type)
 
-    def held(self, row: Row) -> tuple:
-        """A row as it is kept in state, first its time and rank."""
-        raise NotImplementedError
-
-    def play(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
+    def play(self, rows: Iterable[Row], until: int) -> Iterator[Row]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [self.held(r) for r in rows]
-        if new:
-            self._pending.appendList(new)
-            self._wake(min(r[0] for r in new))
-        return iter([])
+        return self.play(rows, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        for r in self._pending.get() if self._pending.exists() else ():
-            (due if r[0] <= until else later).append(tuple(r))
-        due.sort(key=self.order)
-        if later:
-            self._pending.put(later)
-            self._wake(min(r[0] for r in later))
-        else:
-            self._pending.clear()
-        return self.play(key, due, until)
+        return self.play((), timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def order(self, row: tuple):
-        return row[:2]
+    def known(self) -> tuple | None:
+        return tuple(self._state.get()) if self._state.exists() else None
 
     def _wake(self, us: int) -> None:
         """Calls back once the watermark has passed the millisecond of a time."""
@@ -203,48 +216,50 @@ class InOrder(StatefulProcessor):
 class EpochGate(InOrder):
     """State per (node, slot): whether it holds, its epoch, and the messages kept, by epoch."""
 
-    pending_type = "us bigint, rank int, kind string, epoch bigint, item bigint"
+    state_type = """nodes array<bigint>, slots array<int>, holding array<boolean>, epochs array<bigint>, gates array<int>,
+        kept array<bigint>, items array<bigint>, times array<bigint>"""
 
     def __init__(self, kept_for: int | None) -> None:
         self._kept_for = kept_for
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self._mode = handle.getValueState("mode", "holding boolean, epoch bigint")
-        self._kept = handle.getMapState("kept", "epoch bigint", "items array<bigint>, times array<bigint>")
-
-    def held(self, row: Row) -> tuple:
-        return row.us, row.rank, row.kind, row.epoch, row.item
-
-    def play(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
-        node, slot = key
-        holding, epoch = self._mode.get() if self._mode.exists() else (True, None)
-        kept = {k[0]: list(zip(v[0], v[1])) for k, v in self._kept.iterator()} if self._kept.exists() else {}
-        before = {k: len(v) for k, v in kept.items()}
+    def play(self, rows: Iterable[Row], until: int) -> Iterator[Row]:
+        gates = self._read()
         out = []
-        for us, _, kind, of, item in rows:
-            self._drop_old(kept, us)
-            if kind == "hold":
-                holding = True
-            elif kind == "set":
-                holding, epoch = False, of
-                out += [(i, of, us) for i, _ in kept.pop(of, [])]
-                kept = {k: v for k, v in kept.items() if k > of}
-            elif holding or of > epoch:
-                kept.setdefault(of, []).append((item, us))
-            elif of == epoch:
-                out.append((item, of, us))
-        self._drop_old(kept, until)
-        if rows:
-            self._mode.update((holding, epoch))
-        for k in before.keys() - kept.keys():
-            self._kept.removeKey((k,))
-        for k, v in kept.items():
-            if rows or len(v) != before.get(k):
-                self._kept.updateValue((k,), ([i for i, _ in v], [t for _, t in v]))
-        if self._kept_for is not None and kept:
-            self._wake(min(v[0][1] for v in kept.values()) + self._kept_for)
-        return iter([Row(node=node, slot=slot, item=i, epoch=of, released=_moment(us)) for i, of, us in out])
+        for r in sorted(rows, key=lambda r: (r.us, r.rank, r.kind, r.epoch)):
+            gate = gates.setdefault((r.node, r.slot), [True, None, {}])
+            holding, epoch, kept = gate
+            self._drop_old(kept, r.us)
+            if r.kind == "hold":
+                gate[0] = True
+            elif r.kind == "set":
+                out += [(r.node, r.slot, i, r.epoch, r.us) for i, _ in kept.pop(r.epoch, [])]
+                gate[:] = False, r.epoch, {k: v for k, v in kept.items() if k > r.epoch}
+            elif holding or r.epoch > epoch:
+                kept.setdefault(r.epoch, []).extend([(r.item, r.us)] * r.n)
+            elif r.epoch == epoch:
+                out += [(r.node, r.slot, r.item, r.epoch, r.us)] * r.n
+        for _, _, kept in gates.values():
+            self._drop_old(kept, until)
+        self._write(gates)
+        return iter([Row(node=node, slot=slot, item=i, epoch=of, released=_moment(us)) for node, slot, i, of, us in out])
+
+    def _read(self) -> dict:
+        known = self.known()
+        if known is None:
+            return {}
+        nodes, slots, holding, epochs, at, kept, items, times = known
+        gates = [[h, e, {}] for h, e in zip(holding, epochs)]
+        for g, of, item, us in zip(at, kept, items, times):
+            gates[g][2].setdefault(of, []).append((item, us))
+        return dict(zip(zip(nodes, slots), gates))
+
+    def _write(self, gates: dict) -> None:
+        held = [(g, of, item, us) for g, gate in enumerate(gates.values()) for of, v in gate[2].items() for item, us in v]
+        self._state.update((
+            [k[0] for k in gates], [k[1] for k in gates], [g[0] for g in gates.values()], [g[1] for g in gates.values()],
+            *[[h[i] for h in held] for i in range(4)]))
+        if self._kept_for is not None and held:
+            self._wake(min(h[3] for h in held) + self._kept_for)
 
     def _drop_old(self, kept: dict, now: int) -> None:
         if self._kept_for is None:
@@ -258,128 +273,77 @@ class EpochGate(InOrder):
 class LatestValue(InOrder):
     """State per (key, slot): the value that holds. Rows and values are JSON, which keeps all types as they are."""
 
-    pending_type = "us bigint, rank int, body string"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self._value = handle.getValueState("value", "value string")
-
-    def held(self, row: Row) -> tuple:
-        return row.us, row.rank, row.body
+    state_type = "ids array<string>, vals array<string>"
 
-    def order(self, row: tuple):
-        if row[1]:
-            return row[0], 1
-        value = json.loads(row[2]).get("value")
-        return (row[0], 0, 0) if value is None else (row[0], 0, 1, value)
+    def order(self, row: Row):
+        if row["rank"]:
+            return row["id"], row["us"], 1
+        value = json.loads(row["body"]).get("value")
+        return (row["id"], row["us"], 0, 0) if value is None else (row["id"], row["us"], 0, 1, value)
 
-    def play(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
-        value = self._value.get()[0] if self._value.exists() else "{}"
+    def play(self, rows: Iterable[Row], until: int) -> Iterator[Row]:
+        values = dict(zip(*(self.known() or ((), ()))))
         out = []
-        for us, rank, body in rows:
-            if rank == 0:
-                value = body
+        for r in sorted(rows, key=self.order):
+            if r["rank"] == 0:
+                values[r["id"]] = r["body"]
             else:
-                out.append(Row(_at=_moment(us), fact=body, value=value))
-        self._value.update((value,))
+                out += [Row(_at=_moment(r["us"]), fact=r["body"], value=values.get(r["id"], "{}"))] * r["n"]
+        if values:
+            self._state.update((list(values), list(values.values())))
         return iter(out)
 
 
 class Presence(InOrder):
     """State per entry that is in the set: the time of the last snapshot that held it."""
 
-    pending_type = "us bigint, rank int"
-
-    def __init__(self, names: list[str], every: int) -> None:
-        self._names, self._every = names, every
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self._last = handle.getValueState("last", "us bigint")
+    def __init__(self, keys: list[T.StructField], every: int) -> None:
+        self._names, self._every = [f.name for f in keys], every
+        entry = T.StructType([T.StructField("id", T.StringType()), T.StructField("key", T.StructType(keys)), T.StructField("us", T.LongType())])
+        self.state_type = T.StructType([T.StructField("entries", T.ArrayType(entry))])
 
-    def held(self, row: Row) -> tuple:
-        return row.us, row.rank
-
-    def play(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
-        last = self._last.get()[0] if self._last.exists() else None
+    def play(self, rows: Iterable[Row], until: int) -> Iterator[Row]:
+        known = self.known()
+        last = {e[0]: (tuple(e[1]), e[2]) for e in known[0]} if known else {}
         out = []
 
-        def tell(us: int, change: str) -> None:
+        def tell(key: tuple, us: int, change: str) -> None:
             out.append(Row(**dict(zip(self._names, key)), at=_moment(us), change=change))
 
-        for us, _ in rows:
-            if last is not None and us > last + self._every:
-                tell(last + self._every, "stopped")
-                last = None
-            if last is None:
-                tell(us, "started")
-            last = us
-        if last is not None and last + self._every <= until:
-            tell(last + self._every, "stopped")
-            last = None
-        if last is None:
-            self._last.clear()
+        for r in sorted(rows, key=lambda r: r["us"]):
+            key, seen = last.get(r["id"], (tuple(r[k] for k in self._names), None))
+            if seen is not None and r["us"] > seen + self._every:
+                tell(key, seen + self._every, "stopped")
+                seen = None
+            if seen is None:
+                tell(key, r["us"], "started")
+            last[r["id"]] = key, r["us"]
+        for id_, (key, seen) in list(last.items()):
+            if seen + self._every <= until:
+                tell(key, seen + self._every, "stopped")
+                del last[id_]
+        if last:
+            self._state.update(([(id_, key, seen) for id_, (key, seen) in last.items()],))
+            self._wake(min(seen for _, seen in last.values()) + self._every)
         else:
-            self._last.update((last,))
-            self._wake(last + self._every)
+            self._state.clear()
         return iter(out)
 
 
-class BucketsBefore(StatefulProcessor):
+class BucketsBefore(InOrder):
     """State per key: the total of all closed buckets. Buckets close in the order of their ends, so a batch's are later than all before."""
 
+    state_type = "ids array<string>, totals array<bigint>"
+
     def __init__(self, names: list[str]) -> None:
         self._names = names
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._total = handle.getValueState("total", "total bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        total = self._total.get()[0] if self._total.exists() else 0
+    def play(self, rows: Iterable[Row], until: int) -> Iterator[Row]:
+        totals = dict(zip(*(self.known() or ((), ()))))
         out = []
-        for us, amount in sorted((r["_us"], r["_amount"]) for r in rows):
-            out.append(Row(**dict(zip(self._names, key)), _end=_moment(us), _amount=total))
-            total += amount
-        self._total.update((total,))
+        for r in sorted(rows, key=lambda r: r["_us"]):
+            total = totals.get(r["id"], 0)
+            out.append(Row(**{k: r[k] for k in self._names}, _end=_moment(r["_us"]), _before=total))
+            totals[r["id"]] = total + r["_amount"]
+        self._state.update((list(totals), list(totals.values())))
         return iter(out)
-
-    def close(self) -> None:
-        pass
-
-
-class TotalsInBucket(StatefulProcessor):
-    """State per (key, bucket): its rows, until the total of the buckets before it comes."""
-
-    def __init__(self, ties: list[str]) -> None:
-        self._ties = ties
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._rows = handle.getListState("rows", "us bigint, amount bigint, body string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new, before = [], None
-        for r in rows:
-            if r["_body"] is None:
-                before = r["_amount"]
-            else:
-                new.append((r["_us"], r["_amount"], r["_body"]))
-        if before is None:
-            self._rows.appendList(new)
-            return iter([])
-        if self._rows.exists():
-            new += [tuple(r) for r in self._rows.get()]
-            self._rows.clear()
-        return self._play(sorted(new, key=self._order), before)
-
-    def _order(self, row: tuple) -> tuple:
-        told = json.loads(row[2]) if self._ties else {}
-        return row[0], [(1, told[t]) if t in told else (0,) for t in self._ties]
-
-    @staticmethod
-    def _play(rows: list[tuple], total: int) -> Iterator[Row]:
-        for _, amount, body in rows:
-            total += amount
-            yield Row(body=body, total=total)
-
-    def close(self) -> None:
-        pass

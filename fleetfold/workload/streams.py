@@ -11,7 +11,7 @@ from fleetfold.operators import cluster
 from fleetfold.operators import messages as M
 from fleetfold.operators.messages import concat_sources
 from fleetfold.plans.spec import MapReduceQuery, run_mixed
-from fleetfold.session import scratch_path
+from fleetfold.session import cut_lineage, scratch_path
 from fleetfold.sources.readers import csv_rows, file_stream
 from fleetfold.streaming import queries as running
 from fleetfold.streaming import sinks
@@ -101,8 +101,10 @@ def _arriving(spark, df, time, label, closing):
     if span.lo is not None:
         size = F.lit(max(1, -(-(span.hi + 1 - span.lo) // slices)))
         part = F.floor((F.col("_at") - F.lit(span.lo)) / size)
+        # Made once, then copied slice by slice, since files arrive in the order of their writing.
+        dealt = cut_lineage(rows.withColumn("_slice", part), f"{label}-dealt")
         for k in range(slices):
-            rows.where(part == k).drop("_at").write.mode("append").parquet(folder)
+            dealt.where(F.col("_slice") == k).drop("_at", "_slice").write.mode("append").parquet(folder)
     open_type = StructType([StructField(f.name, f.dataType) for f in df.schema])
     last = spark.createDataFrame([tuple(closing.get(c) for c in df.columns)], open_type)
     last.coalesce(1).write.mode("append").parquet(folder)
