@@ -84,6 +84,7 @@ def map_regions(df: DataFrame, regions: DataFrame, lat: str = "lat", lon: str =
     index = _cells(boxes, PLACE, ("ord",))
     if not index.sides:
         return df.withColumn("rid", F.lit(None).cast("string"))
+    index = _leaders(index)
     at = (F.col(lat), F.col(lon))
     named = boxes.select(F.col("ord").alias("_hit"), "rid")
     if df.isStreaming:
@@ -128,7 +129,7 @@ def active_queries(df: DataFrame, specs: DataFrame, lat: str = "lat", lon: str =
     index = _cells(timed, (*PLACE, ("_from", "_to")), ("query_id", "from_ts", "to_ts"))
     if not index.sides:
         return df.withColumn("query_id", F.explode(F.array().cast("array<string>")))
-    found = index.look_up(df, (F.col(lat), F.col(lon), _hours(time)), "inner")
+    found = index.look_up_spread(df, (F.col(lat), F.col(lon), _hours(time)))
     return found.withColumn("_hit", F.explode(F.filter("_boxes", applies))).select(*df.columns, F.col("_hit.query_id").alias("query_id"))
 
 
@@ -151,9 +152,21 @@ class _Index:
 
     def look_up(self, df: DataFrame, at: Sequence[Column], how: str = "left") -> DataFrame:
         """Each row with the lists of boxes in its cell of every level, a row per list, from one join."""
+        return self._keyed(df, at).join(self.table, ["_level", "_cell"], how)
+
+    def look_up_spread(self, df: DataFrame, at: Sequence[Column]) -> DataFrame:
+        """The rows that have lists, a row per list, dealt by list: a cell with many boxes goes to as many tasks as it has lists.
+
+        The lists are short, so adaptive execution would take their few bytes for little work; their number of tasks is fixed.
+        """
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = self.table.groupBy("_level", "_cell").agg(F.collect_list("_part").alias("_parts"))
+        dealt = self._keyed(df, at).join(parts, ["_level", "_cell"]).withColumn("_part", F.explode("_parts")).drop("_parts")
+        return dealt.repartition(tasks, "_level", "_cell", "_part").join(self.table, ["_level", "_cell", "_part"])
+
+    def _keyed(self, df: DataFrame, at: Sequence[Column]) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(k).alias("_level"), self.cell(at, k).alias("_cell")) for k in range(len(self.sides))])
-        keyed = df.withColumn("_key", F.explode(keys)).withColumns({c: F.col(f"_key.{c}") for c in ("_level", "_cell")}).drop("_key")
-        return keyed.join(self.table, ["_level", "_cell"], how)
+        return df.withColumn("_key", F.explode(keys)).withColumns({c: F.col(f"_key.{c}") for c in ("_level", "_cell")}).drop("_key")
 
 
 def _cells(boxes: DataFrame, ranges: Sequence[tuple[str, str]], extra: Sequence[str]) -> _Index:
@@ -188,7 +201,45 @@ def _cells(boxes: DataFrame, ranges: Sequence[tuple[str, str]], extra: Sequence[
         side = F.pow(F.lit(float(CELL_STEP)), F.col(names[k]))
         placed = placed.withColumn(f"_c{k}", F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))))
     placed = placed.select(level.alias("_level"), F.array(*[F.col(f"_c{k}") for k in range(d)]).alias("_cell"), *fields)
-    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("_level", "_cell")) / CELL_BOXES)
-    parted = placed.withColumn("_lists", lists).withColumn("_part", F.pmod(F.xxhash64(extra[0]), F.col("_lists")))
-    table = parted.groupBy("_level", "_cell", "_part").agg(F.collect_list(F.struct(*fields)).alias("_boxes"))
+    table = _listed(placed, list(fields), extra[0])
     return _Index(table, [tuple(float(CELL_STEP) ** p for p in level) for level in levels])
+
+
+def _listed(placed: DataFrame, fields: Sequence[str], spread: str) -> DataFrame:
+    """Boxes of each cell in lists of about ``CELL_BOXES``."""
+    lists = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("_level", "_cell")) / CELL_BOXES)
+    parted = placed.withColumn("_lists", lists).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_lists")))
+    return parted.groupBy("_level", "_cell", "_part").agg(F.collect_list(F.struct(*fields)).alias("_boxes"))
+
+
+def _leaders(index: _Index) -> _Index:
+    """The index without boxes that can never be first: those which, inside their cell, lie in one box of lower ``ord``.
+
+    Where many boxes overlap few are left, so a point is not tested against them all. Lists are thinned by themselves, then
+    dealt anew and thinned again while that halves the boxes of cells with several lists.
+    """
+    table, before = index.table, None
+    while True:
+        table = cut_lineage(table.withColumn("_boxes", _uncovered(index.sides)), "leaders")
+        cells = table.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("lists"), F.sum(F.size("_boxes")).alias("boxes"))
+        crowded = cells.where("lists > 1").agg(F.sum("boxes")).first()[0] or 0
+        if not crowded or before is not None and 2 * crowded > before:
+            return _Index(table, index.sides)
+        before = crowded
+        boxes = table.select("_level", "_cell", F.explode("_boxes").alias("_box")).select("_level", "_cell", "_box.*")
+        table = _listed(boxes, boxes.columns[2:], "ord")
+
+
+def _uncovered(sides: Sequence[tuple[float, ...]]) -> Column:
+    sizes = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in sides]), F.col("_level") + 1)
+
+    def covers(a: Column, b: Column) -> Column:
+        hits = []
+        for k, (low, high) in enumerate(PLACE):
+            start, end = F.col("_cell")[k] * sizes[k], (F.col("_cell")[k] + 1) * sizes[k]
+            hits += [a[low] <= F.greatest(b[low], start), a[high] >= F.least(b[high], end)]
+        return reduce(lambda x, y: x & y, hits)
+
+    ordered = F.sort_array(F.transform("_boxes", lambda b: F.struct(b["ord"].alias("ord"), *[b[c].alias(c) for pair in PLACE for c in pair])))
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda kept, b: F.when(
+        F.exists(kept, lambda a: covers(a, b)), kept).otherwise(F.concat(kept, F.array(b))))
