@@ -14,6 +14,7 @@ from fleetfold.session import cut_lineage, small_rows
 MAX_CASES = 64
 CELL_BOXES = 256
 CELL_STEP = 4
+SPREAD = 16
 MAX_LEVELS = 12
 SMALLEST_EXTENT = 1e-6
 
@@ -155,14 +156,15 @@ class _Index:
         return self._keyed(df, at).join(self.table, ["_level", "_cell"], how)
 
     def look_up_spread(self, df: DataFrame, at: Sequence[Column]) -> DataFrame:
-        """The rows that have lists, a row per list, dealt by list: a cell with many boxes goes to as many tasks as it has lists.
+        """The rows that have lists, a row per list; each cell's rows are dealt to ``SPREAD`` tasks, and its lists go to each.
 
-        The lists are short, so adaptive execution would take their few bytes for little work; their number of tasks is fixed.
+        The lists are short, so adaptive execution would take their few bytes for little work; the number of tasks is fixed.
         """
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = self.table.groupBy("_level", "_cell").agg(F.collect_list("_part").alias("_parts"))
-        dealt = self._keyed(df, at).join(parts, ["_level", "_cell"]).withColumn("_part", F.explode("_parts")).drop("_parts")
-        return dealt.repartition(tasks, "_level", "_cell", "_part").join(self.table, ["_level", "_cell", "_part"])
+        keys = ["_level", "_cell", "_spread"]
+        dealt = self._keyed(df, at).withColumn("_spread", F.pmod(F.xxhash64(*at), F.lit(SPREAD)).cast("int"))
+        lists = self.table.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        return dealt.repartition(tasks, *keys).join(lists, keys)
 
     def _keyed(self, df: DataFrame, at: Sequence[Column]) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(k).alias("_level"), self.cell(at, k).alias("_cell")) for k in range(len(self.sides))])

@@ -136,3 +136,23 @@ def test_long_tables_on_streams(spark, tmp_path):
     found.writeStream.trigger(availableNow=True).format("parquet").option("checkpointLocation", str(tmp_path / "check")).start(
         str(tmp_path / "out")).awaitTermination()
     assert placed(spark.read.parquet(str(tmp_path / "out"))) == placed(geo.map_regions(points(spark, at), regions(spark, boxes)))
+
+
+def test_queries_of_one_cell_go_to_many_tasks(spark):
+    specs = spark.range(2000).selectExpr(
+        "concat('q', id) AS query_id", "0D AS lat_min", "10D AS lat_max", "0D AS lon_min", "10D AS lon_max",
+        "TIMESTAMP_NTZ'2024-01-01' AS from_ts", "TIMESTAMP_NTZ'2024-01-02' AS to_ts")
+    rows = spark.range(50).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS lat", "1D AS lon", "TIMESTAMP_NTZ'2024-01-01 10:00:00' AS ts")
+    found = geo.active_queries(rows, specs)
+    assert found.select("id", "query_id").distinct().count() == found.count() == 100000
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_covered_regions_leave_the_index(spark):
+    boxes = [geo.Box(float(i % 5), 5.0 + i % 7, 0.0, 10.0 - i % 3, f"r{i}") for i in range(3000)]
+    table = regions(spark, boxes).select("ord", "rid", *(c for pair in geo.PLACE for c in pair))
+    index = geo._leaders(geo._cells(table, geo.PLACE, ("ord",)))
+    assert index.table.selectExpr("max(size(_boxes))").first()[0] < 105
+    spots = [(a / 2, o / 2) for a in range(-1, 26) for o in range(-1, 22)]
+    want = {i: next((b.rid for b in boxes if b.lat_min <= a <= b.lat_max and b.lon_min <= o <= b.lon_max), None) for i, (a, o) in enumerate(spots)}
+    assert placed(geo.map_regions(points(spark, spots), regions(spark, boxes))) == want
